@@ -24,8 +24,7 @@ def same_file(path: Column) -> Column:
 
 def file_stem(path: Column) -> Column:
     """The file name in lower case without folders, extension and outer blanks. Null stays null."""
-    name = F.element_at(F.split(same_file(path), "/"), -1)
-    return F.trim(F.regexp_replace(F.trim(name), r"\.(png|jpe?g|bmp|gif|tiff?|webp)$", ""))
+    return F.regexp_extract(F.lower(path), r"([^/\\]*?)\s*(?:\.(?:png|jpe?g|bmp|gif|tiff?|webp))?\s*$", 1)
 
 
 def with_drawing_key(df: DataFrame, path: str, out: str) -> DataFrame:
@@ -37,21 +36,15 @@ def with_drawing_key(df: DataFrame, path: str, out: str) -> DataFrame:
     number keeps its words. Null paths and paths without a file name give null.
     """
     style = "|".join(STYLES)
-    rest = r"[ _-]*0*(\d+)(?:[ _-]?t0*(\d+)(?![a-z0-9]))?.*$"
+    rest = r"[ _-]*0*(\d+)(?:[ _-]?t0*(\d+)(?![a-z0-9]))?.*"
     steps = (
-        rf"^(?:.*?[^a-z0-9])?({style}){rest}",  # a known style that begins a word
-        rf"^.*?({style}){rest}",  # or stands behind other letters
-        rf"^(?:(?:{LEADING})[ _-]+)*(\D*?[^\d _-](?:[ _-]+[a-z]+)*?){rest}",  # or any words and a number
+        rf"(?:.*?[^a-z0-9])?({style}){rest}",  # a known style that begins a word
+        rf".*?({style}){rest}",  # or stands behind other letters
+        rf"(?:(?:{LEADING})[ _-]+)*(\D*?[^\d _-](?:[ _-]+[a-z]+)*?){rest}",  # or any words and a number
     )
-    tmp = [f"_{out}_{k}" for k in range(5)]
-    df = df.withColumn(tmp[0], F.regexp_replace(file_stem(F.col(path)), "#", " "))
-    df = df.withColumn(tmp[1], F.regexp_replace(tmp[0], steps[0], "$1#$2;$3"))
-    for k in (1, 2):
-        df = df.withColumn(tmp[k + 1], F.when(F.instr(tmp[k], "#") > 0, F.col(tmp[k])).otherwise(F.regexp_replace(tmp[k], steps[k], "$1#$2;$3")))
-    squeezed = F.translate(tmp[3], " _-", "")
-    whole = F.when(F.instr(tmp[3], "#") == 0, F.concat(F.nullif(squeezed, F.lit("")), F.lit("#;"))).otherwise(squeezed)
-    df = df.withColumn(tmp[4], whole)
-    return df.withColumn(out, F.when(F.col(tmp[4]).endswith(";"), F.concat(tmp[4], F.lit("1"))).otherwise(F.col(tmp[4]))).drop(*tmp)
+    # one pattern, so that the plan holds the expression once however often filters copy it
+    named = F.regexp_replace(F.translate(file_stem(F.col(path)), "#;|", ""), f"^(?:{'|'.join(steps)})$", "$1$4$7#$2$5$8;$3$6$9")
+    return df.withColumn(out, F.nullif(F.regexp_replace(F.translate(named, " _-", ""), ";$", ";1"), F.lit("")))
 
 
 def known_type(drawing_type: Column, class_name: Column) -> Column:
