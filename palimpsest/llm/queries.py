@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import leaks, links, neardup, neighbours, overlaps, splits, tokens
+from palimpsest.llm import families, leaks, links, neardup, neighbours, overlaps, splits, tokens
 from palimpsest.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: neardup.near_duplicates(t(s, d, "yolo_full_manifest"), t(s, d, "cnn_cache_128")),
         "p2_found": lambda s, d: neighbours.nearest_drawings(t(s, d, "cnn_cache_128"), "item_id % 20 = 3").select("item_id", "near_item_id"),
+        "p3_found": lambda s, d: families.cluster_members(t(s, d, "cnn_cache_128")),
+        "p3_clusters": lambda s, d: families.cluster_summaries(t(s, d, "cnn_cache_128")),
         "p4_found": lambda s, d: links.linked_files(t(s, d, "near_duplicates_pairs"), t(s, d, "yolo_full_manifest")),
         "p5_found": lambda s, d: overlaps.name_overlaps(t(s, d, "yolo_full_manifest")),
         "p6_found": lambda s, d: splits.torn_groups(t(s, d, "yolo_full_manifest_clean")),
