@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+from palimpsest.plans import relational
 
 
 def queries() -> dict:
-    return {}
+    return relational.queries()
+
 
+def oracle_sql() -> dict[str, str]:
+    return relational.oracle_sql()
 
-def oracle_sql() -> dict:
-    return {}
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["knn_auc"](spark, sf_dir)
