@@ -36,15 +36,16 @@ def with_drawing_key(df: DataFrame, path: str, out: str) -> DataFrame:
     number keeps its words. Null paths and paths without a file name give null.
     """
     style = "|".join(STYLES)
-    rest = r"[ _-]*0*(\d+)(?:[ _-]?t0*(\d+)(?![a-z0-9]))?.*"
-    steps = (
-        rf"(?:.*?[^a-z0-9])?({style}){rest}",  # a known style that begins a word
-        rf".*?({style}){rest}",  # or stands behind other letters
-        rf"(?:(?:{LEADING})[ _-]+)*(\D*?[^\d _-](?:[ _-]+[a-z]+)*?){rest}",  # or any words and a number
-    )
-    # one pattern, so that the plan holds the expression once however often filters copy it
-    named = F.regexp_replace(F.translate(file_stem(F.col(path)), "#;|", ""), f"^(?:{'|'.join(steps)})$", "$1$4$7#$2$5$8;$3$6$9")
-    return df.withColumn(out, F.nullif(F.regexp_replace(F.translate(named, " _-", ""), ";$", ";1"), F.lit("")))
+    trial = r"(?:[ _-]?t\d+(?![a-z0-9]))?"
+    name = F.translate(file_stem(F.col(path)), "#;|", "")
+    # found, not matched from end to end, so that no pattern goes back over the name
+    known = F.regexp_substr(name, F.lit(rf"(?:{style})[ _-]*\d+{trial}"))
+    bare = F.regexp_replace(name, rf"^(?:(?:{LEADING})[ _-]+)+", "")
+    other = F.regexp_substr(bare, F.lit(rf"[a-z](?:[ _-]?[a-z])*[ _-]*\d+{trial}"))
+    core = F.coalesce(known, other, bare)
+    key = F.regexp_replace(core, r"^(.*?[a-z])[ _-]*0*(\d+)(?:[ _-]?t0*(\d+))?$", "$1#$2;$3")
+    key = F.regexp_replace(F.translate(key, " _-", ""), ";$", ";1")
+    return df.withColumn(out, F.nullif(key, F.lit("")))
 
 
 def known_type(drawing_type: Column, class_name: Column) -> Column:
