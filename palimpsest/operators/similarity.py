@@ -153,8 +153,8 @@ def hamming_pairs(hashes: DataFrame, most: int, part: str, key: str = "item_id")
     """
     width = -(-64 // (most + 1))
     segs = F.array(*[F.concat(F.lit(f"{s}:"), F.substring("bits", s * width + 1, width)) for s in range(most + 1) if s * width < 64])
-    word = F.conv(F.col("bits"), 2, 10).cast("decimal(20,0)")
-    signed = F.when(word >= 2**63, word - 2**64).otherwise(word).cast("long")
+    half = lambda at: F.conv(F.substring("bits", at, 32), 2, 10).cast("long")
+    signed = F.shiftleft(half(1), 32).bitwiseOR(half(33))
     h = hashes.select(F.col(key).alias("_k"), F.col(part).alias("_part"), signed.alias("_h"), F.explode(segs).alias("_s"))
     a, b = h.select(F.col("_k").alias("i"), "_part", "_s", F.col("_h").alias("ha")), h.select(F.col("_k").alias("j"), "_part", "_s", F.col("_h").alias("hb"))
     d = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))

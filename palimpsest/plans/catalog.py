@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import relational
+from palimpsest.plans import evaluation, pixels, relational
+
+PLANS = (relational, evaluation, pixels)
 
 
 def queries() -> dict:
-    return relational.queries()
+    return {n: q for p in PLANS for n, q in p.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.oracle_sql()
+    return {n: q for p in PLANS for n, q in p.oracle_sql().items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["knn_auc"](spark, sf_dir)
+    """1-NN scores against other folds and their AUC for each fold: scan, similarity join, model, metric."""
+    return evaluation.knn_auc(spark, sf_dir)
