@@ -15,7 +15,8 @@ def _cache(s, d):
 
 
 def _rounded(df, key="item_id", digits=6):
-    return df.select(key, *[F.round(c, digits).alias(c) for c in df.columns if c != key])
+    # the small shift keeps values that lie on a rounding edge on one side, whatever the order of the sums
+    return df.select(key, *[F.round(F.col(c) + 1e-9, digits).alias(c) for c in df.columns if c != key])
 
 
 def image_stats(s, d):
@@ -31,7 +32,7 @@ def stroke_medians(s, d):
 
     f = images.stroke_table(_cache(s, d), ["item_id", "class_name"]).drop("item_id")
     m = medians_by(f, "class_name", list(kernels.STROKE_FEATURES))
-    return m.select("class_name", "feature", F.round("median_value", 5).alias("median_value"))
+    return m.select("class_name", "feature", F.round(F.col("median_value") + 1e-9, 5).alias("median_value"))
 
 
 def background(s, d):
@@ -154,10 +155,10 @@ def oracle_sql():
     names = kernels.STROKE_FEATURES
     strokes = _strokes()
     return {
-        "image_stats": f"WITH {_B} SELECT item_id, round(list_avg(g),6) AS mean_gray, round(med,6) AS median_gray, round(list_aggregate(g,'quantile_cont',0.05),6) AS p5_gray, round(list_avg(m),6) AS ink_frac FROM m0",
-        "stroke_features": f"SELECT item_id, {', '.join(f'round({n},6) AS {n}' for n in names)} FROM ({strokes})",
-        "stroke_medians": f"SELECT class_name, feature, round(median(v),5) AS median_value FROM (UNPIVOT (SELECT * EXCLUDE (item_id) FROM ({strokes})) ON {', '.join(names)} INTO NAME feature VALUE v) GROUP BY 1,2",
-        "background": f"WITH {_B}, px AS (SELECT item_id, h, w, unnest(range(h*w)) AS i, unnest(x) AS v FROM b) SELECT item_id, round(avg(v) FILTER (i//w<3 OR i//w>=h-3 OR i%w<3 OR i%w>=w-3),6) AS frame_mean, round(avg(CASE WHEN v BETWEEN 1 AND 10 THEN 1.0 ELSE 0 END) FILTER (i//w>=6 AND i//w<h-6 AND i%w>=6 AND i%w<w-6),6) AS speckle FROM px GROUP BY 1",
+        "image_stats": f"WITH {_B} SELECT item_id, round(list_avg(g)+1e-9,6) AS mean_gray, round(med+1e-9,6) AS median_gray, round(list_aggregate(g,'quantile_cont',0.05)+1e-9,6) AS p5_gray, round(list_avg(m)+1e-9,6) AS ink_frac FROM m0",
+        "stroke_features": f"SELECT item_id, {', '.join(f'round({n}+1e-9,6) AS {n}' for n in names)} FROM ({strokes})",
+        "stroke_medians": f"SELECT class_name, feature, round(median(v)+1e-9,5) AS median_value FROM (UNPIVOT (SELECT * EXCLUDE (item_id) FROM ({strokes})) ON {', '.join(names)} INTO NAME feature VALUE v) GROUP BY 1,2",
+        "background": f"WITH {_B}, px AS (SELECT item_id, h, w, unnest(range(h*w)) AS i, unnest(x) AS v FROM b) SELECT item_id, round(avg(v) FILTER (i//w<3 OR i//w>=h-3 OR i%w<3 OR i%w>=w-3)+1e-9,6) AS frame_mean, round(avg(CASE WHEN v BETWEEN 1 AND 10 THEN 1.0 ELSE 0 END) FILTER (i//w>=6 AND i//w<h-6 AND i%w>=6 AND i%w<w-6)+1e-9,6) AS speckle FROM px GROUP BY 1",
         "binarized": f"WITH {_B} SELECT item_id, len(list_filter(x, lambda v: v > greatest(0.35::DOUBLE*list_max(x), 32)))::DOUBLE AS n_on FROM b",
         "thumbnail_pool": f"""WITH {_B}, t AS (SELECT item_id, list_transform(range(64), lambda j: list_avg(list_transform(range(16), lambda k: x[((j//8)*4+k//4)*w+(j%8)*4+k%4+1]))) AS v FROM b),
             c AS (SELECT item_id, list_transform(v, lambda a: a-list_avg(v)) AS v FROM t), n AS (SELECT item_id, v, greatest(sqrt(list_dot_product(v,v)),1e-8) AS n FROM c)
@@ -171,6 +172,6 @@ def oracle_sql():
         "ink_heat": f"""WITH {_B}, px AS (SELECT item_id, h, w, unnest(range(h*w)) AS i, unnest(x)::DOUBLE AS v FROM b), o AS (SELECT item_id, i//w AS r, i%w AS c FROM px WHERE v>100),
             n AS (SELECT DISTINCT o.item_id, o.r+dr AS r, o.c+dc AS c FROM o, range(-3,4) a(dr), range(-3,4) d(dc)),
             j AS (SELECT px.*, n.item_id IS NOT NULL AS near FROM px LEFT JOIN n ON n.item_id=px.item_id AND n.r=i//w AND n.c=i%w)
-            SELECT item_id, round((coalesce(sum(v) FILTER (near),0)/greatest(sum(v),1e-12))/greatest(avg(CASE WHEN near THEN 1.0 ELSE 0 END),1e-12),6) AS enrichment, round(1-sum(v) FILTER (i//w BETWEEN 4 AND h-5 AND i%w BETWEEN 4 AND w-5)/greatest(sum(v),1e-12),6) AS border_share FROM j GROUP BY 1""",
+            SELECT item_id, round((coalesce(sum(v) FILTER (near),0)/greatest(sum(v),1e-12))/greatest(avg(CASE WHEN near THEN 1.0 ELSE 0 END),1e-12)+1e-9,6) AS enrichment, round(1-sum(v) FILTER (i//w BETWEEN 4 AND h-5 AND i%w BETWEEN 4 AND w-5)/greatest(sum(v),1e-12)+1e-9,6) AS border_share FROM j GROUP BY 1""",
         "signatures": f"WITH {_B} SELECT item_id, CASE WHEN list_max(k)>list_min(k) THEN 1.0 ELSE 0.0 END::DOUBLE AS length2 FROM (SELECT item_id, list_transform(range(256), lambda j: floor((g[(j//16)*2*w+(j%16)*2+1]+g[(j//16)*2*w+(j%16)*2+2]+g[((j//16)*2+1)*w+(j%16)*2+1]+g[((j//16)*2+1)*w+(j%16)*2+2])/4.0+0.5)) AS k FROM g)",
     }
