@@ -157,7 +157,7 @@ def oracle_sql():
     return {
         "image_stats": f"WITH {_B} SELECT item_id, round(list_avg(g)+1e-9,6) AS mean_gray, round(med+1e-9,6) AS median_gray, round(list_aggregate(g,'quantile_cont',0.05)+1e-9,6) AS p5_gray, round(list_avg(m)+1e-9,6) AS ink_frac FROM m0",
         "stroke_features": f"SELECT item_id, {', '.join(f'round({n}+1e-9,6) AS {n}' for n in names)} FROM ({strokes})",
-        "stroke_medians": f"SELECT class_name, feature, round(median(v)+1e-9,5) AS median_value FROM (UNPIVOT (SELECT * EXCLUDE (item_id) FROM ({strokes})) ON {', '.join(names)} INTO NAME feature VALUE v) GROUP BY 1,2",
+        "stroke_medians": f"SELECT class_name, feature, round(median(v)+1e-9,5) AS median_value FROM ((SELECT * EXCLUDE (item_id) FROM ({strokes})) UNPIVOT INCLUDE NULLS (v FOR feature IN ({', '.join(names)}))) GROUP BY 1,2",
         "background": f"WITH {_B}, px AS (SELECT item_id, h, w, unnest(range(h*w)) AS i, unnest(x) AS v FROM b) SELECT item_id, round(avg(v) FILTER (i//w<3 OR i//w>=h-3 OR i%w<3 OR i%w>=w-3)+1e-9,6) AS frame_mean, round(avg(CASE WHEN v BETWEEN 1 AND 10 THEN 1.0 ELSE 0 END) FILTER (i//w>=6 AND i//w<h-6 AND i%w>=6 AND i%w<w-6)+1e-9,6) AS speckle FROM px GROUP BY 1",
         "binarized": f"WITH {_B} SELECT item_id, len(list_filter(x, lambda v: v > greatest(0.35::DOUBLE*list_max(x), 32)))::DOUBLE AS n_on FROM b",
         "thumbnail_pool": f"""WITH {_B}, t AS (SELECT item_id, list_transform(range(64), lambda j: list_avg(list_transform(range(16), lambda k: x[((j//8)*4+k//4)*w+(j%8)*4+k%4+1]))) AS v FROM b),
