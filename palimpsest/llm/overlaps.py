@@ -39,14 +39,14 @@ def named_items(manifest: DataFrame) -> DataFrame:
 
 def _runs(least: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come in the order of the suffixes. Gives (span, text, start, length, flags) for suffixes with a neighbour
-        that shares ``least`` characters or the core, whichever is longer."""
+        """Rows come in the order of the suffixes. Gives (span, text, start, length) for suffixes with a neighbour that shares
+        ``least`` characters or the core, whichever is longer, and for those of texts that several records have."""
         last = None
         last_kept = True
         for f in frames:
             keep = []
-            for row in zip(f["_suffix"], f["_core"], f["tid"], f["_at"]):
-                suffix, core, tid, at = row
+            for suffix, core, tid, at, shared in zip(f["_suffix"], f["_core"], f["tid"], f["_at"], f["shared"]):
+                row = (suffix, core, tid, at)
                 need = max(core, least)
                 if last is None:
                     keep.append((suffix[:need], tid, at, need))
@@ -60,7 +60,7 @@ def _runs(least: int):
                     if not last_kept and common >= max(other_core, least):
                         keep.append((other[: max(other_core, least)], other_tid, other_at, max(other_core, least)))
                     last_kept = False
-                    if common >= need:
+                    if shared or common >= need:
                         keep.append((suffix[:need], tid, at, need))
                         last_kept = True
                 last = row
@@ -76,13 +76,13 @@ def _runs(least: int):
 def shared_spans(texts: DataFrame, least: int = 8, word_starts: bool = False) -> DataFrame:
     """(``span``, ``tid``, ``at``, ``length``): stretches of the texts that may occur elsewhere too.
 
-    ``texts`` has ``tid`` and ``text``; the core of a text is what stands between its last two bars, with the
+    ``texts`` has ``tid``, ``text`` and ``shared`` (several records have it); the core of a text is what stands between its last two bars, with the
     type in front. Suffixes shorter than ``least`` are left out. With ``word_starts`` the array is sparse: it holds
     the suffixes that begin where a word or a core does, which is all that a search for whole names needs.
     """
     core_at = F.length(F.substring_index("text", "|", 1)) + 1
     suffixes = (
-        texts.select("tid", "text", core_at.alias("_core_at"))
+        texts.select("tid", "text", "shared", core_at.alias("_core_at"))
         .withColumn("_at", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - least, F.lit(0)))))
         .where(F.lit(not word_starts) | (F.col("_at") == F.col("_core_at")) | (F.col("_at") == 0) | F.expr("substring(text, _at, 2)").rlike("^[^a-z0-9][a-z0-9]"))
         .select(
@@ -90,6 +90,7 @@ def shared_spans(texts: DataFrame, least: int = 8, word_starts: bool = False) ->
             F.when(F.col("_at") == F.col("_core_at"), F.length("text") - F.col("_core_at")).otherwise(least).alias("_core"),
             "tid",
             "_at",
+            "shared",
         )
         .where(F.length("_suffix") >= least)
     )
@@ -102,9 +103,9 @@ def name_overlaps(manifest: DataFrame) -> DataFrame:
     split, whose names tell the same drawing of the same type. Unknown and null splits count for none.
     """
     items = written(named_items(manifest).withColumn("tid", F.xxhash64("text")), "names")
-    texts = items.select("tid", "text").distinct()
+    texts = items.groupBy("tid", "text").agg((F.count("*") > 1).alias("shared"))
     spans = shared_spans(texts, least=8, word_starts=True)
-    whole = spans.join(texts, "tid").where(F.col("at") == F.length(F.substring_index("text", "|", 1)) + 1).select("span", "tid")
+    whole = spans.join(texts.select("tid", "text"), "tid").where(F.col("at") == F.length(F.substring_index("text", "|", 1)) + 1).select("span", "tid")
     members = whole.join(items.select("tid", "item_id", "type", "key", "part"), "tid").select("span", "item_id", "type", "key", "part").distinct()
     train = members.where("part = 'train'").select("span", "type", "key", F.col("item_id").alias("_t"))
     held = members.where("part in ('val', 'test')").select("span", "type", "key", F.col("item_id").alias("_e"))
@@ -134,7 +135,7 @@ def span_coverage(manifest: DataFrame, least: int = 8) -> DataFrame:
     that also occur in the name of a record of another part. Spans that overlap are merged.
     """
     items = written(named_items(manifest).where("part is not null").withColumn("text", F.substring_index("text", "|", 1)).withColumn("tid", F.xxhash64("text")), "names")
-    texts = items.select("tid", F.concat("text", F.lit("||")).alias("text")).distinct()
+    texts = items.groupBy("tid", F.concat("text", F.lit("||")).alias("text")).agg((F.count("*") > 1).alias("shared"))
     spans = written(shared_spans(texts, least), "spans")
     parts = items.select("tid", "part").distinct()
     both = spans.select("span", "tid").distinct().join(parts, "tid").groupBy("span").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi"))
