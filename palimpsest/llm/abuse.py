@@ -23,12 +23,14 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 FIT_ROWS = 12_000
 SLOTS = 1 << 17
 EPOCHS = 90
+#: Shares of labels that raters get wrong, which the training allows for instead of learning them by heart.
+WRONG_YES, WRONG_NO = 0.02, 0.05
 
 #: Letters of other alphabets that look like Latin ones, and digits and signs used for letters.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһкмнтвзϲοαερικντυ", "aeopcyxijsdhkmhtb3coaepiktvu"))
 DIGITS = dict(zip("0134578@$", "oieastbas"))
 
-_TAG = re.compile(r"<[^<>]{0,200}>")
+_TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,200}>|<!--.{0,500}?-->", re.S)
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _SPELLED = re.compile(r"(?<![^\W_])([^\W\d_](?:(?:[ .·_\-*]| )[^\W\d_]){2,})(?![^\W_])")
 _STARRED = re.compile(r"(?<!\w)([^\W\d_])(\*{2,})([^\W\d_])(?!\w)")
@@ -137,8 +139,10 @@ class NoisyOr:
             p = 1 / (1 + np.exp(-z))
             log_none = np.stack([np.bincount(owner, np.log1p(-np.minimum(p[:, c], 1 - 1e-9)), n_docs) for c in range(3)], axis=1)
             whole = np.clip(-np.expm1(log_none), 1e-9, 1 - 1e-9)
-            # d loss / d log_none: for a positive document it is -(1 - P) / P, for a negative one 1
-            g_doc = np.where(known, (1 - y) - y * (1 - whole) / whole, 0.0)
+            # the label is seen through the raters' errors: P' = WRONG_YES + (1 - WRONG_YES - WRONG_NO) * P
+            k = 1 - WRONG_YES - WRONG_NO
+            seen = WRONG_YES + k * whole
+            g_doc = np.where(known, k * (1 - whole) * ((1 - y) / (1 - seen) - y / seen), 0.0)
             g_z = g_doc[owner] * p
             g_w = np.stack([np.bincount(place, g_z[sent, c] * per, len(used)) for c in range(3)], axis=1) / n_docs + decay * w
             g = np.vstack([g_w, g_z.sum(axis=0) / n_docs])
@@ -195,13 +199,13 @@ def scored(documents: DataFrame, model: NoisyOr) -> DataFrame:
     return documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").alias("_text")).mapInPandas(run, schema)
 
 
-def flagged(scores: DataFrame, threshold: float = 0.25) -> DataFrame:
+def flagged(scores: DataFrame, threshold: float = 0.38) -> DataFrame:
     """(``doc_id``, ``category``), a row for each category whose score reaches the threshold."""
     each = F.array(*[F.when(F.col(c) >= threshold, F.lit(c)) for c in CATEGORIES])
     return scores.select("doc_id", F.explode(F.array_compact(each)).alias("category")).distinct()
 
 
-def source_rates(scores: DataFrame, threshold: float = 0.25) -> DataFrame:
+def source_rates(scores: DataFrame, threshold: float = 0.38) -> DataFrame:
     """For each source: documents, and the share flagged in each category. Null sources are counted as ``(none)``."""
     rate = [F.round(F.avg((F.col(c) >= threshold).cast("double")), 6).alias(f"{c}_rate") for c in CATEGORIES]
     return scores.groupBy(F.coalesce("source", F.lit("(none)")).alias("source")).agg(F.count("*").alias("n_docs"), *rate)

@@ -22,7 +22,7 @@ BLOCK = 5
 #: Passages that go to the executors together. More passages take more rounds over the texts.
 PASSAGES_PER_ROUND = 5_000
 
-_TAG = re.compile(r"<[^<>]{0,200}>")
+_TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,200}>|<!--.{0,500}?-->", re.S)
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = re.compile(r"[a-z0-9]+")
