@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import evaluation, pixels, relational
+from palimpsest.plans import audits, evaluation, pixels, relational
 
-PLANS = (relational, evaluation, pixels)
+PLANS = (relational, evaluation, pixels, audits)
 
 
 def queries() -> dict:
