@@ -96,7 +96,7 @@ def linked_files(pairs: DataFrame, manifest: DataFrame, least_correlation: float
     """(``item_id``, ``group_item_id``) of every listed file linked with another one, directly or not.
 
     A pair counts if its correlation is at least ``least_correlation`` (null and NaN do not) and both
-    paths are in the manifest. Two ids under one path are one file and therefore linked.
+    paths are in the manifest. Two ids under one path are one file, which goes by its least id.
     """
     files = (
         manifest.select(same_file(F.col("path")).alias("_path"), F.col("item_id").alias("_id"))
