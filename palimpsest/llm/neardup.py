@@ -31,8 +31,8 @@ DIRECTIONS, CLEAR = 128, 0.5
 CODES, SIGNS = 24, 11
 #: Least similarity (Jaccard) of the token sets of two drawings that are compared exactly.
 DRAWING_SETS = 0.55
-#: Drawings (the first ones) from which the centre of the directions is taken. It steers only which drawings meet.
-CENTRE_ROWS = 1_024
+#: Parts (type and shape) with so many different drawings at most are compared pair by pair.
+SMALL_PART = 256
 
 
 def _bitmap_words() -> list:
@@ -166,55 +166,99 @@ def _codes_of() -> tuple[np.ndarray, np.ndarray]:
     return np.stack([rng.choice(DIRECTIONS, SIGNS, replace=False) for _ in range(CODES)]), 1 << np.arange(SIGNS, dtype=np.int64)
 
 
-def drawing_centre(drawings: DataFrame, rows: int = CENTRE_ROWS) -> dict[tuple[str, int, int], np.ndarray]:
-    """Mean of the turn invariants for each type and shape, from a bounded sample (``rows`` drawings)."""
-    some = drawings.limit(rows).toPandas()
-    out: dict[tuple[str, int, int], np.ndarray] = {}
-    if len(some):
-        batch = pa.RecordBatch.from_arrays([pa.array(some["height"]), pa.array(some["width"]), pa.array(list(some["x"]), pa.list_(pa.int16()))], names=["height", "width", "x"])
-        for r, px, h, w in stacks(batch):
-            f = turn_invariants(centred(px), h, w)
-            parts = some["part"].to_numpy()[r]
-            for p in set(parts):
-                out[(p, h, w)] = f[parts == p].mean(axis=0)
-    return out
+def drawing_views(drawings: DataFrame) -> DataFrame:
+    """``item_id``, ``part`` (type and shape), ``copy`` (hash that turned exact copies share), ``view`` for usable rows.
 
-
-def drawing_sets(drawings: DataFrame) -> DataFrame:
-    """``item_id``, ``part``, ``copy`` (hash that turned exact copies share), ``codes``, ``tokens`` for usable rows."""
-    centre = drawing_centre(drawings)
-    schema = pa.schema([("item_id", pa.int64()), ("part", pa.string()), ("copy", pa.int64()), ("codes", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int16()))])
+    The view holds the products of the turn invariants with the directions, as bytes of half floats: their rounding is far
+    below ``CLEAR``, and the centre of any set of drawings is the mean of their views.
+    """
+    schema = pa.schema([("item_id", pa.int64()), ("part", pa.string()), ("copy", pa.int64()), ("view", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members, weight = _codes_of()
         for batch in batches:
             ids = batch.column("item_id").to_numpy(zero_copy_only=False)
             parts = np.array(batch.column("part").to_pylist(), dtype=object)
             for rows, px, h, w in stacks(batch):
                 inv = turn_invariants(centred(px), h, w)
-                for p in sorted(set(parts[rows])):
-                    at = parts[rows] == p
-                    f = inv[at] - centre.get((p, h, w), 0.0)
-                    f /= np.maximum(np.linalg.norm(f, axis=1, keepdims=True), 1e-12)
-                    z = f @ _directions(f.shape[1])
-                    sign = z > 0
-                    codes = (sign[:, members] * weight).sum(axis=2) + (np.arange(CODES, dtype=np.int64) << 40)
-                    clear = np.hstack([z > CLEAR, z < -CLEAR])
-                    i, t = np.nonzero(clear)
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(f)))]).astype(np.int32)
-                    n = len(f)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids[rows][at], pa.int64()),
-                            pa.array([f"{p}|{h}x{w}"] * n, pa.string()),
-                            pa.array(turn_free_hash(px[at], h, w), pa.int64()),
-                            pa.ListArray.from_arrays(pa.array(np.arange(0, CODES * n + 1, CODES, dtype=np.int32)), pa.array(codes.reshape(-1), pa.int64())),
-                            pa.ListArray.from_arrays(pa.array(ends), pa.array(t.astype(np.int16))),
-                        ],
-                        schema=schema,
-                    )
-
-    return drawings.select("item_id", "part", "height", "width", "x").mapInArrow(run, "item_id long, part string, copy long, codes array<long>, tokens array<smallint>")
+                view = np.ascontiguousarray(inv @ _directions(inv.shape[1]), dtype=np.float16)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[rows], pa.int64()),
+                        pa.array([f"{p}|{h}x{w}" for p in parts[rows]], pa.string()),
+                        pa.array(turn_free_hash(px, h, w), pa.int64()),
+                        pa.array([v.tobytes() for v in view], pa.binary()),
+                    ],
+                    schema=schema,
+                )
+
+    return drawings.select("item_id", "part", "height", "width", "x").mapInArrow(run, "item_id long, part string, copy long, view binary")
+
+
+def _views(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, DIRECTIONS).astype(np.float64)
+
+
+def drawing_centres(classes: DataFrame) -> DataFrame:
+    """``part``, ``n``, ``centre``: number and mean view of all rows (``part``, ``view``) of a part.
+
+    Every batch is summed where it lies; only sums are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts, at = np.unique(np.array(batch.column("part").to_pylist(), dtype=object), return_inverse=True)
+            sums = np.zeros((len(parts), DIRECTIONS))
+            np.add.at(sums, at, _views(batch.column("view")))
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(np.bincount(at), pa.int64()), pa.array(list(sums), pa.list_(pa.float64()))], names=["part", "n", "sums"])
+
+    sums = classes.select("part", "view").mapInArrow(run, "part string, n long, sums array<double>")
+    by_direction = sums.select("part", "n", F.posexplode("sums").alias("k", "v")).groupBy("part", "k").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    ordered = F.array_sort(F.collect_list(F.struct("k", "v")))
+    return by_direction.groupBy("part").agg(F.first("n").alias("n"), F.transform(ordered, lambda e: e["v"]).alias("v")).select("part", "n", F.transform("v", lambda e: e / F.col("n")).alias("centre"))
+
+
+def drawing_sets(classes: DataFrame, small: int = SMALL_PART) -> DataFrame:
+    """``item_id``, ``part``, ``codes``, ``tokens`` of (``item_id``, ``part``, ``view``), one row for each class of copies.
+
+    In parts of ``small`` rows or fewer there is no centre to speak of: all have one code and one token in common, so
+    that every pair is compared exactly.
+    """
+    schema = pa.schema([("item_id", pa.int64()), ("part", pa.string()), ("codes", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int16()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, weight = _codes_of()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            few = batch.column("n").to_numpy(zero_copy_only=False) <= small
+            for rows in (np.flatnonzero(few), np.flatnonzero(~few)):
+                n = len(rows)
+                if not n:
+                    continue
+                some = batch.take(pa.array(rows))
+                if few[rows[0]]:
+                    codes, i, t = np.full((n, 1), -1, np.int64), np.arange(n), np.zeros(n, np.int16)
+                else:
+                    z = _views(some.column("view")) - some.column("centre").flatten().to_numpy(zero_copy_only=False).reshape(n, DIRECTIONS)
+                    z *= DIRECTIONS**0.5 / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+                    codes = ((z > 0)[:, members] * weight).sum(axis=2) + (np.arange(CODES, dtype=np.int64) << 40)
+                    i, t = np.nonzero(np.hstack([z > CLEAR, z < -CLEAR]))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=n))]).astype(np.int32)
+                starts = np.arange(n + 1, dtype=np.int32) * codes.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column("item_id"),
+                        some.column("part"),
+                        pa.ListArray.from_arrays(pa.array(starts), pa.array(codes.reshape(-1), pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(t.astype(np.int16))),
+                    ],
+                    schema=schema,
+                )
+
+    centres = written(drawing_centres(classes), "centres")
+    return classes.select("item_id", "part", "view").join(centres, "part").mapInArrow(run, "item_id long, part string, codes array<long>, tokens array<smallint>")
 
 
 def drawing_duplicates(cache: DataFrame, least: float = 0.90) -> tuple[DataFrame, DataFrame]:
@@ -222,17 +266,15 @@ def drawing_duplicates(cache: DataFrame, least: float = 0.90) -> tuple[DataFrame
 
     Returns (``a``, ``b``, ``similarity``) between representatives and (``item_id``, ``rep``) for every usable
     item. The representative of a class is its least id. Two drawings are compared exactly if they share a code
-    and their token sets are alike; the exact cosine over all turns decides.
+    and their token sets are alike, or if their part is small; the exact cosine over all turns decides.
     """
     drawings = usable(cache)
-    sets = written(drawing_sets(drawings), "sets")
-    classes = sets.groupBy("part", "copy").agg(F.min("item_id").alias("rep"))
-    members = written(sets.select("item_id", "part", "copy").join(classes, ["part", "copy"]).select("item_id", "rep", "part").distinct(), "copies")
+    views = written(drawing_views(drawings), "views")
+    classes = views.groupBy("part", "copy").agg(F.min("item_id").alias("rep"))
+    members = written(views.select("item_id", "part", "copy").join(classes, ["part", "copy"]).select("item_id", "rep", "part").distinct(), "copies")
     reps = members.select("rep").distinct()
-    keyed = (
-        sets.dropDuplicates(["item_id"]).join(reps, F.col("item_id") == F.col("rep"), "left_semi")
-        .select(F.col("item_id").alias("id"), F.expr("transform(codes, c -> xxhash64(part, c))").alias("keys"), "tokens")
-    )
+    own = written(views.select("item_id", "part", "view").join(reps, F.col("item_id") == F.col("rep"), "left_semi").dropDuplicates(["item_id"]), "classes")
+    keyed = written(drawing_sets(own).select(F.col("item_id").alias("id"), F.expr("transform(codes, c -> xxhash64(part, c))").alias("keys"), "tokens"), "sets")
     candidates = written(tile_join(keyed, DRAWING_SETS), "candidates")
     return alike_pairs(candidates, drawings, least), members.select("item_id", "rep")
 
