@@ -1,4 +1,4 @@
-"""Connected components by least labels with pointer jumping, all as joins and aggregations."""
+"""Connected components by hanging roots on least neighbours with pointer jumping, all as joins and aggregations."""
 
 from __future__ import annotations
 
@@ -8,27 +8,38 @@ from pyspark.sql import functions as F
 from palimpsest.session import written
 
 
-def components(edges: DataFrame, i: str = "i", j: str = "j", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
     """(``node``, ``component``): the least node of the component. Nodes without an edge do not occur.
 
-    Each round takes the least label among neighbours, then the label of the label; the lineage is cut by a written
-    table, and the loop ends when no label changes.
+    Each round hangs every root on its least smaller neighbour, jumps pointers until the trees are flat, and draws the
+    edges together to edges between roots. The loop ends when no edge is left. A root that outlives two rounds has taken
+    in a neighbour of its own in the first, so two rounds at least halve the roots that have edges: rounds are bounded by
+    twice the logarithm of the nodes, whatever the order of the ids, and no limit is set.
     """
-    both = edges.select(F.col(i).alias("a"), F.col(j).alias("b")).where("a is not null and b is not null")
-    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label")
-    labels = written(labels, "labels")
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("_near"))
-        step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", F.coalesce("_near", "label")).alias("_new"))
-        up = labels.select(F.col("node").alias("_new"), F.col("label").alias("_up"))
-        jumped = step.join(up, "_new", "left").select("node", "label", F.least("_new", F.coalesce("_up", "_new")).alias("_next"))
-        jumped = written(jumped, "labels")
-        changed = jumped.where("label <> _next").limit(1).count()
-        labels = jumped.select("node", F.col("_next").alias("label"))
-        if not changed:
-            break
-    return labels.select("node", F.col("label").alias("component"))
+    ends = edges.select(F.col(i).alias("a"), F.col(j).alias("b")).where("a is not null and b is not null")
+    ends = written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = written(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")), "labels")
+    links = ends.where("a <> b")
+    while links.limit(1).count():
+        tree = _flattened(links.groupBy("b").agg(F.min("a").alias("up")).withColumnRenamed("b", "root"))
+        labels = labels.join(tree, F.col("component") == F.col("root"), "left").select("node", F.coalesce("up", "component").alias("component"))
+        labels = written(labels, "labels")
+        ta, tb = (tree.select(F.col("root").alias(s), F.col("up").alias(f"_{s}")) for s in "ab")
+        links = links.join(ta, "a", "left").join(tb, "b").select(F.coalesce("_a", "a").alias("_a"), "_b").where("_a <> _b")
+        links = written(links.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+    return labels
+
+
+def _flattened(tree: DataFrame) -> DataFrame:
+    """(``root``, ``up``) with every ``up`` at the top of its tree. ``up`` is less than ``root``, so there is no cycle and depths halve."""
+    tree = written(tree, "trees")
+    while True:
+        above = tree.select(F.col("root").alias("up"), F.col("up").alias("_top"))
+        tree = written(tree.join(above, "up", "left").select("root", F.coalesce("_top", "up").alias("up"), F.col("_top").isNotNull().alias("_moved")), "trees")
+        moved = tree.where("_moved").limit(1).count()
+        tree = tree.select("root", "up")
+        if not moved:
+            return tree
 
 
 def with_singletons(nodes: DataFrame, comps: DataFrame, key: str) -> DataFrame:

@@ -43,6 +43,16 @@ def test_components_of_nothing_and_of_a_long_chain(spark):
     assert {r.component for r in graph.components(spark.createDataFrame(chain, "i long, j long")).collect()} == {0}
 
 
+def test_components_of_long_chains_in_random_order(spark):
+    rng = np.random.default_rng(8)
+    edges = []
+    for first, n in ((0, 3000), (10_000, 1000), (20_000, 1)):
+        ids = (first + rng.permutation(n)).tolist()
+        edges += list(zip(ids, ids[1:])) or [(first, first)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "i long, j long")).collect()}
+    assert got == union_find(edges) and len(got) == 4001 and set(got.values()) == {0, 10_000, 20_000}
+
+
 def test_group_rules(spark):
     rows = [
         (1, "a", "val", "healthy", 5, 1), (2, "b", "train", "healthy", 3, 1), (3, "c", "test", "healthy", 3, 1),
