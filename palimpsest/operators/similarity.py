@@ -148,11 +148,11 @@ def average_hash(df: DataFrame, key: str, v: str) -> DataFrame:
 def hamming_pairs(hashes: DataFrame, most: int, part: str, key: str = "item_id") -> DataFrame:
     """(``i``, ``j``, ``distance``), i < j, of one part with at most ``most`` differing bits.
 
-    Two hashes at distance d agree on one of d + 1 segments: rows meet only where a segment is equal, then the
-    whole distance decides.
+    The 64 bits are cut into exactly ``most`` + 1 segments whose widths differ by one at most. Two hashes at distance
+    ``most`` or less agree on one of them: rows meet only where a segment is equal, then the whole distance decides.
     """
-    width = -(-64 // (most + 1))
-    segs = F.array(*[F.concat(F.lit(f"{s}:"), F.substring("bits", s * width + 1, width)) for s in range(most + 1) if s * width < 64])
+    cuts = [64 * s // (most + 1) for s in range(most + 2)]
+    segs = F.array(*[F.concat(F.lit(f"{s}:"), F.substring("bits", lo + 1, hi - lo)) for s, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
     half = lambda at: F.conv(F.substring("bits", at, 32), 2, 10).cast("long")
     signed = F.shiftleft(half(1), 32).bitwiseOR(half(33))
     h = hashes.select(F.col(key).alias("_k"), F.col(part).alias("_part"), signed.alias("_h"), F.explode(segs).alias("_s"))

@@ -120,6 +120,22 @@ def test_leaking_copies_flatter_the_neighbour(spark):
     assert auc["leaky"] > 0.8 and 0.3 < auc["clean"] < 0.7
 
 
+@pytest.mark.parametrize("most", [0, 6, 20, 31, 63])
+def test_hamming_pairs_at_the_bound(spark, most):
+    """Flipped bits spread over as many segments as can be, whatever the cut: every other bit, every fourth, or a run."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2, 64)
+    spots = [np.arange(0, 64, 4), np.arange(0, 64, 3), np.arange(64), *(rng.permutation(64) for _ in range(6))]
+    rows = [(0, "".join(map(str, base)), "k")]
+    for i, at in enumerate(spots):
+        b = base.copy()
+        b[np.concatenate([at, np.setdiff1d(np.arange(64), at)])[:most]] ^= 1
+        rows.append((i + 1, "".join(map(str, b)), "k"))
+    got = {(r.i, r.j): r.distance for r in similarity.hamming_pairs(spark.createDataFrame(rows, "item_id long, bits string, part string"), most, "part").collect()}
+    want = {(a[0], b[0]): d for a in rows for b in rows if a[0] < b[0] and (d := sum(x != y for x, y in zip(a[1], b[1]))) <= most}
+    assert got == want and len(want) >= 9
+
+
 def test_hamming_pairs_find_all(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2, 64)
