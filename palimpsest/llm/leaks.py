@@ -22,18 +22,42 @@ BLOCK = 5
 #: Passages that go to the executors together. More passages take more rounds over the texts.
 PASSAGES_PER_ROUND = 5_000
 
-_TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,200}>|<!--.{0,500}?-->", re.S)
+_TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]*+>")
+_SHORT_TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,200}>")
+_SHORT_COMMENT = re.compile(r"<!--.{0,500}?-->", re.S)
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = re.compile(r"[a-z0-9]+")
 
 
-def plain_words(text: str) -> list[str]:
-    """Words of a text in lower case without accents, punctuation, markup and invisible characters."""
+def _without_comments(text: str) -> str:
+    out, at = [], 0
+    while (lo := text.find("<!--", at)) >= 0 and (hi := text.find("-->", lo + 4)) >= 0:
+        out.append(text[at:lo])
+        at = hi + 3
+    return " ".join([*out, text[at:]])
+
+
+def readings(text: str) -> list[list[str]]:
+    """Words of a text in lower case without accents, punctuation, markup and invisible characters, in each way to read it.
+
+    Markup of any length is set aside. As what looks like a long tag or comment may be text between two signs, such a text
+    is also read with its long tags, its long comments or both left in.
+    """
     if "&" in text:
         text = html.unescape(html.unescape(text))
-    if "<" in text:
-        text = _TAG.sub(" ", text)
+    if "<" not in text:
+        return [_words(text)]
+    bare = [_without_comments(text), _SHORT_COMMENT.sub(" ", text)]
+    return [_words(t) for t in dict.fromkeys(tag.sub(" ", t) for t in bare for tag in (_TAG, _SHORT_TAG))]
+
+
+def plain_words(text: str) -> list[str]:
+    """The reading without any markup."""
+    return readings(text)[0]
+
+
+def _words(text: str) -> list[str]:
     if text.isascii():
         return _ASCII.findall(text.lower())
     text = _INVISIBLE.sub("", text)
@@ -82,18 +106,19 @@ def passage_windows(passages: list[tuple[int, str | None]], words: int = WORDS)
     """Every run of ``words`` words of the passages, joined, with the ids it belongs to."""
     out: dict[str, list] = {}
     for key, passage in passages:
-        w = plain_words(passage or "")
-        for k in range(len(w) - words + 1):
-            owners = out.setdefault("".join(w[k : k + words]), [])
-            if key not in owners:
-                owners.append(key)
+        for w in readings(passage or ""):
+            for k in range(len(w) - words + 1):
+                owners = out.setdefault("".join(w[k : k + words]), [])
+                if key not in owners:
+                    owners.append(key)
     return out
 
 
 def leaked_items(text: str | None, tables: WuManber) -> set:
-    if not text:
-        return set()
-    words = plain_words(text)
+    return set().union(*(_leaked(words, tables) for words in readings(text))) if text else set()
+
+
+def _leaked(words: list[str], tables: WuManber) -> set:
     joined = "".join(words)
     if len(joined) < tables.least:
         return set()

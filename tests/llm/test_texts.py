@@ -90,6 +90,18 @@ def test_spelling_does_not_hide_a_leak():
     assert leaks.leaked_items("z " * 50_000 + hidden[0] + " y" * 50_000, w) == {1}
 
 
+def test_long_markup_does_not_hide_a_leak():
+    p = "between greywold and the strasse stood 54 old towers a naive painter came"
+    w = leaks.WuManber(leaks.passage_windows([(1, p)]))
+    head, tail = p[:38], p[38:]
+    tag, comment = f'<a href="https://example.org/{"path/" * 200}">', f"<!-- {'some note > ' * 100}-->"
+    for t in (head + tag + tail, head + comment + tail, head + tag + comment + tail, f"if a <b then {p} {'x ' * 200} > c", f"<!-- {p} {'x ' * 400} -->", f"<!-- {head}{tag}{tail} {'x ' * 400} -->"):
+        assert leaks.leaked_items(t, w) == {1}
+    assert not leaks.leaked_items(head + " other words " + tail, w)
+    assert leaks.passage_windows([(1, head + tag + tail)]).keys() >= leaks.passage_windows([(1, p)]).keys()
+    assert leaks.leaked_items("<a " * 50_000 + "<!--" * 20_000 + p, w) == {1}
+
+
 def test_disguises_are_undone():
     assert abuse.sentences("You are a d1r7b4g. An i d i o t!") == ["you are a dirtbag", "an idiot"]
     assert abuse.sentences("p a y a s o   i n ú t i l") == ["payaso   inutil"]
