@@ -11,15 +11,23 @@ from palimpsest.session import written
 SALTS = 16
 
 
+def spread_join(df: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``small``, which has each key once.
+
+    The optimizer sends ``small`` to all tasks only if its size allows it; else both meet in a shuffle in which the rows of
+    every key are spread over ``SALTS`` parts.
+    """
+    each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(spread, F.lit(3)), F.lit(SALTS)).cast("int")).join(each, [*keys, "_salt"], how).drop("_salt")
+
+
 def with_blocks(df: DataFrame, keys: list[str], counts: DataFrame, rows: int, spread: Column) -> DataFrame:
     """Adds ``_blocks``: into how many blocks of about ``rows`` rows the key is cut; 1 for all but the hot ones.
 
-    ``counts`` holds the keys and ``n``. The hot keys are written on their own: the optimizer sends them to all tasks only
-    if their size allows it; else rows and hot keys meet in a shuffle in which every key is spread over ``SALTS`` parts.
+    ``counts`` holds the keys and ``n``. The hot keys are written on their own, so that their size is known.
     """
-    hot = counts.where(F.col("n") > rows).select(*keys, F.ceil(F.col("n") / rows).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    hot = written(hot, "hot")
-    return df.withColumn("_salt", F.pmod(F.xxhash64(spread, F.lit(3)), F.lit(SALTS)).cast("int")).join(hot, [*keys, "_salt"], "left").withColumn("_blocks", F.coalesce("_b", F.lit(1))).drop("_b", "_salt")
+    hot = written(counts.where(F.col("n") > rows).select(*keys, F.ceil(F.col("n") / rows).cast("int").alias("_b")), "hot")
+    return spread_join(df, hot, keys, spread, "left").withColumn("_blocks", F.coalesce("_b", F.lit(1))).drop("_b")
 
 
 def block_pairs(df: DataFrame, spread: Column) -> DataFrame:

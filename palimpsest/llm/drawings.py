@@ -17,7 +17,8 @@ def usable(cache: DataFrame, pixels: str = "x") -> DataFrame:
     """``item_id``, ``part`` (drawing type, or empty), ``height``, ``width``, ``x`` of the usable rows.
 
     Usable: height * width values that are not all equal. Null ids, sizes, ``x`` or values are not usable.
-    Rows exported twice stay twice. All of it is decided in the JVM, before any value goes to Python.
+    Rows exported twice stay twice. Decided in the JVM by compiled expressions; only a null among the values is
+    left to ``stacks``, which drops such rows, as looking for it here would run a lambda on every value.
     """
     x = F.col(pixels)
     return cache.select(
@@ -26,16 +27,23 @@ def usable(cache: DataFrame, pixels: str = "x") -> DataFrame:
         F.col("height").cast("int").alias("height"),
         F.col("width").cast("int").alias("width"),
         x.cast("array<smallint>").alias("x"),
-    ).where("item_id is not null and height > 0 and width > 0 and size(x) = height * width and array_min(x) < array_max(x) and not exists(x, v -> v is null)")
+    ).where("item_id is not null and height > 0 and width > 0 and size(x) = height * width and array_min(x) < array_max(x)")
 
 
 def stacks(batch: pa.RecordBatch, column: str = "x") -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """(row numbers, pixels (n, h*w), h, w) for every shape in the batch, oblong ones laid on the long side."""
+    """(row numbers, pixels (n, h*w), h, w) for every shape in the batch, oblong ones laid on the long side; rows with a null value are left out."""
     h, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("height", "width"))
-    values = batch.column(column)
-    flat, ends = values.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(h.astype(np.int64) * w)])
+    values = batch.column(column).flatten()
+    ends = np.concatenate([[0], np.cumsum(h.astype(np.int64) * w)])
+    whole = np.ones(batch.num_rows, bool)
+    if values.null_count:
+        whole[np.searchsorted(ends, np.flatnonzero(values.is_null().to_numpy(zero_copy_only=False)), "right") - 1] = False
+        values = values.fill_null(0)
+    flat = values.to_numpy(zero_copy_only=False)
     for hh, ww in sorted(set(zip(h.tolist(), w.tolist()))):
-        rows = np.flatnonzero((h == hh) & (w == ww))
+        rows = np.flatnonzero((h == hh) & (w == ww) & whole)
+        if not len(rows):
+            continue
         if len(rows) == batch.num_rows:
             px = flat.reshape(-1, hh * ww)
         else:

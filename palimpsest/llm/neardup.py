@@ -19,16 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.images import centred, turn_free_hash, turn_invariants
+from palimpsest.llm.blocks import block_pairs, pairs_across, pairs_within, with_blocks
 from palimpsest.llm.drawings import alike_pairs, stacks, usable
-from palimpsest.llm.names import known_type, with_drawing_key
+from palimpsest.llm.names import named, with_cores
 from palimpsest.session import shuffle_width, written
 
 #: Records of one block of a tile; a parameter of memory, not of the result.
 TILE_ROWS = 2_000
 #: Random directions whose clear signs are the tokens of a drawing, and how clear a sign must be.
 DIRECTIONS, CLEAR = 128, 0.5
-#: Codes of a drawing that serve as tile keys, and the signs in each.
+#: Codes of a drawing and signs of a code in a part of 2**16 drawings. Both grow with the logarithm of a part's drawings, see ``code_shape``.
 CODES, SIGNS = 24, 11
+#: How fast they grow, measured: a further sign leaves 0.59 of the pairs of any two drawings in a tile, so 1.31 signs
+#: halve them; the least alike 1 % of near duplicates agree on a sign with a chance of 1 / 1.165.
+SIGNS_PER_DOUBLING, CODES_PER_SIGN = 1.31, 1.165
 #: Least similarity (Jaccard) of the token sets of two drawings that are compared exactly.
 DRAWING_SETS = 0.55
 #: Parts (type and shape) with so many different drawings at most are compared pair by pair.
@@ -131,22 +135,14 @@ def tile_join(records: DataFrame, least: float, rows: int = TILE_ROWS) -> DataFr
     ``records``: ``id`` long, ``keys`` array<long>, ``tokens`` array of integers, sorted, without repeats.
     Null or empty key or token arrays pair with nothing; an id on several rows is one record. Only id, size and
     bitmap go to the tiles; the arrays meet just for pairs that pass the bound. Tiles of more than ``rows`` records
-    are cut into blocks. The list of such tiles that is broadcast has 20,000 entries at most, as a tile counts as
-    hot only from a 20,000th of all rows.
+    are cut into pairs of blocks.
     """
     spark = records.sparkSession
     own = records.where("size(tokens) > 0").select("id", "keys", F.size("tokens").alias("size"), *_bitmap_words())
     keyed = own.select("id", "size", "w0", "w1", "w2", "w3", F.explode(F.array_distinct("keys")).alias("key"))
-    counts = written(records.where("size(tokens) > 0").select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "tiles")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    hot = counts.where(F.col("n") > max(rows, total // 20_000)).select("key", F.ceil(F.col("n") / rows).cast("int").alias("blocks"))
-    placed = (
-        keyed.join(F.broadcast(hot), "key", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "id", "size", "w0", "w1", "w2", "w3")
-    )
+    counts = written(records.where("size(tokens) > 0").select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > rows), "tiles")
+    placed = block_pairs(with_blocks(keyed, ["key"], counts, rows, F.col("id")), F.col("id"))
+    placed = placed.select("key", "b1", "b2", "own", "id", "size", "w0", "w1", "w2", "w3")
     tiled = placed.repartition(shuffle_width(spark), "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
     maybe = tiled.mapInPandas(_compare(least), "a long, b long").distinct()
     once = records.select("id", "tokens").dropDuplicates(["id"])
@@ -154,6 +150,29 @@ def tile_join(records: DataFrame, least: float, rows: int = TILE_ROWS) -> DataFr
     return maybe.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_intersect(least), "a long, b long")
 
 
+#: A token is common from this share of all tokens on, so that there are at most 20,000 common ones.
+COMMON = 1 / 20_000
+
+
+def with_rarest_keys(records: DataFrame, least: float) -> DataFrame:
+    """Adds ``keys``: of the (``id``, ``tokens``) of each record as many of the rarest tokens as two sets with a Jaccard of
+    ``least`` can't both do without, so that all such pairs share a key. Numbers are counted over all records.
+
+    The common tokens (20,000 at most) are looked up where the records lie, so no token's rows meet in one task.
+    """
+    each = records.select("id", F.explode("tokens").alias("t"))
+    counts = written(each.groupBy("t").agg(F.count("*").alias("n")), "tokens")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    common = F.col("n") > COMMON * total
+    looked = each.join(F.broadcast(counts.where(common).withColumnRenamed("n", "_n")), "t", "left")
+    rare = looked.where("_n is null").select("id", "t").join(counts.where(~common), "t").select("id", "t", "n")
+    rated = rare.unionByName(looked.where("_n is not null").select("id", "t", F.col("_n").alias("n")))
+    order = F.array_sort(F.collect_list(F.struct("n", "t")))
+    keep = F.col("_size") - F.ceil(least * F.col("_size") - 1e-9).cast("int") + 1
+    keys = rated.groupBy("id").agg(order.alias("_o")).withColumn("_size", F.size("_o")).select("id", F.transform(F.slice("_o", 1, keep), lambda e: e["t"]).alias("keys"))
+    return records.join(keys, "id")
+
+
 # ---------------------------------------------------------------- drawings
 
 
@@ -161,9 +180,16 @@ def _directions(dims: int) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((dims, DIRECTIONS)).astype(np.float32)
 
 
-def _codes_of() -> tuple[np.ndarray, np.ndarray]:
+def code_shape(n: int) -> tuple[int, int]:
+    """(codes, signs) for a part of ``n`` drawings: the signs grow so that a tile keeps its size, the codes so that near
+    duplicates keep their chance to share one. Comparisons for each drawing grow as the codes, as n ** 0.29."""
+    signs = max(1, round(SIGNS + SIGNS_PER_DOUBLING * (np.log2(max(n, 2)) - 16)))
+    return max(4, int(np.ceil(CODES * CODES_PER_SIGN ** (signs - SIGNS)))), min(signs, 60)
+
+
+def _codes_of(codes: int, signs: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(11)
-    return np.stack([rng.choice(DIRECTIONS, SIGNS, replace=False) for _ in range(CODES)]), 1 << np.arange(SIGNS, dtype=np.int64)
+    return np.stack([rng.choice(DIRECTIONS, signs, replace=False) for _ in range(codes)]), 1 << np.arange(signs, dtype=np.int64)
 
 
 def drawing_views(drawings: DataFrame) -> DataFrame:
@@ -228,22 +254,22 @@ def drawing_sets(classes: DataFrame, small: int = SMALL_PART) -> DataFrame:
     schema = pa.schema([("item_id", pa.int64()), ("part", pa.string()), ("codes", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int16()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members, weight = _codes_of()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            few = batch.column("n").to_numpy(zero_copy_only=False) <= small
-            for rows in (np.flatnonzero(few), np.flatnonzero(~few)):
+            parts = batch.column("n").to_numpy(zero_copy_only=False)
+            for n_part in np.unique(parts):
+                rows = np.flatnonzero(parts == n_part)
                 n = len(rows)
-                if not n:
-                    continue
                 some = batch.take(pa.array(rows))
-                if few[rows[0]]:
+                if n_part <= small:
                     codes, i, t = np.full((n, 1), -1, np.int64), np.arange(n), np.zeros(n, np.int16)
                 else:
+                    members, weight = _codes_of(*code_shape(int(n_part)))
                     z = _views(some.column("view")) - some.column("centre").flatten().to_numpy(zero_copy_only=False).reshape(n, DIRECTIONS)
                     z *= DIRECTIONS**0.5 / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-                    codes = ((z > 0)[:, members] * weight).sum(axis=2) + (np.arange(CODES, dtype=np.int64) << 40)
+                    codes = np.stack([(z > 0)[:, m] @ weight for m in members], axis=1)
+                    codes = codes * len(members) + np.arange(len(members), dtype=np.int64) if len(weight) <= 50 else codes ^ (np.arange(len(members), dtype=np.int64) << 52)
                     i, t = np.nonzero(np.hstack([z > CLEAR, z < -CLEAR]))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=n))]).astype(np.int32)
                 starts = np.arange(n + 1, dtype=np.int32) * codes.shape[1]
@@ -281,45 +307,48 @@ def drawing_duplicates(cache: DataFrame, least: float = 0.90) -> tuple[DataFrame
 
 # ---------------------------------------------------------------- paths
 
-
-def path_records(manifest: DataFrame) -> DataFrame:
-    """``item_id``, ``name`` (hash of type and drawing key), ``tokens``: name, number, trial and both as one."""
-    kind = known_type(F.col("drawing_type"), F.col("class_name"))
-    p = F.split("_key", "[#;]")
-    whole = F.xxhash64(F.col("_type"), F.col("_key"))
-    return (
-        with_drawing_key(manifest.select(F.col("item_id").cast("long").alias("item_id"), kind.alias("_type"), "path"), "path", "_key")
-        .select("item_id", "_type", "_key")
-        .where("item_id is not null and _type is not null and _key is not null")
-        .distinct()
-        .select(
-            "item_id",
-            whole.alias("name"),
-            F.sort_array(F.array_distinct(F.array(whole, F.xxhash64(F.lit("word"), p[0]), F.xxhash64(F.lit("number"), p[1]), F.xxhash64(F.lit("trial"), p[2])))).alias("tokens"),
-        )
+#: Least Jaccard of the token sets of two names that are compared word by word.
+NAME_SETS = 0.8
+
+
+def name_tokens(cores: DataFrame) -> DataFrame:
+    """``id`` (of type and stem), ``name`` (hash of all that tells a drawing) and ``tokens`` of a name: its words, its number, the last
+    word with the number, the number with the trial. Tokens are hashed with the type, so types don't mix."""
+    words = F.split("unit", " ")
+    last, before = F.element_at(words, -1), F.try_element_at(words, F.lit(-2))
+    rest = F.filter(F.split("rest", " "), lambda w: w != "")
+    of = lambda kind, text: F.xxhash64("type", F.lit(kind), text)
+    tokens = F.concat(
+        F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: of("word", w)),
+        F.transform(rest, lambda w: of("rest", w)),
+        F.array(of("number", last), of("both", F.concat_ws(" ", before, last)), of("trial", F.concat_ws(" ", last, "trial"))),
     )
+    return cores.select(F.xxhash64("type", "stem").alias("id"), F.xxhash64("type", "unit", "rest", "trial").alias("name"), F.sort_array(F.array_distinct(tokens)).alias("tokens"))
 
 
-def path_duplicates(manifest: DataFrame) -> DataFrame:
-    """(``a``, ``b``): items of one type whose paths name the same drawing, i.e. whose token sets are equal.
+def path_duplicates(manifest: DataFrame, least: float = NAME_SETS) -> DataFrame:
+    """(``a``, ``b``): items of one type whose paths name the same drawing.
 
-    The tile key is the rarest token by construction, the whole name. Items with null paths, or without a
-    type, pair with nothing; an item listed twice is one item, one listed under two names pairs by either.
+    Records are the different spelled file names of a type; their tiles are their rarest tokens, of which two alike names
+    share one. What reaches a Jaccard of ``least`` is then compared in full: words, number, trial and what follows.
+    Items with null paths, or without a type, pair with nothing; an item listed twice is one item, one listed under two
+    names pairs by either. Items under one spelled name pair without a comparison.
     """
-    r = written(path_records(manifest).withColumn("record", F.xxhash64("item_id", "name")), "paths")
-    pairs = tile_join(r.select(F.col("record").alias("id"), F.array("name").alias("keys"), "tokens"), 1.0)
-    ra, rb = (r.select(F.col("record").alias(s), F.col("item_id").alias(f"_{s}")) for s in "ab")
-    named = pairs.join(ra, "a").join(rb, "b").where("_a <> _b")
-    return named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+    items = written(named(manifest).withColumn("record", F.xxhash64("type", "stem")), "paths")
+    records = written(name_tokens(with_cores(items.select("type", "stem").distinct())), "sets")
+    pairs = tile_join(with_rarest_keys(records.select("id", "tokens"), least), least)
+    na, nb = (records.select(F.col("id").alias(s), F.col("name").alias(f"_{s}")) for s in "ab")
+    same = pairs.join(na, "a").join(nb, "b").where("_a = _b").select("a", "b")
+    members = items.select("record", "item_id").distinct()
+    out = pairs_across(same, members, "record", "item_id").unionByName(pairs_within(members, "record", "item_id"))
+    return out.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
 
 
 def near_duplicates(manifest: DataFrame, cache: DataFrame, least: float = 0.90) -> DataFrame:
     """(``field``, ``item_a``, ``item_b``) of both fields: every pair once, the smaller id first."""
     pairs, members = drawing_duplicates(cache, least)
-    ma, mb = (members.select(F.col("rep").alias(s), F.col("item_id").alias(f"_{s}")) for s in "ab")
-    across = pairs.select("a", "b").join(ma, "a").join(mb, "b").select("_a", "_b")
-    within = ma.join(mb, F.col("a") == F.col("b")).where("_a < _b").select("_a", "_b")
-    x = across.unionByName(within).select(F.lit("x").alias("field"), F.least("_a", "_b").alias("item_a"), F.greatest("_a", "_b").alias("item_b"))
+    x = pairs_across(pairs, members, "rep", "item_id").unionByName(pairs_within(members, "rep", "item_id"))
+    x = x.select(F.lit("x").alias("field"), F.col("_a").alias("item_a"), F.col("_b").alias("item_b"))
     p = path_duplicates(manifest).select(F.lit("path").alias("field"), F.col("a").alias("item_a"), F.col("b").alias("item_b"))
     return x.unionByName(p)
 

@@ -1,117 +1,166 @@
 """Problem 5: the same or nearly the same records in evaluation and training splits.
 
-The names of all records are laid out as texts, and the suffixes of the distinct texts are put into a
-suffix array that is partitioned by range (sorted inside each partition). Neighbours with a long common
-prefix tell a shared span; spans that hold the whole core of a name (its words and number) bind two
-records, and all spans of a record together give its coverage. Spans are told by their content, so a
-run that goes on in the next partition keeps its name; the first and last suffix of each partition are
-always let through, as their other neighbour lies elsewhere.
+The names of all records are laid out as texts and all their suffixes are put into one suffix array, partitioned by range and
+sorted inside each partition. Of each suffix the longest common prefix with any suffix of another side (split) is that with
+its nearest one of another side before or after it. Where that neighbour lies in another partition, the last and first
+suffixes of the partitions, a few for each, tell its length. These prefixes are the shared spans: merged they give the
+coverage of a record, and a span that holds the whole unit of a name (its words and number) makes it a candidate.
+
+Suffixes are kept as their first ``KEY`` characters: a longer shared span shows as one of at least ``KEY`` characters at each
+of its places, so the merged coverage stays exact and the array needs ``KEY`` characters for each character of the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.names import file_stem, known_type, part_of, with_drawing_key
+from palimpsest.llm.blocks import pairs_across
+from palimpsest.llm.names import named, part_of, with_cores
 from palimpsest.session import shuffle_width, written
 
+#: Characters of a suffix that are kept.
+KEY = 64
+#: Least length of a shared span.
+LEAST = 8
 
-def named_items(manifest: DataFrame) -> DataFrame:
-    """Distinct (``item_id``, ``type``, ``key``, ``part``, ``text``, ``source``) of the listed files.
 
-    ``text`` is the file name in one spelling in which the core stands as ``name#number;trial`` between
-    bars, with whatever copying added around it; files listed again give equal rows, which count once.
-    """
-    stem = F.regexp_replace(file_stem(F.col("path")), r"[|#;]", " ")
-    return (
-        with_drawing_key(manifest.select("item_id", "path", known_type(F.col("drawing_type"), F.col("class_name")).alias("type"), part_of(F.col("split")).alias("part"), "source"), "path", "key")
-        .select("item_id", "type", "key", "part", stem.alias("_stem"), "source")
-        .where("item_id is not null and type is not null and key is not null")
-        .withColumn("text", F.concat(F.col("_stem"), F.lit("|"), F.col("type"), F.lit("|"), F.col("key"), F.lit("|")))
-        .drop("_stem")
-        .distinct()
-    )
+def common_prefixes(keys: list[str]) -> np.ndarray:
+    """Length of the common prefix of each key with the one before it (0 for the first)."""
+    a = np.array(keys, dtype=np.str_)
+    wide = a.view(np.uint32).reshape(len(a), -1)
+    differs = wide[1:] != wide[:-1]
+    length = np.where(differs.any(axis=1), differs.argmax(axis=1), wide.shape[1])
+    own = np.char.str_len(a)
+    return np.concatenate([[0], np.minimum(length, np.minimum(own[1:], own[:-1]))]).astype(np.int32)
+
 
+def to_other_side(lcp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix, open) for each suffix in order: the common prefix with the nearest suffix before it of another side; where all
+    before it are of its own side (``open``), that with the first suffix."""
+    n = len(lcp)
+    start = np.concatenate([[True], side[1:] != side[:-1]])
+    run = np.cumsum(start) - 1
+    # least of the prefixes since the run began: later runs are moved below all earlier ones, so that one pass serves all
+    big = int(lcp.max(initial=0)) + 1
+    first = lcp.astype(np.int64).copy()
+    first[0] = big - 1
+    least = np.minimum.accumulate(first - run * big) + run * big
+    return least.astype(np.int32), np.arange(n) < (np.flatnonzero(start)[1] if run[-1] else n)
+
+
+def _array_of(sides: int):
+    """Rows of one partition of the array in order -> spans (kind 0) and what other partitions need of this one (kinds 1 to 4)."""
 
-def _runs(least: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come in the order of the suffixes. Gives (span, text, start, length) for suffixes with a neighbour that shares
-        ``least`` characters or the core, whichever is longer, and for those of texts that several records have."""
-        last = None
-        last_kept = True
+        lcps, sides_, rids, ats, offs = [], [], [], [], []
+        last = ""
+        first_of: dict[int, str] = {}
+        last_of: dict[int, str] = {}
+        head = pid = None
         for f in frames:
-            keep = []
-            for suffix, core, tid, at, shared in zip(f["_suffix"], f["_core"], f["tid"], f["_at"], f["shared"]):
-                row = (suffix, core, tid, at)
-                need = max(core, least)
-                if last is None:
-                    keep.append((suffix[:need], tid, at, need))
-                    last_kept = True
-                else:
-                    other, other_core, other_tid, other_at = last
-                    common = 0
-                    limit = min(len(suffix), len(other))
-                    while common < limit and suffix[common] == other[common]:
-                        common += 1
-                    if not last_kept and common >= max(other_core, least):
-                        keep.append((other[: max(other_core, least)], other_tid, other_at, max(other_core, least)))
-                    last_kept = False
-                    if shared or common >= need:
-                        keep.append((suffix[:need], tid, at, need))
-                        last_kept = True
-                last = row
-            yield pd.DataFrame(keep, columns=["span", "tid", "at", "length"])
-        if last is not None and not last_kept:
-            suffix, core, tid, at = last
-            need = max(core, least)
-            yield pd.DataFrame([(suffix[:need], tid, at, need)], columns=["span", "tid", "at", "length"])
+            if not len(f):
+                continue
+            keys, s = f["key"].tolist(), f["side"].to_numpy(np.int8)
+            if head is None:
+                head, pid = keys[0], int(f["pid"].iloc[0])
+            lcps.append(common_prefixes([last, *keys])[1:])
+            last = keys[-1]
+            for v in np.unique(s):
+                at = np.flatnonzero(s == v)
+                first_of.setdefault(int(v), keys[at[0]])
+                last_of[int(v)] = keys[at[-1]]
+            sides_.append(s)
+            rids.append(f["rid"].to_numpy(np.int64))
+            ats.append(f["at"].to_numpy(np.int32))
+            offs.append(f["off"].to_numpy(np.int32))
+        if head is None:
+            return
+        lcp, side = np.concatenate(lcps), np.concatenate(sides_)
+        before, open_b = to_other_side(lcp, side)
+        back = np.concatenate([lcp[1:], [0]])[::-1]
+        after, open_a = (x[::-1] for x in to_other_side(back, side[::-1]))
+        off = np.concatenate(offs)
+        # an open end reaches as far as the common prefix with the partition's first or last suffix, the whole key for that one itself
+        keep = np.maximum(before, after) - off >= LEAST
+        yield pd.DataFrame(
+            {
+                "kind": 0, "pid": pid, "rid": np.concatenate(rids)[keep], "at": np.concatenate(ats)[keep], "off": off[keep], "side": side[keep].astype(np.int32),
+                "before": before[keep], "open_before": open_b[keep], "after": after[keep], "open_after": open_a[keep], "key": None,
+            },
+            columns=ROWS,
+        )
+        edges = [(1, -1, head), (2, -1, last), *((3, v, k) for v, k in first_of.items()), *((4, v, k) for v, k in last_of.items())]
+        yield pd.DataFrame([(kind, pid, 0, 0, 0, v, 0, False, 0, False, key) for kind, v, key in edges], columns=ROWS)
 
     return run
 
 
-def shared_spans(texts: DataFrame, least: int = 8, word_starts: bool = False) -> DataFrame:
-    """(``span``, ``tid``, ``at``, ``length``): stretches of the texts that may occur elsewhere too.
+ROWS = ["kind", "pid", "rid", "at", "off", "side", "before", "open_before", "after", "open_after", "key"]
+ROW_TYPES = "kind int, pid int, rid long, at int, off int, side int, before int, open_before boolean, after int, open_after boolean, key string"
+
 
-    ``texts`` has ``tid``, ``text`` and ``shared`` (several records have it); the core of a text is what stands between its last two bars, with the
-    type in front. Suffixes shorter than ``least`` are left out. With ``word_starts`` the array is sparse: it holds
-    the suffixes that begin where a word or a core does, which is all that a search for whole names needs.
+def _prefix(a: str, b: str) -> int:
+    n = min(len(a), len(b))
+    return next((i for i in range(n) if a[i] != b[i]), n)
+
+
+def shared_spans(texts: DataFrame, sides: int) -> DataFrame:
+    """(``rid``, ``at``, ``length``): places of the texts from which ``LEAST`` characters or more also stand in a text of another side.
+
+    ``texts``: ``rid`` (one for each text and side), ``group`` (only texts of one group are compared), ``text`` and ``side`` (0 to
+    ``sides`` - 1). ``length`` is the longest such span, ``KEY`` at most. Null and shorter texts have none.
     """
-    core_at = F.length(F.substring_index("text", "|", 1)) + 1
-    suffixes = (
-        texts.select("tid", "text", "shared", core_at.alias("_core_at"))
-        .withColumn("_at", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - least, F.lit(0)))))
-        .where(F.lit(not word_starts) | (F.col("_at") == F.col("_core_at")) | (F.col("_at") == 0) | F.expr("substring(text, _at, 2)").rlike("^[^a-z0-9][a-z0-9]"))
-        .select(
-            F.expr("substring(text, _at + 1)").alias("_suffix"),
-            F.when(F.col("_at") == F.col("_core_at"), F.length("text") - F.col("_core_at")).otherwise(least).alias("_core"),
-            "tid",
-            "_at",
-            "shared",
-        )
-        .where(F.length("_suffix") >= least)
-    )
-    array = suffixes.repartitionByRange(shuffle_width(texts.sparkSession), "_suffix").sortWithinPartitions("_suffix", "tid")
-    return array.mapInPandas(_runs(least), "span string, tid long, at int, length int")
+    spark = texts.sparkSession
+    rows = texts.where(F.length("text") >= LEAST).select("rid", "group", "text", "side", (F.length("group") + 1).cast("int").alias("off"))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("text") - LEAST)))
+    rows = rows.select(F.concat("group", F.lit("|"), F.expr(f"substring(text, at + 1, {KEY})")).alias("key"), "rid", "at", "off", F.col("side").cast("int").alias("side"))
+    array = rows.repartitionByRange(shuffle_width(spark), "key", "rid").sortWithinPartitions("key", "rid", "at").withColumn("pid", F.spark_partition_id())
+    got = written(array.mapInPandas(_array_of(sides), ROW_TYPES), "suffixes")
+    # a few rows for each partition of the array, whatever the number of texts
+    edges = got.where("kind > 0").select("kind", "pid", "side", "key").collect()
+    of = {(e["kind"], e["pid"], e["side"]): e["key"] for e in edges}
+    order = sorted({e["pid"] for e in edges})
+    ends = []
+    for step, mine, theirs in ((1, 1, 4), (-1, 2, 3)):
+        seen: dict[int, str] = {}
+        for pid in order[::step]:
+            head = of[mine, pid, -1]
+            for s in range(sides):
+                near = [_prefix(head, k) for v, k in seen.items() if v != s]
+                ends.append((pid, s, step, max(near, default=0)))
+            seen |= {s: of[theirs, pid, s] for s in range(sides) if (theirs, pid, s) in of}
+    reach = spark.createDataFrame(ends, "pid int, side int, step int, reach int")
+    b, a = (reach.where(f"step = {step}").select("pid", "side", F.col("reach").alias(n)) for step, n in ((1, "_b"), (-1, "_a")))
+    spans = got.where("kind = 0").join(F.broadcast(b), ["pid", "side"]).join(F.broadcast(a), ["pid", "side"])
+    best = F.greatest(F.when(F.col("open_before"), F.least("before", "_b")).otherwise(F.col("before")), F.when(F.col("open_after"), F.least("after", "_a")).otherwise(F.col("after")))
+    return spans.select("rid", "at", (best - F.col("off")).alias("length")).where(F.col("length") >= LEAST)
 
 
 def name_overlaps(manifest: DataFrame) -> DataFrame:
     """(``item_a``, ``item_b``) with the smaller id first: one listed in training, the other in an evaluation
     split, whose names tell the same drawing of the same type. Unknown and null splits count for none.
+
+    The texts are the spelled file names. A record goes on if the suffix array shows that its whole unit stands in a name of
+    the other side; records with the same span are then compared in full (what follows the number, and the trial).
     """
-    items = written(named_items(manifest).withColumn("tid", F.xxhash64("text")), "names")
-    texts = items.groupBy("tid", "text").agg((F.count("*") > 1).alias("shared"))
-    spans = shared_spans(texts, least=8, word_starts=True)
-    whole = spans.join(texts.select("tid", "text"), "tid").where(F.col("at") == F.length(F.substring_index("text", "|", 1)) + 1).select("span", "tid")
-    members = whole.join(items.select("tid", "item_id", "type", "key", "part"), "tid").select("span", "item_id", "type", "key", "part").distinct()
-    train = members.where("part = 'train'").select("span", "type", "key", F.col("item_id").alias("_t"))
-    held = members.where("part in ('val', 'test')").select("span", "type", "key", F.col("item_id").alias("_e"))
-    # the span binds them; type and key confirm it
-    pairs = train.join(held, ["span", "type", "key"]).where("_t <> _e")
-    return pairs.select(F.least("_t", "_e").alias("item_a"), F.greatest("_t", "_e").alias("item_b")).distinct()
+    items = written(named(manifest, part_of(F.col("split")).alias("part")).where("part is not null").withColumn("side", (F.col("part") != "train").cast("int")), "names")
+    every = named(manifest).select("type", "stem").distinct()
+    texts = items.select("type", "stem", "side").distinct().withColumn("rid", F.xxhash64("type", "stem", "side"))
+    spans = shared_spans(texts.select("rid", F.col("type").alias("group"), F.concat("stem", F.lit("  ")).alias("text"), "side"), 2)
+    known = texts.join(with_cores(every), ["type", "stem"])
+    whole = F.least(F.length("unit") + 1, F.lit(KEY))  # the blank that ends the unit stands in the other name too
+    long = known.join(spans, "rid").where((F.col("at") == F.col("lead")) & (F.col("length") >= whole))
+    short = known.where(F.length("unit") + 2 < LEAST)  # too short for the array
+    bound = written(long.select("rid", "type", "unit", "rest", "trial", "side").unionByName(short.select("rid", "type", "unit", "rest", "trial", "side")), "spans")
+    train, held = (bound.where(F.col("side") == s).select("type", "unit", "rest", "trial", F.col("rid").alias(n)) for s, n in ((0, "a"), (1, "b")))
+    pairs = train.join(held, ["type", "unit", "rest", "trial"]).select("a", "b")
+    members = items.select(F.xxhash64("type", "stem", "side").alias("rid"), "item_id").distinct()
+    return pairs_across(pairs, members, "rid", "item_id").select(F.col("_a").alias("item_a"), F.col("_b").alias("item_b")).distinct()
 
 
 def overlap_report(manifest: DataFrame) -> DataFrame:
@@ -130,24 +179,18 @@ def overlap_report(manifest: DataFrame) -> DataFrame:
     )
 
 
-def span_coverage(manifest: DataFrame, least: int = 8) -> DataFrame:
-    """``item_id``, ``part``, ``length`` of its name and ``covered``: characters of it in spans of ``least`` or more
-    that also occur in the name of a record of another part. Spans that overlap are merged.
+def span_coverage(manifest: DataFrame) -> DataFrame:
+    """``item_id``, ``part``, ``length`` of its spelled name and ``covered``: characters of it in spans of ``LEAST`` or more
+    that also occur in the name of a record of the same type and another part. Spans that overlap are merged.
     """
-    items = written(named_items(manifest).where("part is not null").withColumn("text", F.substring_index("text", "|", 1)).withColumn("tid", F.xxhash64("text")), "names")
-    texts = items.groupBy("tid", F.concat("text", F.lit("||")).alias("text")).agg((F.count("*") > 1).alias("shared"))
-    spans = written(shared_spans(texts, least), "spans")
-    parts = items.select("tid", "part").distinct()
-    both = spans.select("span", "tid").distinct().join(parts, "tid").groupBy("span").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi"))
-    crossing = spans.join(both.where("_lo <> _hi").select("span"), "span").groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("at", "length"))).alias("_s"))
+    items = written(named(manifest, part_of(F.col("split")).alias("part")).where("part is not null").withColumn("rid", F.xxhash64("type", "stem", "part")), "names")
+    side = F.when(F.col("part") == "train", 0).when(F.col("part") == "val", 1).otherwise(2).alias("side")
+    spans = shared_spans(items.select("rid", F.col("type").alias("group"), F.col("stem").alias("text"), side).distinct(), 3)
+    crossing = spans.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("at", "length"))).alias("_s"))
     merged = F.expr(
         "aggregate(_s, named_struct('end', 0, 'sum', 0), (a, s) -> named_struct("
         "'end', greatest(a.end, s.at + s.length), 'sum', a.sum + greatest(0, s.at + s.length - greatest(a.end, s.at))), a -> a.sum)"
     )
-    got = crossing.select("tid", merged.alias("_covered"))
-    return (
-        items.select("item_id", "part", "tid", F.length("text").alias("length"))
-        .distinct()
-        .join(got, "tid", "left")
-        .select("item_id", "part", "length", F.least("length", F.coalesce("_covered", F.lit(0))).alias("covered"))
-    )
+    got = crossing.select("rid", merged.alias("_covered"))
+    length = F.length("stem")
+    return items.select("item_id", "part", "rid", length.alias("length")).distinct().join(got, "rid", "left").select("item_id", "part", "length", F.least("length", F.coalesce("_covered", F.lit(0))).alias("covered"))
