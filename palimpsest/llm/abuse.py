@@ -23,14 +23,17 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 FIT_ROWS = 12_000
 SLOTS = 1 << 17
 EPOCHS = 90
-#: Shares of labels that raters get wrong, which the training allows for instead of learning them by heart.
-WRONG_YES, WRONG_NO = 0.02, 0.05
+#: Shares of labels that raters get wrong (yes for no, no for yes), which the training allows for instead of learning them by
+#: heart: what is assumed where no document has several raters, and how many labels that assumption weighs.
+WRONG_YES, WRONG_NO, WEIGHT = 0.02, 0.05, 200
 
 #: Letters of other alphabets that look like Latin ones, and digits and signs used for letters.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһкмнтвзϲοαερικντυ", "aeopcyxijsdhkmhtb3coaepiktvu"))
 DIGITS = dict(zip("0134578@$", "oieastbas"))
 
-_TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,200}>|<!--.{0,500}?-->", re.S)
+_TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]*+>")
+#: What looks like a tag or comment of more characters may be text between two signs: it is read as sentences of its own.
+LONG_TAG = 200
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _SPELLED = re.compile(r"(?<![^\W_])([^\W\d_](?:(?:[ .·_\-*]| )[^\W\d_]){2,})(?![^\W_])")
 _STARRED = re.compile(r"(?<!\w)([^\W\d_])(\*{2,})([^\W\d_])(?!\w)")
@@ -42,12 +45,25 @@ _LOOK = str.maketrans(LOOKALIKES)
 _LEET = str.maketrans(DIGITS)
 
 
+def _without_markup(text: str) -> str:
+    """Tags and comments of any length taken out of the running text; the inside of long ones follows on lines of its own."""
+    inside, out, at = [], [], 0
+    while (lo := text.find("<!--", at)) >= 0 and (hi := text.find("-->", lo + 4)) >= 0:
+        out.append(text[at:lo])
+        if hi - lo > LONG_TAG:
+            inside.append(text[lo + 4 : hi])
+        at = hi + 3
+    text = " ".join([*out, text[at:]])
+    inside += [m[0][1:-1] for m in _TAG.finditer(text) if len(m[0]) > LONG_TAG]
+    return "\n".join([_TAG.sub(" ", text), *inside])
+
+
 def readable(text: str) -> str:
     """The text in lower case with markup, accents, invisible signs and disguised spellings undone."""
     if "&" in text:
         text = html.unescape(html.unescape(text))
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _without_markup(text)
     text = _INVISIBLE.sub("", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
@@ -109,8 +125,9 @@ class NoisyOr:
         return 1 / (1 + np.exp(-z))
 
     @classmethod
-    def fit(cls, texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.15, decay: float = 8e-6) -> NoisyOr:
-        """Adam on the noisy-or's log loss. ``labels`` are (n, 3) in 0..1, NaN where unknown."""
+    def fit(cls, texts: list[str | None], labels: np.ndarray, wrong: np.ndarray | None = None, epochs: int = EPOCHS, rate: float = 0.15, decay: float = 8e-6) -> NoisyOr:
+        """Adam on the noisy-or's log loss. ``labels`` are (n, 3) in 0..1, NaN where unknown; ``wrong`` (2, 3) the raters' errors."""
+        wrong_yes, wrong_no = np.array([[WRONG_YES] * 3, [WRONG_NO] * 3]) if wrong is None else wrong
         slot, sent, owner, scale = [], [], [], []
         n_sent = 0
         for d, t in enumerate(texts):
@@ -139,9 +156,9 @@ class NoisyOr:
             p = 1 / (1 + np.exp(-z))
             log_none = np.stack([np.bincount(owner, np.log1p(-np.minimum(p[:, c], 1 - 1e-9)), n_docs) for c in range(3)], axis=1)
             whole = np.clip(-np.expm1(log_none), 1e-9, 1 - 1e-9)
-            # the label is seen through the raters' errors: P' = WRONG_YES + (1 - WRONG_YES - WRONG_NO) * P
-            k = 1 - WRONG_YES - WRONG_NO
-            seen = WRONG_YES + k * whole
+            # the label is seen through the raters' errors: P' = wrong_yes + (1 - wrong_yes - wrong_no) * P
+            k = 1 - wrong_yes - wrong_no
+            seen = wrong_yes + k * whole
             g_doc = np.where(known, k * (1 - whole) * ((1 - y) / (1 - seen) - y / seen), 0.0)
             g_z = g_doc[owner] * p
             g_w = np.stack([np.bincount(place, g_z[sent, c] * per, len(used)) for c in range(3)], axis=1) / n_docs + decay * w
@@ -162,9 +179,36 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS
     return mean.join(d, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
 
 
+def rater_errors(labels: DataFrame, rounds: int = 200) -> np.ndarray:
+    """(2, 3): for each category the share of yes labels for documents without it and of no labels for documents with it.
+
+    Estimated from all documents with several raters: the truth of each is unknown, and raters err independently
+    (expectation maximisation). Only the counts of (yes, raters) leave the cluster. The assumed shares weigh as ``WEIGHT`` labels.
+    """
+    out = np.array([[WRONG_YES] * 3, [WRONG_NO] * 3])
+    for c, name in enumerate(CATEGORIES):
+        good = labels.where(F.col("doc_id").isNotNull() & F.col(name).isin(0, 1))
+        per = good.groupBy("doc_id").agg(F.sum(name).alias("k"), F.count("*").alias("m")).where("m > 1").groupBy("k", "m").agg(F.count("*").alias("n")).toPandas()
+        if not len(per):
+            continue
+        k, m, n = (per[x].to_numpy(float) for x in "kmn")
+        share = np.clip((k * n).sum() / (m * n).sum(), 1e-3, 0.5)
+        yes, no = WRONG_YES, WRONG_NO
+        for _ in range(rounds):
+            with_, without = share * (1 - no) ** k * no ** (m - k), (1 - share) * yes**k * (1 - yes) ** (m - k)
+            p = with_ / (with_ + without)
+            share = np.clip((p * n).sum() / n.sum(), 1e-6, 1 - 1e-6)
+            yes = ((1 - p) * n * k).sum() + WEIGHT * WRONG_YES
+            yes /= ((1 - p) * n * m).sum() + WEIGHT
+            no = (p * n * (m - k)).sum() + WEIGHT * WRONG_NO
+            no /= (p * n * m).sum() + WEIGHT
+        out[:, c] = yes, no
+    return out
+
+
 def fitted(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> NoisyOr:
     f = labelled_texts(documents, labels, rows)
-    return NoisyOr.fit(list(f["_text"]), f[[f"_{c}" for c in CATEGORIES]].to_numpy(float).reshape(-1, 3))
+    return NoisyOr.fit(list(f["_text"]), f[[f"_{c}" for c in CATEGORIES]].to_numpy(float).reshape(-1, 3), rater_errors(labels))
 
 
 def scored(documents: DataFrame, model: NoisyOr) -> DataFrame:

@@ -30,6 +30,17 @@ def with_blocks(df: DataFrame, keys: list[str], counts: DataFrame, rows: int, sp
     return spread_join(df, hot, keys, spread, "left").withColumn("_blocks", F.coalesce("_b", F.lit(1))).drop("_b")
 
 
+def hot_join(df: DataFrame, table: DataFrame, key: str, spread: Column, rows: int = 100_000) -> DataFrame:
+    """Inner join of ``df`` with a ``table`` that has each key once; the rows of hot keys are cut into blocks of about ``rows`` rows."""
+    counts = written(df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > rows), "hot")
+    if not counts.limit(1).count():
+        return df.join(table, key)
+    d = with_blocks(df, [key], counts, rows, spread).withColumn("_blk", F.pmod(F.xxhash64(spread), F.col("_blocks")).cast("int")).drop("_blocks")
+    copies = counts.select(key, F.ceil(F.col("n") / rows).cast("int").alias("_b"))
+    t = table.join(copies, key, "left").withColumn("_blk", F.explode(F.sequence(F.lit(0), F.coalesce("_b", F.lit(1)) - 1))).drop("_b")
+    return d.join(t, [key, "_blk"]).drop("_blk")
+
+
 def block_pairs(df: DataFrame, spread: Column) -> DataFrame:
     """Rows with ``_blocks`` once for every pair of blocks that holds their own: adds ``own``, ``b1`` <= ``b2``."""
     d = df.withColumn("own", F.pmod(F.xxhash64(spread), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))

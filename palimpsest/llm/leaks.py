@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import written
+
 WORDS = 10
 BLOCK = 5
-#: Passages that go to the executors together. More passages take more rounds over the texts.
-PASSAGES_PER_ROUND = 5_000
+#: Bytes of windows that go to the executors together, at most. More windows take more rounds over the texts.
+ROUND_BYTES = 32 << 20
 
 _TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]*+>")
 _SHORT_TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,200}>")
@@ -141,25 +143,35 @@ def passage_leaks(
     """(``doc_id``, ``eval_id``), once each, where a text holds ``words`` consecutive words of a passage.
 
     Null and empty texts and passages leak nothing; passages shorter than ``words`` words have no window.
-    The items are held-out test material of fixed size; they are read in rounds of a bounded number, so
-    what is sent to the executors stays bounded however many there are. Each text is read whole.
+    The windows of all passages are made and counted in tasks; they go to the executors in rounds of about ``ROUND_BYTES``
+    bytes, so what is sent is bounded however many or long the passages are. Each text is read whole.
     """
+    spark = documents.sparkSession
     held = items.select(F.col(item_id).cast("long").alias("_item"), F.col(passage).alias("_passage")).where("_item is not null and _passage is not null")
     docs = documents.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where("_text is not null and _text <> ''")
-    n = held.count()
-    rounds = max(1, -(-n // PASSAGES_PER_ROUND))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p, i) for i, t in zip(f["_item"], f["_passage"]) for p in passage_windows([(i, t)], words)]
+            yield pd.DataFrame(rows, columns=["pattern", "item"])
+
+    windows = written(held.mapInPandas(cut, "pattern string, item long").distinct(), "windows")
+    total = windows.agg(F.coalesce(F.sum(F.octet_length("pattern") + 8), F.lit(0)).alias("n")).first()["n"]
+    rounds = max(1, -(-total // ROUND_BYTES))
+    doc_type = documents.schema[doc_id].dataType.simpleString()
     out = None
     for r in range(rounds):
-        some = held if rounds == 1 else held.where(F.pmod(F.xxhash64("_item"), F.lit(rounds)) == r)
-        windows = passage_windows([(x[0], x[1]) for x in some.collect()], words)
+        table: dict[str, list] = {}
+        for pattern, item in windows.where(F.pmod(F.xxhash64("pattern"), F.lit(rounds)) == r).toLocalIterator():
+            table.setdefault(pattern, []).append(item)
+        sent = spark.sparkContext.broadcast(table)
 
-        def scan(frames: Iterator[pd.DataFrame], windows: dict = windows) -> Iterator[pd.DataFrame]:
-            tables = WuManber(windows)
+        def scan(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            tables = WuManber(sent.value)
             for f in frames:
                 rows = [(d, e) for d, t in zip(f["_doc"], f["_text"]) for e in sorted(leaked_items(t, tables))]
                 yield pd.DataFrame(rows, columns=["doc_id", "eval_id"])
 
-        doc_type = documents.schema[doc_id].dataType.simpleString()
         part = docs.mapInPandas(scan, f"doc_id {doc_type}, eval_id long")
         out = part if out is None else out.unionByName(part)
     return out.distinct()

@@ -1,6 +1,6 @@
 """Names of drawings: file paths, drawing types and split labels in one spelling (JVM expressions only).
 
-What copying, exporting or editing puts around a name is not listed anywhere: it is learned from the names. If most names
+What copying, exporting or editing puts around a name is not listed anywhere: it is learned from the names. If names
 that begin or end with the same words still name a listed file once these words are taken away, the words were added.
 """
 
@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import written
 
-#: Least share of the names with some words around them that must be listed without these words as well.
-ADDED_SHARE = 0.5
+#: Least share of the names with some words around them that must be listed without these words as well: files are copied from
+#: listed ones more often than not, while hardly any name is another one with a word of its own left out.
+ADDED_SHARE = 0.05
 #: Words without a digit run of their own, then the number: the first number that a word stands before. Possessive, so linear.
-_UNIT = r"^(?:\d++ )*+(?:(?!\d++(?: |$))[^ ]++ )++\d++(?= |$)"
+_UNIT, END = r"^(?:\d++ )*+(?:(?!\d++(?: |$))[^ ]++ )++\d++", r"(?= |$)"
+#: The same with the trial that may follow.
+_WHOLE = _UNIT + r"(?: t \d++)?" + END
 
 
 def same_file(path: Column) -> Column:
@@ -37,7 +40,7 @@ def _pattern(words: Column) -> Column:
 
 
 def _added(candidates: DataFrame, listed: DataFrame) -> DataFrame:
-    """``words`` that were added to names: of (``type``, ``words``, ``without``), most of ``without`` are listed names."""
+    """``words`` that were added to names: of (``type``, ``words``, ``without``), enough of ``without`` are listed names."""
     known = listed.select("type", F.col("name").alias("without"), F.lit(1).alias("_hit"))
     counts = candidates.join(known, ["type", "without"], "left").groupBy("words").agg(F.count("*").alias("n"), F.count("_hit").alias("hits"))
     return written(counts.where(F.col("hits") >= ADDED_SHARE * F.col("n")).select("words"), "added")
@@ -55,12 +58,12 @@ def with_cores(names: DataFrame) -> DataFrame:
     words = F.split("name", " ")
     size = F.size("_w")
     cut = listed.withColumn("_w", words).where(size >= 3).withColumn("_j", F.explode(F.sequence(F.lit(1), size - 2)))
-    begun = cut.select("type", "name", "_j", _pattern(F.array_join(F.slice("_w", 1, F.col("_j")), " ")).alias("words"), F.array_join(F.slice("_w", F.col("_j") + 1, size - F.col("_j")), " ").alias("without"))
+    begun = cut.select("type", "name", "_j", _pattern(F.array_join(F.slice("_w", 1, F.col("_j")), " ")).alias("words"), F.array_join(F.slice("_w", F.col("_j") + 1, size - F.col("_j")), " ").alias("after"))
     begun = written(begun, "beginnings")
-    before = _added(begun, listed)
-    longest = begun.join(before, "words").groupBy("type", "name").agg(F.max(F.struct("_j", "without")).alias("_m")).select("type", "name", "_m.without")
-    s = listed.join(longest, ["type", "name"], "left").select("type", F.col("name").alias("stem"), F.coalesce("without", "name").alias("name"))
-    unit = F.coalesce(F.regexp_substr("name", F.lit(_UNIT)), F.col("name"))
+    before = _added(begun.select("type", "words", F.coalesce(F.regexp_substr("after", F.lit(_WHOLE)), F.col("after")).alias("without")), listed)
+    longest = begun.join(before, "words").groupBy("type", "name").agg(F.max(F.struct("_j", "after")).alias("_m")).select("type", "name", "_m.after")
+    s = listed.join(longest, ["type", "name"], "left").select("type", F.col("name").alias("stem"), F.coalesce("after", "name").alias("name"))
+    unit = F.coalesce(F.regexp_substr("name", F.lit(_UNIT + END)), F.col("name"))
     s = s.select("type", "stem", "name", unit.alias("unit")).withColumn("_tail", F.trim(F.expr("substring(name, length(unit) + 1)")))
     trial = F.nullif(F.regexp_extract("_tail", r"^t (\d++)(?= |$)", 1), F.lit(""))
     s = s.withColumn("_trial", trial).withColumn("_tail", F.regexp_replace("_tail", r"^t \d++(?: |$)", ""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +13,15 @@ from palimpsest.session import table as t
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+@lru_cache(maxsize=4)
+def _model(session: str, d: str) -> abuse.NoisyOr:
+    """Fitted once for each application and set of tables."""
+    s = SparkSession.getActiveSession()
+    return abuse.fitted(t(s, d, "documents"), t(s, d, "review_labels"))
+
+
 def _scores(s: SparkSession, d: str) -> DataFrame:
-    docs = t(s, d, "documents")
-    return abuse.scored(docs, abuse.fitted(docs, t(s, d, "review_labels")))
+    return abuse.scored(t(s, d, "documents"), _model(s.sparkContext.applicationId, d))
 
 
 def _assignment(s: SparkSession, d: str) -> DataFrame:
@@ -22,6 +29,11 @@ def _assignment(s: SparkSession, d: str) -> DataFrame:
     return splits.whole_group_splits(comps)
 
 
+def _balance(s: SparkSession, d: str) -> DataFrame:
+    comps = splits.components(t(s, d, "yolo_full_manifest_clean"), "group_id", "split_clean", "diagnosis")
+    return splits.split_balance(comps, splits.whole_group_splits(comps))
+
+
 def _refreshed(s: SparkSession, d: str) -> DataFrame:
     groups = links.linked_files(t(s, d, "near_duplicates_pairs"), t(s, d, "yolo_full_manifest"))
     return links.refreshed_groups(t(s, d, "yolo_full_manifest_clean"), groups)
@@ -42,6 +54,7 @@ def queries() -> dict[str, Query]:
         "p5_coverage": lambda s, d: overlaps.span_coverage(t(s, d, "yolo_full_manifest")),
         "p6_found": lambda s, d: splits.torn_groups(t(s, d, "yolo_full_manifest_clean")),
         "p6_assignment": _assignment,
+        "p6_balance": _balance,
         "p6_records": lambda s, d: splits.assigned_records(t(s, d, "yolo_full_manifest_clean"), _assignment(s, d)),
         "p7_ids": lambda s, d: tokens.encoded(t(s, d, "documents")),
         "p7_counts": lambda s, d: tokens.token_counts(t(s, d, "documents")),

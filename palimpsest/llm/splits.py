@@ -1,9 +1,9 @@
 """Problem 6: splits in which related records stay together.
 
 Components (records of one group) are hashed into train, val and test by their share, then exchanged or
-moved whole by annealing. Heavy components, of which there can be only a bounded number, are placed first
-against the global targets; the rest is annealed in parallel blocks of bounded size by several chains,
-and the chain with the least total deviation is kept.
+moved whole by annealing, so that rows and labels come near their targets. Heavy components, of which there can be only
+a bounded number, are annealed among themselves against the global targets; the rest is annealed in parallel
+blocks of bounded size by several chains against what they leave, and of each block the best chain is kept.
 """
 
 from __future__ import annotations
@@ -65,7 +65,8 @@ def anneal(sizes: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int,
         return float((((x - target) / scale) ** 2).sum())
 
     c = best = cost(load)
-    kept = now.copy()
+    moves: list[tuple[int, int]] = []
+    upto = 0
     who = rng.integers(0, n, (steps, 2))
     to = rng.integers(0, 3, steps)
     swap = rng.random(steps) < 0.5
@@ -84,16 +85,21 @@ def anneal(sizes: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int,
         after = cost(load)
         if after <= c or luck[k] < np.exp((c - after) / t):
             now[i] = q
+            moves.append((i, q))
             if swap[k]:
                 now[j] = p
+                moves.append((j, p))
             c = after
             if c < best:
-                best, kept = c, now.copy()
+                best, upto = c, len(moves)
                 if best == 0:
                     break
         else:
             load[p] += shift
             load[q] -= shift
+    kept = start.copy()
+    for i, q in moves[:upto]:
+        kept[i] = q
     return kept
 
 
@@ -113,50 +119,71 @@ def whole_group_splits(comps: DataFrame, shares: tuple[float, ...] = SHARES, cha
     goal = np.outer(shares, [total["r"], total["p"]]).astype(float)
     least = max(2.0, HEAVY * total["r"])
     heavy = comps.where(F.col("n_rows") >= least).orderBy(F.desc("n_rows"), "group_id").toPandas()  # at most 1 / HEAVY rows
+    spark = comps.sparkSession
     load, placed = np.zeros((3, 2)), []
-    for row in heavy.itertuples():
-        add = np.array([row.n_rows, row.n_positive], float)
-        fit = [float(((load[p] + add - goal[p])[0] / goal[p][0]) if goal[p][0] else np.inf) for p in range(3)]
-        p = int(np.argmin(fit))
-        load[p] += add
-        placed.append((row.group_id, row.n_rows, PARTS[p]))
+    if len(heavy):
+        size = heavy[["n_rows", "n_positive"]].to_numpy(float)
+        # from the heaviest on each to the part that lacks most of its rows, then moved and exchanged by rows and labels
+        begin = np.zeros(len(size), np.int64)
+        fill = np.zeros(3)
+        for k, rows in enumerate(size[:, 0]):
+            begin[k] = np.argmax((goal[:, 0] - fill - rows) / np.maximum(goal[:, 0], 1e-9))
+            fill[begin[k]] += rows
+        tried = [anneal(size, begin, goal * np.minimum(1.0, size.sum(axis=0) / np.maximum(goal.sum(axis=0), 1e-9)), seed * 1009 + c, steps) for c in range(chains)]
+        # what is over its target in a part can't be mended by the rest, so that counts first
+        over = [np.maximum(np.stack([size[t == p].sum(axis=0) for p in range(3)]) - goal, 0).sum() for t in [begin, *tried]]
+        part = [begin, *tried][min(range(len(over)), key=lambda k: (over[k], -k))]
+        load = np.stack([size[part == p].sum(axis=0) for p in range(3)]).astype(float)
+        placed = [(g, int(n), PARTS[p]) for g, n, p in zip(heavy["group_id"], heavy["n_rows"], part)]
     rest = comps.where(F.col("n_rows") < least)
     left = np.maximum(goal - load, 0)
     left = left / np.maximum(left.sum(axis=0, keepdims=True), 1e-9)
     n_blocks = max(1, -(-total["n"] // block))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_u").reset_index(drop=True)
+        frame = frame.sort_values(["_u", "group_id"]).reset_index(drop=True)
         s = frame[["n_rows", "n_positive"]].to_numpy(float)
         target = left * s.sum(axis=0, keepdims=True)
         begin = hashed_start(frame["_u"].to_numpy(), tuple(left[:, 0] / max(left[:, 0].sum(), 1e-9)))
         c = int(frame["chain"].iloc[0])
         part = anneal(s, begin, target, seed * 1009 + c, steps)
-        return pd.DataFrame({"group_id": frame["group_id"], "n_rows": frame["n_rows"], "n_positive": frame["n_positive"], "chain": c, "part": part})
+        got = np.stack([s[part == p].sum(axis=0) for p in range(3)])
+        cost = float((((got - target) / np.maximum(target.sum(axis=0), 1.0)) ** 2).sum())
+        return pd.DataFrame({"group_id": frame["group_id"], "n_rows": frame["n_rows"], "chain": c, "part": part, "cost": cost, "_block": frame["_block"]})
 
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("group_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("_u")
     tries = (
-        rest.select("group_id", "n_rows", "n_positive", u, F.pmod(F.hash("group_id", F.lit(seed + 1)), F.lit(n_blocks)).alias("_block"))
+        rest.select("group_id", "n_rows", "n_positive", _unit_hash(seed).alias("_u"), F.pmod(F.hash("group_id", F.lit(seed + 1)), F.lit(n_blocks)).alias("_block"))
         .withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(chains)])))
         .groupBy("_block", "chain")
-        .applyInPandas(run, "group_id long, n_rows long, n_positive long, chain int, part int")
+        .applyInPandas(run, "group_id long, n_rows long, chain int, part int, cost double, _block int")
     )
     tries = written(tries, "chains")
-    sums = tries.groupBy("chain", "part").agg(F.sum("n_rows").alias("r"), F.sum("n_positive").alias("p")).toPandas()  # chains x 3 rows
-    best, least_cost = 0, np.inf
-    for c in range(chains):
-        at = load.copy()
-        for x in sums[sums.chain == c].itertuples():
-            at[x.part] += [x.r, x.p]
-        cost = float((((at - goal) / np.maximum(goal.sum(axis=0), 1.0)) ** 2).sum())
-        if cost < least_cost:
-            best, least_cost = c, cost
+    best = tries.groupBy("_block").agg(F.min(F.struct("cost", "chain")).alias("_m")).select("_block", F.col("_m.chain").alias("chain"))
     names = F.element_at(F.array(*[F.lit(p) for p in PARTS]), F.col("part") + 1)
-    light = tries.where(F.col("chain") == best).select("group_id", "n_rows", names.alias("split_new"))
+    out = tries.join(best, ["_block", "chain"]).select("group_id", "n_rows", names.alias("split_new"))
     if placed:
-        fixed = comps.sparkSession.createDataFrame(placed, "group_id long, n_rows long, split_new string")
-        light = light.unionByName(fixed)
-    return light
+        out = out.unionByName(spark.createDataFrame(placed, "group_id long, n_rows long, split_new string"))
+    return out
+
+
+def _unit_hash(seed: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("group_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def split_balance(comps: DataFrame, assignment: DataFrame, shares: tuple[float, ...] = SHARES, seed: int = 0) -> DataFrame:
+    """A row for each part: ``split_new``, ``n_groups``, ``n_rows``, ``row_share`` against ``target_share``, ``label_share`` (of all positive rows),
+    and ``hashed_row_share`` and ``hashed_label_share``: what hashing whole groups alone would give."""
+    c = comps.select("group_id", "n_positive", _unit_hash(seed).alias("_u"), F.col("n_rows").alias("_rows"))
+    cuts = np.cumsum(shares)
+    hashed = F.when(F.col("_u") < float(cuts[0]), PARTS[0]).when(F.col("_u") < float(cuts[1]), PARTS[1]).otherwise(PARTS[2])
+    j = assignment.select("group_id", "split_new").join(c, "group_id").withColumn("_h", hashed)
+    total = j.agg(F.sum("_rows").alias("r"), F.sum("n_positive").alias("p"))
+    new = j.groupBy("split_new").agg(F.count("*").alias("n_groups"), F.sum("_rows").alias("n_rows"), F.sum("n_positive").alias("_p"))
+    old = j.groupBy(F.col("_h").alias("split_new")).agg(F.sum("_rows").alias("_hr"), F.sum("n_positive").alias("_hp"))
+    target = F.element_at(F.create_map(*[F.lit(x) for kv in zip(PARTS, map(float, shares)) for x in kv]), F.col("split_new"))
+    both = new.join(old, "split_new", "full").join(F.broadcast(total))  # a single row
+    share = lambda n, of: F.round(F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0)), 6)
+    return both.select("split_new", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), share("n_rows", "r").alias("row_share"), target.alias("target_share"), share("_p", "p").alias("label_share"), share("_hr", "r").alias("hashed_row_share"), share("_hp", "p").alias("hashed_label_share"))
 
 
 def assigned_records(records: DataFrame, assignment: DataFrame, group: str = "group_id") -> DataFrame:

@@ -116,7 +116,7 @@ class Encoder:
 
 
 def encoded(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(``doc_id``, ``ids`` array<int>): ids of the whole text without special tokens.
+    """(``doc_id``, ``ids`` array<int>): ids of the whole text without special tokens. ``doc_id`` may be any column, which is carried along.
 
     An empty text gives an empty array and a null text null; strings of special tokens are plain text.
     One narrow pass, no shuffle; every task holds the vocabulary (a few MB) once.
@@ -134,7 +134,5 @@ def encoded(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
 
 def token_counts(documents: DataFrame, source: str = "source", **names: str) -> DataFrame:
     """Texts, tokens and characters for every source; null sources are counted as ``(none)``."""
-    key = names.get("doc_id", "doc_id")
-    ids = encoded(documents, **names).select(F.col("doc_id").alias("_k"), F.size("ids").alias("_n"), F.col("ids").isNull().alias("_null"))
-    j = documents.select(F.col(key).alias("_k"), F.coalesce(F.col(source), F.lit("(none)")).alias("source")).join(ids, "_k")
-    return j.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum(F.when(~F.col("_null"), F.col("_n")).otherwise(0)).alias("n_tokens"))
+    ids = encoded(documents.withColumn("_source", F.coalesce(F.col(source), F.lit("(none)"))), doc_id="_source", **{k: v for k, v in names.items() if k != "doc_id"})
+    return ids.groupBy(F.col("doc_id").alias("source")).agg(F.count("*").alias("n_texts"), F.sum(F.when(F.col("ids").isNotNull(), F.size("ids")).otherwise(0)).alias("n_tokens"))

@@ -1,3 +1,5 @@
+import re
+from collections import namedtuple
 from itertools import combinations
 
 import numpy as np
@@ -7,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.llm import links, neardup, overlaps, splits
-from palimpsest.llm.names import known_type, part_of, with_drawing_key
+from palimpsest.llm.names import known_type, part_of, spelled, with_cores
 
 QUIET = dict(deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 MANIFEST = "item_id long, path string, split string, class_name string, drawing_type string, source string"
@@ -23,13 +25,22 @@ def test_one_drawing_under_many_names(spark):
         ["tremor_test 0042.png", "copy of tremor-test42_final.jpg"],
         ["nameless.png"],
     ]
-    rows = [(p, k) for k, g in enumerate(same) for p in g]
-    got = with_drawing_key(spark.createDataFrame(rows, "path string, k int"), "path", "key").collect()
-    keys = [{r.key for r in got if r.k == k} for k in range(len(same))]
+    rows = [(p, k, "wave") for k, g in enumerate(same) for p in g]
+    stems = spark.createDataFrame(rows, "path string, k int, type string").withColumn("stem", spelled(F.col("path")))
+    got = with_cores(stems).join(stems.select("stem", "k"), "stem").collect()
+    keys = [{(r.unit, r.rest, r.trial) for r in got if r.k == k} for k in range(len(same))]
     assert all(len(k) == 1 for k in keys), keys
     assert len(set.union(*keys)) == len(same)
-    none = with_drawing_key(spark.createDataFrame([(None,), ("",), ("/a/",)], "path string"), "path", "key").collect()
-    assert [r.key for r in none] == [None, None, None]
+    none = spark.createDataFrame([(None,), ("",), ("/a/",)], "path string").select(spelled(F.col("path")).alias("s")).collect()
+    assert [r.s for r in none] == [None, None, None]
+
+
+def test_words_of_a_name_are_not_taken_for_added_ones(spark):
+    """Nothing lists ``arm 7`` alone, so left and right stay parts of the name; a very long name is read too."""
+    names = ["arm_7_left", "arm_7_right", "arm_8_left", "leg 1", "leg_1_copy3", "leg_2_copy1", "leg_2", "copy of leg 2", "a " * 3000 + "5", "0" * 5000]
+    cores = {r.stem: (r.unit, r.rest, r.trial) for r in with_cores(spark.createDataFrame([(n, "t") for n in names], "p string, type string").select("type", spelled(F.col("p")).alias("stem"))).collect()}
+    assert cores["arm 7 left"] != cores["arm 7 right"] and cores["leg 1 copy 3"] == cores["leg 1"] and cores["copy of leg 2"] == cores["leg 2"] == cores["leg 2 copy 1"]
+    assert len(cores) == len(names)
 
 
 def test_types_and_parts(spark):
@@ -94,8 +105,13 @@ def test_paths_and_overlaps_against_brute_force(spark):
         rows.append((int(rng.integers(300)), "/d/" + style.format(n) + tail + ".png", s, t[1], t[0], "s"))
     rows += [(9000, None, "train", "x wave", "wave", None), (None, "/d/healthy_1.png", "val", "x wave", "wave", "s")]
     df = manifest(spark, rows)
-    named = with_drawing_key(df.withColumn("t", known_type(F.col("drawing_type"), F.col("class_name"))).withColumn("p", part_of(F.col("split"))), "path", "key").collect()
-    good = [r for r in named if r.item_id is not None and r.t and r.key]
+    # the drawing of each name as it was made up: what the operators have to find out from the names alone
+    key = lambda p: re.sub(r"(_aug3| \(2\)|_copy1|\.rf\.0011223344556677)?\.png$", "", p)
+    Row = namedtuple("Row", "item_id t p key")
+    kind = lambda t, c: t or ("spiral" if c and c.endswith("spiral") else "wave" if c and c.endswith("wave") else None)
+    part = {"train": "train", "Train": "train", "val": "val", "valid": "val", "testing": "test"}
+    spell = lambda p: re.sub(r"0*(\d+)", r"\1", key(p))
+    good = [Row(i, kind(t, c), part.get(s), spell(p)) for i, p, s, c, t, _ in rows if i is not None and p and kind(t, c)]
     want = {(a.item_id, b.item_id) for a in good for b in good if a.item_id < b.item_id and a.t == b.t and a.key == b.key}
     assert {tuple(r) for r in neardup.path_duplicates(df).collect()} == want
     cross = {(min(a.item_id, b.item_id), max(a.item_id, b.item_id)) for a in good for b in good if a.item_id != b.item_id and a.t == b.t and a.key == b.key and a.p == "train" and b.p in ("val", "test")}
