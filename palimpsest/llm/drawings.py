@@ -30,6 +30,12 @@ def usable(cache: DataFrame, pixels: str = "x") -> DataFrame:
     ).where("item_id is not null and height > 0 and width > 0 and size(x) = height * width and array_min(x) < array_max(x)")
 
 
+def whole_maps(cache: DataFrame) -> DataFrame:
+    """``item_id``, ``height``, ``width``, ``x`` with as many values as the sizes say: enough for drawings known to be usable."""
+    sizes = [F.col(c).cast("int").alias(c) for c in ("height", "width")]
+    return cache.select(F.col("item_id").cast("long").alias("item_id"), *sizes, F.col("x").cast("array<smallint>").alias("x")).where("height > 0 and width > 0 and size(x) = height * width")
+
+
 def stacks(batch: pa.RecordBatch, column: str = "x") -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
     """(row numbers, pixels (n, h*w), h, w) for every shape in the batch, oblong ones laid on the long side; rows with a null value are left out."""
     h, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("height", "width"))
@@ -76,10 +82,10 @@ def possibly_needed(drawings: DataFrame, pairs: DataFrame) -> DataFrame:
 def alike_pairs(pairs: DataFrame, drawings: DataFrame, least: float) -> DataFrame:
     """Keep the pairs (``a``, ``b``) whose drawings have a turned cosine of at least ``least``; adds ``similarity``.
 
-    ``drawings`` are usable rows; an id exported twice counts once. Two joins on the id, which reuse one
-    exchange; no drawing is sent anywhere but to its pairs.
+    ``drawings`` have height * width values; an id exported twice gives a pair several times, which counts once. Two joins on
+    the id, which reuse one exchange; no drawing is sent anywhere but to its pairs.
     """
-    d = possibly_needed(drawings.select("item_id", "height", "width", "x"), pairs).dropDuplicates(["item_id"])
+    d = possibly_needed(drawings.select("item_id", "height", "width", "x"), pairs)
     left = d.select(F.col("item_id").alias("a"), F.col("height").alias("ha"), F.col("width").alias("wa"), F.col("x").alias("xa"))
     right = d.select(F.col("item_id").alias("b"), F.col("height").alias("hb"), F.col("width").alias("wb"), F.col("x").alias("xb"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -109,4 +115,5 @@ def alike_pairs(pairs: DataFrame, drawings: DataFrame, least: float) -> DataFram
             good = sim >= least - 1e-9
             yield pa.RecordBatch.from_arrays([pa.array(a[good], pa.int64()), pa.array(b[good], pa.int64()), pa.array(sim[good], pa.float64())], schema=schema)
 
-    return joined.select("a", "b", "ha", "wa", "xa", "hb", "wb", "xb").mapInArrow(check, "a long, b long, similarity double")
+    checked = joined.select("a", "b", "ha", "wa", "xa", "hb", "wb", "xb").mapInArrow(check, "a long, b long, similarity double")
+    return checked.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.images import centred, turn_free_hash, turn_invariants
 from palimpsest.llm.blocks import block_pairs, pairs_across, pairs_within, with_blocks
-from palimpsest.llm.drawings import alike_pairs, stacks, usable
+from palimpsest.llm.drawings import alike_pairs, stacks, usable, whole_maps
 from palimpsest.llm.names import named, with_cores
 from palimpsest.session import shuffle_width, written
 
@@ -302,7 +302,7 @@ def drawing_duplicates(cache: DataFrame, least: float = 0.90) -> tuple[DataFrame
     own = written(views.select("item_id", "part", "view").join(reps, F.col("item_id") == F.col("rep"), "left_semi").dropDuplicates(["item_id"]), "classes")
     keyed = written(drawing_sets(own).select(F.col("item_id").alias("id"), F.expr("transform(codes, c -> xxhash64(part, c))").alias("keys"), "tokens"), "sets")
     candidates = written(tile_join(keyed, DRAWING_SETS), "candidates")
-    return alike_pairs(candidates, drawings, least), members.select("item_id", "rep")
+    return alike_pairs(candidates, whole_maps(cache), least), members.select("item_id", "rep")
 
 
 # ---------------------------------------------------------------- paths
