@@ -27,6 +27,8 @@ def with_blocks(df: DataFrame, keys: list[str], counts: DataFrame, rows: int, sp
     ``counts`` holds the keys and ``n``. The hot keys are written on their own, so that their size is known.
     """
     hot = written(counts.where(F.col("n") > rows).select(*keys, F.ceil(F.col("n") / rows).cast("int").alias("_b")), "hot")
+    if not hot.limit(1).count():
+        return df.withColumn("_blocks", F.lit(1))
     return spread_join(df, hot, keys, spread, "left").withColumn("_blocks", F.coalesce("_b", F.lit(1))).drop("_b")
 
 
@@ -51,6 +53,8 @@ def pairs_within(members: DataFrame, group: str, item: str, rows: int = 2_000) -
     """(``_a``, ``_b``), _a < _b: all pairs of distinct items of a group, hot groups by pairs of blocks."""
     counts = written(members.groupBy(group).agg(F.count("*").alias("n")).where("n > 1"), "groups")
     d = members.join(counts.select(group), group, "left_semi").select(group, F.col(item).alias("_i"))
+    if not counts.where(F.col("n") > rows).limit(1).count():
+        return d.withColumnRenamed("_i", "_a").join(d.withColumnRenamed("_i", "_b"), group).where("_a < _b").select("_a", "_b")
     d = block_pairs(with_blocks(d, [group], counts, rows, F.col("_i")), F.col("_i"))
     left = d.select(group, "b1", "b2", F.col("own").alias("_oa"), F.col("_i").alias("_a"))
     right = d.select(group, "b1", "b2", F.col("own").alias("_ob"), F.col("_i").alias("_b"))
@@ -63,13 +67,17 @@ def pairs_across(pairs: DataFrame, members: DataFrame, group: str, item: str, ro
 
     Items of a hot group are spread over blocks, to which the pairs of the group are sent each.
     """
-    counts = written(members.groupBy(group).agg(F.count("*").alias("n")), "groups")
+    counts = written(members.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > rows), "groups")
+    if not counts.limit(1).count():
+        ma, mb = (members.select(F.col(group).alias(s), F.col(item).alias(f"_{s}")) for s in "ab")
+        both = pairs.select("a", "b").join(ma, "a").join(mb, "b").where("_a <> _b")
+        return both.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
     m = with_blocks(members.select(group, F.col(item).alias("_i")), [group], counts, rows, F.col("_i"))
     m = m.withColumn("_block", F.pmod(F.xxhash64("_i"), F.col("_blocks")).cast("int"))
     blocks = counts.select(group, F.ceil(F.col("n") / rows).cast("int").alias("_blocks"))
     out = pairs.select("a", "b")
     for side in "ab":
         own = blocks.select(F.col(group).alias(side), F.col("_blocks").alias("_n"))
-        out = out.join(own, side).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+        out = out.join(own, side, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
         out = out.join(m.select(F.col(group).alias(side), "_block", F.col("_i").alias(f"_{side}")), [side, "_block"]).drop("_block")
     return out.where("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))

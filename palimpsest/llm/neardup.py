@@ -140,7 +140,7 @@ def tile_join(records: DataFrame, least: float, rows: int = TILE_ROWS) -> DataFr
     spark = records.sparkSession
     own = records.where("size(tokens) > 0").select("id", "keys", F.size("tokens").alias("size"), *_bitmap_words())
     keyed = own.select("id", "size", "w0", "w1", "w2", "w3", F.explode(F.array_distinct("keys")).alias("key"))
-    counts = written(records.where("size(tokens) > 0").select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > rows), "tiles")
+    counts = records.where("size(tokens) > 0").select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     placed = block_pairs(with_blocks(keyed, ["key"], counts, rows, F.col("id")), F.col("id"))
     placed = placed.select("key", "b1", "b2", "own", "id", "size", "w0", "w1", "w2", "w3")
     tiled = placed.repartition(shuffle_width(spark), "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
@@ -164,7 +164,7 @@ def with_rarest_keys(records: DataFrame, least: float) -> DataFrame:
     counts = written(each.groupBy("t").agg(F.count("*").alias("n")), "tokens")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     common = F.col("n") > COMMON * total
-    looked = each.join(F.broadcast(counts.where(common).withColumnRenamed("n", "_n")), "t", "left")
+    looked = written(each.join(F.broadcast(counts.where(common).withColumnRenamed("n", "_n")), "t", "left"), "looked")
     rare = looked.where("_n is null").select("id", "t").join(counts.where(~common), "t").select("id", "t", "n")
     rated = rare.unionByName(looked.where("_n is not null").select("id", "t", F.col("_n").alias("n")))
     order = F.array_sort(F.collect_list(F.struct("n", "t")))
@@ -336,7 +336,7 @@ def path_duplicates(manifest: DataFrame, least: float = NAME_SETS) -> DataFrame:
     """
     items = written(named(manifest).withColumn("record", F.xxhash64("type", "stem")), "paths")
     records = written(name_tokens(with_cores(items.select("type", "stem").distinct())), "sets")
-    pairs = tile_join(with_rarest_keys(records.select("id", "tokens"), least), least)
+    pairs = tile_join(written(with_rarest_keys(records.select("id", "tokens"), least), "keyed"), least)
     na, nb = (records.select(F.col("id").alias(s), F.col("name").alias(f"_{s}")) for s in "ab")
     same = pairs.join(na, "a").join(nb, "b").where("_a = _b").select("a", "b")
     members = items.select("record", "item_id").distinct()
