@@ -51,11 +51,21 @@ def split_of_path(path: Column, aliases: dict[str, str] = MANIFEST_SPLITS) -> Co
     return F.coalesce(F.get(F.filter(parts, lambda p: p.isNotNull()), F.lit(0)), F.lit("?"))
 
 
+#: How subject ids stand in file names. A marked number first, else a number that opens the name.
+SUBJECT_MARKED = r"(?i)(?:^|[_\-\s])(?:p|pt|pac|paciente|subj|subject|sujeito)[_\-]?(\d+)"
+SUBJECT_LEADING = r"^(\d+)[_\-]"
+
+
+def known_split(split: Column) -> Column:
+    """``train``, ``val`` or ``test`` of a split label in any spelling; null for anything else."""
+    known = F.create_map(*[F.lit(x) for kv in INSPECTION_SPLITS.items() for x in kv])
+    return F.try_element_at(known, F.lower(F.trim(split)))
+
+
 def subject_of(stem_: Column) -> Column:
-    """Subject id guessed from a stem: a letter p or s with digits at a word's start, or the word subject; else null."""
-    first = F.regexp_extract(stem_, r"(?i)(?:^|[^a-z0-9])(?:patient|subject|subj|id)[ _-]?(\d+)", 1)
-    second = F.regexp_extract(stem_, r"(?i)(?:^|[^a-z0-9])[ps](\d+)", 1)
-    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit("")))
+    """Subject id guessed from a stem: a number marked as a patient's or subject's, else the number the stem begins with; else null."""
+    found = [F.nullif(F.regexp_extract(stem_, rx, 1), F.lit("")) for rx in (SUBJECT_MARKED, SUBJECT_LEADING)]
+    return F.coalesce(*found)
 
 
 def label_path(image: Column) -> Column:
@@ -69,7 +79,8 @@ def slug(text: Column) -> Column:
 
 
 def metric_key(header: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(header)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """A header in lower case with runs of other signs than letters, digits and underscores as one underscore; underscores of its own stay."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(header)), "[^a-z0-9_]+", "_"), "^_+|_+$", "")
 
 
 def interval_text(value: Column, lo: Column, hi: Column) -> Column:

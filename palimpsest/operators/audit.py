@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import augmented_base, positive, split_of_path, stem
+from palimpsest.operators.ranks import join_on, quantiles, ranked
 
 USABLE = ("train", "val")
 
@@ -24,7 +25,7 @@ def number_ranges(df: DataFrame, key: str, number: str = "name_number") -> DataF
 def interleaved(df: DataFrame, key: str, split: Column, number: str = "name_number") -> DataFrame:
     """For each key: validation rows, and those whose number lies inside the training numbers' range.
 
-    One aggregation with a window over it instead of a self-join.
+    Two aggregations and a join of their few rows instead of a self-join of the table.
     """
     s = df.where(F.col(number) >= 0).select(key, number, split.alias("_s"))
     lo = s.where("_s = 'train'").groupBy(key).agg(F.min(number).alias("_lo"), F.max(number).alias("_hi"))
@@ -76,23 +77,21 @@ def cross_split_pairs(df: DataFrame, kind: str, content: str, split: Column, key
 
 
 def group_rules(df: DataFrame, group: str = "group_id") -> DataFrame:
-    """Conflict, role and clean split of every row of a grouped manifest, by windows over the group.
+    """Conflict, role and clean split of every row of a grouped manifest.
 
     More than one diagnosis in a group drops all of it. Else the representative, the row of the least number (then
-    id), goes to train if any member is there, else keeps the alphabetically least split; the others are dup.
+    id and path), goes to train if any member is there, else keeps the alphabetically least split; the others are dup. The rows of a
+    dropped group keep their roles. All about a group comes from one pre-aggregation; no group is gathered.
     """
-    w = Window.partitionBy(group)
-    first = F.row_number().over(w.orderBy("name_number", "item_id", "path"))
-    n_diag = F.size(F.collect_set("diagnosis").over(w))
-    in_train = F.max((F.col("split") == "train").cast("int")).over(w)
-    out = df.select(
-        "*",
-        F.count("*").over(w).cast("int").alias("_size"),
-        (n_diag > 1).alias("_conflict"),
-        F.when(first == 1, "rep").otherwise("dup").alias("_role"),
-        F.coalesce(in_train, F.lit(0)).alias("_train"),
-        F.min("split").over(w).alias("_least"),
+    first = F.struct("name_number", "item_id", "path")
+    g = df.groupBy(group).agg(
+        F.count("*").cast("int").alias("_size"),
+        (F.countDistinct("diagnosis") > 1).alias("_conflict"),
+        F.min(first).alias("_first"),
+        F.coalesce(F.max((F.col("split") == "train").cast("int")), F.lit(0)).alias("_train"),
+        F.min("split").alias("_least"),
     )
+    out = join_on(df, g, [group]).withColumn("_role", F.when(first == F.col("_first"), "rep").otherwise("dup")).drop("_first")
     clean = F.when(F.col("_conflict"), "drop").when(F.col("_role") == "dup", "dup").when(F.col("_train") == 1, "train").otherwise(F.col("_least"))
     return out.withColumn("_clean", clean)
 
@@ -110,13 +109,20 @@ def group_statistics(df: DataFrame, group: str = "group_id", split: str = "split
 
 
 def pair_summary(pairs: DataFrame) -> DataFrame:
-    """Pairs by agreement of the two labels: count, high correlations and their median. NaN counts as missing."""
-    c = F.when(~F.isnan("correlation"), F.col("correlation"))
-    return (
-        pairs.select(F.coalesce(F.col("val_label") != F.col("train_label"), F.lit(False)).alias("conflict"), c.alias("c"))
-        .groupBy("conflict")
-        .agg(F.count("*").alias("n"), F.sum((F.col("c") >= 0.995).cast("long")).alias("n_high"), F.round(F.median("c"), 6).alias("median_corr"))
-    )
+    """Pairs by drawing type (the last word of the validation label) and agreement of the two labels: count, high correlations and
+    their median. NaN counts as missing."""
+    kind = F.element_at(F.split(F.trim("val_label"), "[ _]+"), -1)
+    p = pairs.select(kind.alias("drawing_type"), F.coalesce(F.col("val_label") != F.col("train_label"), F.lit(False)).alias("conflict"), F.when(~F.isnan("correlation"), F.col("correlation")).alias("c"))
+    by = ["drawing_type", "conflict"]
+    n = p.groupBy(*by).agg(F.count("*").alias("n"), F.sum((F.col("c") >= 0.995).cast("long")).alias("n_high"))
+    return join_on(n, quantiles(p, by, "c", [0.5]), by, "left").select(*by, "n", "n_high", F.round(F.col("_q")[0], 6).alias("median_corr"))
+
+
+def box_shares(labels: DataFrame, full: float = 0.9) -> DataFrame:
+    """For each class of label lines with a box (``class_id``, ``w``, ``h``): how many, the share whose box is at least ``full`` wide and high, and the mean sizes."""
+    b = labels.where("class_id is not null and w is not null")
+    whole = ((F.col("w") >= full) & (F.col("h") >= full)).cast("double")
+    return b.groupBy("class_id").agg(F.count("*").alias("n"), F.round(100 * F.avg(whole), 4).alias("pct_full"), F.round(F.avg("w"), 6).alias("mean_w"), F.round(F.avg("h"), 6).alias("mean_h"))
 
 
 LADDER = (0.995, 0.99, 0.98, 0.95)
@@ -148,14 +154,24 @@ def whole_or_none(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def medians_of(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """``by``, ``feature``, ``median_value``: exact medians of the values that are neither null nor NaN, by distributed ranks; null where there are none."""
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(by, columns, "feature", "_x")
+    found = quantiles(long, [*by, "feature"], "_x", [0.5]).select(*by, "feature", F.col("_q")[0].alias("median_value"))
+    every = df.select(*by).distinct().withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns]))) if by else found
+    return join_on(every, found, [*by, "feature"], "left") if by else found
+
+
 def imputed(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """Nulls and NaNs become the median of their column over the table, or over each group of ``by``."""
-    clean = df.select("*", *[F.when(~F.isnan(c), F.col(c)).alias(f"_{c}") for c in columns])
-    med = [F.median(f"_{c}").alias(f"_m_{c}") for c in columns]
-    m = clean.groupBy(*by).agg(*med) if by else clean.agg(*med)
-    j = clean.join(m, by) if by else clean.join(F.broadcast(m))  # a single row
+    """Nulls and NaNs become the median of their column over the table, or over each group of ``by`` (null keys are a group too).
+
+    A column without any value in a group stays null there.
+    """
+    by = by or []
+    m = medians_of(df, columns, by).groupBy(*by).agg(*[F.max(F.when(F.col("feature") == c, F.col("median_value"))).alias(f"_m_{c}") for c in columns])
     keep = [c for c in df.columns if c not in columns]
-    return j.select(*keep, *[F.coalesce(F.col(f"_{c}"), F.col(f"_m_{c}")).alias(c) for c in columns])
+    clean = df.select(*keep, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c)).alias(f"_{c}") for c in columns])
+    return join_on(clean, m, by, "left").select(*keep, *[F.coalesce(F.col(f"_{c}"), F.col(f"_m_{c}")).alias(c) for c in columns])
 
 
 def mode_share(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -167,8 +183,7 @@ def mode_share(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def medians_by(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Exact medians of many columns for each key, one row for each key and column."""
-    g = df.groupBy(key).agg(*[F.median(c).alias(c) for c in columns])
-    return g.unpivot(key, columns, "feature", "median_value")
+    return medians_of(df, columns, [key])
 
 
 def survivors(df: DataFrame, group: str = "group_id") -> DataFrame:
@@ -188,11 +203,31 @@ def pooled_share(df: DataFrame) -> DataFrame:
 
 
 def every_nth(df: DataFrame, order: list[str], take: int = 6) -> DataFrame:
-    """``take`` rows spread evenly over the order: every floor(n / take)-th, at least each.
-
-    A rank over the whole table needs one task for its last step; what is sorted there is the ids only.
-    """
-    n = df.count()
-    step = max(1, n // take)
-    ranked = df.select("*", F.row_number().over(Window.orderBy(*order)).alias("_rn"))
-    return ranked.where((F.pmod(F.col("_rn") - 1, F.lit(step)) == 0) & ((F.col("_rn") - 1) / step < take)).drop("_rn")
+    """``take`` rows spread evenly over the order: every floor(n / take)-th, at least each."""
+    r = ranked(df, [], order)
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / take))
+    return r.where((F.pmod("_rank", step) == 0) & (F.floor(F.col("_rank") / step) < take)).drop("_rank", "_n")
+
+
+def seeded_sample(df: DataFrame, key: str, take: int, seed: int = 0) -> DataFrame:
+    """``take`` rows drawn without replacement: those whose keys have the least digest with the seed. The same for the same seed."""
+    digest = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return df.orderBy(digest, key).limit(take)
+
+
+def score_checks(scores: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """One row that tells whether a table of out-of-fold scores (``item_id``, ``repeat``, ``score``) can be used with the items it
+    should cover: ``n_items``, ``n_missing`` (item and repeat without a score), ``n_unknown``, ``n_repeated``, ``n_bad`` (null or NaN) and ``ok``."""
+    want = nodes.select("item_id").distinct()
+    repeats = scores.select("repeat").where("repeat is not null").distinct()
+    got = scores.groupBy("item_id", "repeat").agg(F.count("*").alias("_c"), F.count_if(F.col("score").isNull() | F.isnan("score")).alias("_b"), F.lit(True).alias("_there"))
+    all_ = want.withColumn("_want", F.lit(True)).join(repeats).join(got, ["item_id", "repeat"], "full")
+    c = all_.agg(
+        F.countDistinct(F.when(F.col("_want"), F.col("item_id"))).alias("n_items"),
+        F.count_if(F.col("_want") & F.col("_there").isNull()).alias("n_missing"),
+        F.count_if(F.col("_want").isNull()).alias("n_unknown"),
+        F.count_if(F.col("_c") > 1).alias("n_repeated"),
+        F.coalesce(F.sum("_b"), F.lit(0)).alias("n_bad"),
+        F.countDistinct(F.when(F.col("_there"), F.col("repeat"))).alias("n_repeats"),
+    )
+    return c.withColumn("ok", (F.col("n_missing") + F.col("n_unknown") + F.col("n_repeated") + F.col("n_bad") == 0) & (F.col("n_repeats") == k))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.ranks import join_on, quantiles, ranked
+from palimpsest.session import written
+
 OFFSETS = (0.0, 0.2, 0.4, 0.6, 0.8)
 
 
@@ -20,52 +25,70 @@ def blocked_folds(df: DataFrame, strata: list[str], order: list[str], k: int = 5
         none = none | F.col(s).isNull()
     if df.where(none).limit(1).count():
         raise ValueError(f"null in the strata {strata}")
-    w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(*order)) - 1
-    fold = F.floor(F.pmod(rank * F.lit(float(k)) / F.count("*").over(w) + F.lit(float(offset)), F.lit(float(k)))).cast("int")
-    return df.withColumn("fold", fold)
+    return ranked(df, strata, order).withColumn("fold", _fold(k, F.lit(float(offset)))).drop("_rank", "_n")
+
+
+def _fold(k: int, offset: F.Column) -> F.Column:
+    return F.floor(F.pmod(F.col("_rank") * F.lit(float(k)) / F.col("_n") + offset, F.lit(float(k)))).cast("int")
 
 
 def repeated_folds(df: DataFrame, strata: list[str], order: list[str], k: int = 5, offsets: tuple[float, ...] = OFFSETS) -> DataFrame:
     """Rows once for every offset, with ``repeat`` and ``fold``; one sort serves all repeats."""
-    w = Window.partitionBy(*strata)
-    ranked = df.withColumn("_rank", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("repeat"), F.lit(float(o)).alias("offset")) for i, o in enumerate(offsets)]))
-    fold = F.floor(F.pmod(F.col("_rank") * F.lit(float(k)) / F.col("_n") + F.col("_o.offset"), F.lit(float(k)))).cast("int")
-    return ranked.withColumn("_o", each).withColumn("repeat", F.col("_o.repeat")).withColumn("fold", fold).drop("_rank", "_n", "_o")
+    return ranked(df, strata, order).withColumn("_o", each).withColumn("repeat", F.col("_o.repeat")).withColumn("fold", _fold(k, F.col("_o.offset"))).drop("_rank", "_n", "_o")
 
 
 def tercile_groups(df: DataFrame, value: str, by: list[str] | None = None, out: str = "tercile") -> DataFrame:
-    """Adds 0, 1 or 2 by the linear 1/3 and 2/3 quantiles; a value equal to a cut goes to the upper group."""
-    cuts = F.percentile(F.col(value), F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q")
-    q = df.groupBy(*by).agg(cuts) if by else df.agg(cuts)
-    j = df.join(q, by) if by else df.join(F.broadcast(q))  # a single row
+    """Adds 0, 1 or 2 by the linear 1/3 and 2/3 quantiles; a value equal to a cut goes to the upper group, a null or NaN to none.
+
+    Rows with null ``by`` form a group of their own."""
+    j = join_on(df, quantiles(df, by or [], value, [1 / 3, 2 / 3]), by or [], "left")
     v = F.col(value)
-    return j.withColumn(out, F.when(v >= F.col("_q")[1], 2).when(v >= F.col("_q")[0], 1).when(v.isNotNull(), 0)).drop("_q")
+    return j.withColumn(out, F.when(v.isNull() | F.isnan(v.cast("double")), F.lit(None)).when(v >= F.col("_q")[1], 2).when(v >= F.col("_q")[0], 1).otherwise(0)).drop("_q")
+
+
+#: Groups of one slice of ``grouped_folds``; a parameter of memory and time of a task.
+SLICE = 5_000
+
+
+def _even(rows: np.ndarray, positives: np.ndarray, load: np.ndarray) -> np.ndarray:
+    """Folds of groups in order: each to the fold after which rows and positives of all folds differ least. ``load`` (k, 2) is added to."""
+    fold = np.empty(len(rows), np.int64)
+    scale = np.maximum([rows.sum() + load[:, 0].sum(), positives.sum() + load[:, 1].sum()], 1e-9)
+    for i, add in enumerate(np.stack([rows, positives], axis=1) / scale):
+        if i == 0:
+            load /= scale
+        # the sum of squares grows least where the group adds to little
+        fold[i] = ((2 * load + add) * add).sum(axis=1).argmin()
+        load[fold[i]] += add
+    if len(rows):
+        load *= scale
+    return fold
 
 
 def grouped_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """(group, ``fold``): groups stay whole, and rows and positives are spread evenly over k folds.
+    """(group, ``fold``): groups stay whole, and rows and positives are spread evenly over k folds. Null groups and labels count as no group and no positive.
 
-    Groups above a 1/200 of all rows (at most 200) are placed greedily on the driver; the rest goes round robin by
-    (positives, rows) inside hashed slices, which needs no gathering and balances them by their large number.
+    Groups above a 1/200 of all rows (at most 200) are placed on the driver; the others fill up the folds in hashed slices of about ``SLICE`` groups, each
+    of which evens out its share of what the heavy ones leave.
     """
-    g = df.groupBy(group).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"))
-    total = g.agg(F.sum("_n")).first()[0] or 0
+    g = written(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_n"), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("_p")), "groups")
+    total, count = g.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
     limit = max(2, total / 200)
-    load = [[0, 0] for _ in range(k)]
-    rows = []
-    for r in g.where(F.col("_n") >= limit).orderBy(F.desc("_n"), group).collect():
-        f = min(range(k), key=lambda i: (load[i][0], load[i][1], i))
-        load[f][0] += r["_n"]
-        load[f][1] += r["_p"] or 0
-        rows.append((r[group], f))
-    start = sorted(range(k), key=lambda i: load[i][0])
-    small = g.where(F.col("_n") < limit)
-    w = Window.partitionBy(F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(64))).orderBy(F.desc("_p"), F.desc("_n"), F.xxhash64(group, F.lit(seed + 1)), group)
-    shuffled = F.array(*[F.lit(i) for i in start])
-    small = small.select(group, F.element_at(shuffled, (F.pmod(F.row_number().over(w) - 1, F.lit(k)) + 1).cast("int")).alias("fold"))
-    if not rows:
-        return small
+    heavy = g.where(F.col("_n") >= limit).orderBy(F.desc("_n"), F.desc("_p"), group).toPandas()
+    load = np.zeros((k, 2))
+    folds = _even(heavy["_n"].to_numpy(float), heavy["_p"].to_numpy(float), load)
+    left = max(1, total - int(heavy["_n"].sum()))
+    slices = max(1, -(-count // SLICE))
+
+    def fill(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["_n", "_p", "_h"], ascending=[False, False, True])
+        n, p = f["_n"].to_numpy(float), f["_p"].to_numpy(float)
+        return f[[group]].assign(fold=_even(n, p, load * (n.sum() / left)))
+
     kind = df.schema[group].dataType.simpleString()
-    return small.unionByName(df.sparkSession.createDataFrame(rows, f"{group} {kind}, fold int"))
+    light = g.where(F.col("_n") < limit).select(group, "_n", "_p", F.xxhash64(group, F.lit(seed)).alias("_h")).withColumn("_s", F.pmod("_h", F.lit(slices)))
+    small = light.groupBy("_s").applyInPandas(fill, f"`{group}` {kind}, fold int")
+    if not len(heavy):
+        return small
+    return small.unionByName(df.sparkSession.createDataFrame(list(zip(heavy[group].tolist(), folds.tolist())), f"`{group}` {kind}, fold int"))

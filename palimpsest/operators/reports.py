@@ -7,25 +7,27 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import metric_key
 
-CELL = r"^\s*(-?\d+(?:\.\d+)?)\s*(?:\[\s*(-?\d+(?:\.\d+)?)\s*-\s*(-?\d+(?:\.\d+)?)\s*\])?\s*$"
+#: A number of a cell, alone or with an interval in brackets.
+CELL = r"^\s*(-?[0-9]*\.?[0-9]+)\s*(?:\[\s*(-?[0-9.]+)\s*-\s*(-?[0-9.]+)\s*\])?\s*$"
 
 
 def report_cells(reports: DataFrame) -> DataFrame:
     """``run, section, subset, metric, value, lo, hi`` of every numeric cell of the tables in (``run``, ``value``).
 
-    The section is the nearest heading above; a table's first row is its header and ends with any line that is no
-    table row; separator rows and cells without a number are left out. ``lo`` and ``hi`` are null without brackets.
+    The section is the nearest line above that begins with ``#``; lines that begin with ``|`` are rows, any other line ends a table. Of
+    a table the first row that is no separator is the header; cells without a number are left out. ``lo`` and ``hi`` are null without brackets.
     """
     lines = reports.select("run", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     w = Window.partitionBy("run").orderBy("pos")
-    heading = F.when(F.col("line").rlike(r"^#+\s"), F.trim(F.regexp_replace("line", r"^#+\s*", "")))
-    row = F.trim(F.col("line")).startswith("|")
-    d = lines.select("run", "pos", "line", F.last(heading, ignorenulls=True).over(w).alias("section"), row.alias("_row"), F.coalesce(F.lag(row).over(w), F.lit(False)).alias("_before"))
-    d = d.where("_row").withColumn("_first", ~F.col("_before"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    d = d.withColumn("cells", cells).withColumn("header", F.last(F.when(F.col("_first"), F.col("cells")), ignorenulls=True).over(w))
-    d = d.where(~F.col("_first") & ~F.col("line").rlike(r"^\s*\|[\s:|-]+\|?\s*$"))
-    each = d.select("run", "section", F.col("cells")[0].alias("subset"), F.posexplode(F.arrays_zip("header", "cells")).alias("_k", "_c")).where("_k > 0")
+    heading = F.when(F.col("line").startswith("#"), F.trim(F.regexp_replace("line", r"^[# ]+", "")))
+    row = F.col("line").startswith("|")
+    d = lines.select("run", "pos", "line", row.alias("_row"), F.coalesce(F.last(heading, ignorenulls=True).over(w), F.lit("")).alias("section"), F.sum((~row).cast("int")).over(w).alias("_table"))
+    d = d.where(F.col("_row") & ~F.col("line").rlike(r"^[|\s:-]*$"))
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
+    d = d.withColumn("cells", cells)
+    table = Window.partitionBy("run", "_table").orderBy("pos")
+    d = d.withColumn("header", F.first("cells").over(table)).withColumn("_n", F.row_number().over(table)).where("_n > 1")
+    each = d.select("run", "section", F.col("cells")[0].alias("subset"), F.posexplode(F.arrays_zip("header", "cells")).alias("_k", "_c")).where("_k > 0 and _c.header is not null")
     num = lambda i: F.regexp_extract(F.col("_c.cells"), CELL, i).try_cast("double")
     return each.where(F.col("_c.cells").rlike(CELL)).select("run", "section", "subset", metric_key(F.col("_c.header")).alias("metric"), num(1).alias("value"), num(2).alias("lo"), num(3).alias("hi"))
 

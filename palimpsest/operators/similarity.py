@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.images import dihedral_orders
+from palimpsest.operators.ranks import join_on
 
 BLOCK = 4_000
 
 
 def _paired_blocks(df: DataFrame, part: list[str], block: int) -> DataFrame:
     n = df.groupBy(*part).agg(F.count("*").alias("_n")) if part else df.agg(F.count("*").alias("_n"))
-    d = df.join(n, part) if part else df.join(F.broadcast(n))  # a single row
+    d = join_on(df, n, part)
     d = d.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", F.pmod(F.xxhash64("item_id"), F.col("_blocks")).cast("int"))
     d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return d.withColumn("_b1", F.least("_own", "_other")).withColumn("_b2", F.greatest("_own", "_other")).drop("_n", "_blocks", "_other")
@@ -36,6 +37,14 @@ def _products(a: np.ndarray, b: np.ndarray, turns: bool) -> np.ndarray:
     return best
 
 
+def _row_products(a: np.ndarray, b: np.ndarray, turns: bool) -> np.ndarray:
+    """Product of each row with the same row of the other, the largest over all turns if asked."""
+    if not turns:
+        return np.einsum("ij,ij->i", a, b)
+    side = int(round(a.shape[1] ** 0.5))
+    return np.max([np.einsum("ij,ij->i", a, b[:, o]) for o in dihedral_orders(side, side)], axis=0) if len(a) else np.zeros(0)
+
+
 def similar_pairs(df: DataFrame, least: float, part: list[str] | None = None, turns: bool = False, block: int = BLOCK) -> DataFrame:
     """(``i``, ``j``, ``sim``), i < j: rows of (``item_id``, ``v``) with a product of ``least`` or more, over all turns if asked."""
     part = part or []
@@ -46,14 +55,21 @@ def similar_pairs(df: DataFrame, least: float, part: list[str] | None = None, tu
         v = np.stack(f["v"].to_numpy()).astype(np.float64)
         b1, b2 = f["_b1"].iloc[0], f["_b2"].iloc[0]
         left, right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
+        single = v.astype(np.float32)
+        # single precision finds what may reach the threshold, double precision decides
+        slack = 1e-5 * max(1.0, float((v * v).sum(axis=1).max(initial=0.0)))
         out = []
-        for lo in range(0, len(left), 1024):
-            rows = left[lo : lo + 1024]
-            s = _products(v[rows], v[right], turns)
-            r, c = np.nonzero(s >= least)
-            i, j = ids[rows[r]], ids[right[c]]
+        for lo in range(0, len(left), 512):
+            rows = left[lo : lo + 512]
+            # within one block only the rows after this one: the products are symmetric
+            others = right[lo:] if b1 == b2 else right
+            r, c = np.divmod(np.flatnonzero(_products(single[rows], single[others], turns) >= least - slack), len(others))
+            i, j = ids[rows[r]], ids[others[c]]
             keep = i < j if b1 == b2 else i != j
-            out.append(pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "sim": s[r, c][keep]}))
+            r, c, i, j = r[keep], c[keep], i[keep], j[keep]
+            s = _row_products(v[rows[r]], v[others[c]], turns)
+            good = s >= least
+            out.append(pd.DataFrame({"i": np.minimum(i, j)[good], "j": np.maximum(i, j)[good], "sim": s[good]}))
         return pd.concat(out) if out else pd.DataFrame(columns=["i", "j", "sim"])
 
     keys = [*part, "_b1", "_b2"]
@@ -93,6 +109,32 @@ def nearest_elsewhere(df: DataFrame, group: str, part: list[str] | None = None,
     return best.groupBy("i").agg(F.max_by(F.struct("j", "sim"), F.struct("sim", -F.col("j"))).alias("m")).select("i", "m.j", "m.sim")
 
 
+def best_elsewhere(df: DataFrame, asks: str, part: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """(``i``, ``j``, ``sim``): for each row that asks (a boolean column) the most similar row that does not; ties go to the least id.
+
+    Only products of asking with other rows are made. Askers whose part holds no other row do not occur.
+    """
+    part = part or []
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("item_id")
+        ids, own, q = f["item_id"].to_numpy(np.int64), f["_own"].to_numpy(), f[asks].to_numpy(bool)
+        v = np.stack(f["v"].to_numpy()).astype(np.float64)
+        b1, b2 = f["_b1"].iloc[0], f["_b2"].iloc[0]
+        out = [pd.DataFrame({"i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "sim": pd.Series(dtype=float)})]
+        for x, y in [(b1, b2)] if b1 == b2 else [(b1, b2), (b2, b1)]:
+            left, right = np.flatnonzero((own == x) & q), np.flatnonzero((own == y) & ~q)
+            for lo in range(0, len(left) if len(right) else 0, 1024):
+                rows = left[lo : lo + 1024]
+                s = np.round(v[rows] @ v[right].T, 12)
+                c = s.argmax(axis=1)
+                out.append(pd.DataFrame({"i": ids[rows], "j": ids[right[c]], "sim": s[np.arange(len(rows)), c]}))
+        return pd.concat(out)
+
+    best = _paired_blocks(df.select("item_id", "v", asks, *part), part, block).groupBy(*part, "_b1", "_b2").applyInPandas(run, "i long, j long, sim double")
+    return best.groupBy("i").agg(F.max_by(F.struct("j", "sim"), F.struct("sim", -F.col("j"))).alias("m")).select("i", "m.j", "m.sim")
+
+
 def class_maxima(df: DataFrame, group: str, label: str, block: int = BLOCK, part: list[str] | None = None) -> DataFrame:
     """(``i``, ``label``, ``sim``): for each row the greatest similarity to each label among rows of other groups."""
     labelled = nearest_by_label(df, group, label, block, part or [])
@@ -131,12 +173,13 @@ def knn_scores(df: DataFrame, group: str, label: str, block: int = BLOCK) -> Dat
 
 
 def pair_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row over (i, j): edges, and the shares with equal label ``y`` and with different ``fold``."""
-    a = nodes.select(F.col("item_id").alias("i"), F.col("y").alias("_yi"), F.col("fold").alias("_fi"))
-    b = nodes.select(F.col("item_id").alias("j"), F.col("y").alias("_yj"), F.col("fold").alias("_fj"))
-    e = edges.join(a, "i").join(b, "j")
+    """One row over (i, j): edges, and the shares with equal label ``y``, with different ``fold`` and, where nodes have one, with different ``group``."""
     pct = lambda c: F.round(100 * F.avg(c.cast("double")), 4)
-    return e.agg(F.count("*").alias("n"), pct(F.col("_yi") == F.col("_yj")).alias("pct_same_label"), pct(F.col("_fi") != F.col("_fj")).alias("pct_diff_fold"))
+    more = ["group"] if "group" in nodes.columns else []
+    a, b = (nodes.select(F.col("item_id").alias(s), *[F.col(c).alias(f"_{c}{s}") for c in ["y", "fold", *more]]) for s in "ij")
+    e = edges.join(a, "i").join(b, "j")
+    groups = [pct(F.col("_groupi") != F.col("_groupj")).alias("pct_diff_group")] if more else []
+    return e.agg(F.count("*").alias("n"), pct(F.col("_yi") == F.col("_yj")).alias("pct_same_label"), pct(F.col("_foldi") != F.col("_foldj")).alias("pct_diff_fold"), *groups)
 
 
 def average_hash(df: DataFrame, key: str, v: str) -> DataFrame:
@@ -145,8 +188,8 @@ def average_hash(df: DataFrame, key: str, v: str) -> DataFrame:
     return d.select(key, F.expr("array_join(transform(_v, x -> CASE WHEN cast(x as double) > _mean THEN '1' ELSE '0' END), '')").alias("bits"))
 
 
-def hamming_pairs(hashes: DataFrame, most: int, part: str, key: str = "item_id") -> DataFrame:
-    """(``i``, ``j``, ``distance``), i < j, of one part with at most ``most`` differing bits.
+def hamming_pairs(hashes: DataFrame, most: int, part: str, key: str = "item_id", across: str | None = None) -> DataFrame:
+    """(``i``, ``j``, ``distance``), i < j, of one part with at most ``most`` differing bits; with ``across`` only of rows that differ in that column.
 
     The 64 bits are cut into exactly ``most`` + 1 segments whose widths differ by one at most. Two hashes at distance
     ``most`` or less agree on one of them: rows meet only where a segment is equal, then the whole distance decides.
@@ -155,7 +198,8 @@ def hamming_pairs(hashes: DataFrame, most: int, part: str, key: str = "item_id")
     segs = F.array(*[F.concat(F.lit(f"{s}:"), F.substring("bits", lo + 1, hi - lo)) for s, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
     half = lambda at: F.conv(F.substring("bits", at, 32), 2, 10).cast("long")
     signed = F.shiftleft(half(1), 32).bitwiseOR(half(33))
-    h = hashes.select(F.col(key).alias("_k"), F.col(part).alias("_part"), signed.alias("_h"), F.explode(segs).alias("_s"))
-    a, b = h.select(F.col("_k").alias("i"), "_part", "_s", F.col("_h").alias("ha")), h.select(F.col("_k").alias("j"), "_part", "_s", F.col("_h").alias("hb"))
+    side = F.col(across) if across else F.lit(None).cast("string")
+    h = hashes.select(F.col(key).alias("_k"), F.col(part).alias("_part"), signed.alias("_h"), side.alias("_side"), F.explode(segs).alias("_s"))
+    a, b = (h.select(F.col("_k").alias(n), "_part", "_s", F.col("_h").alias(f"h{s}"), F.col("_side").alias(f"s{s}")) for n, s in (("i", "a"), ("j", "b")))
     d = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return a.join(b, ["_part", "_s"]).where("i < j").select("i", "j", d.alias("distance")).where(F.col("distance") <= most).distinct()
+    return a.join(b, ["_part", "_s"]).where("i < j" + (" and sa <> sb" if across else "")).select("i", "j", d.alias("distance")).where(F.col("distance") <= most).distinct()

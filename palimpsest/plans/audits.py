@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from palimpsest.functions import kernels
-from palimpsest.operators import audit, evaluate, folds, graph, images, metrics, models, similarity
+from palimpsest.functions.text import known_split
+from palimpsest.operators import audit, duplicates, evaluate, folds, graph, images, metrics, models, similarity
+from palimpsest.operators.ranks import quantiles
+from palimpsest.plans.pixels import _HALF
 from palimpsest.session import table as t
 from palimpsest.session import written
 
@@ -52,7 +56,7 @@ def _features(s, d):
 
 
 def copy_grouped_validation(s, d):
-    """AUC of each feature set with copy clusters kept whole in the folds, with intervals that draw whole clusters."""
+    """All metrics of each feature set with copy clusters kept whole in the folds, with intervals that draw whole clusters."""
     nodes = written(_thumbs(s, d), "thumbs")
     comps = graph.components(similarity.similar_pairs(nodes, 0.90, ["drawing_type"], turns=True))
     clusters = written(graph.with_singletons(nodes.select("item_id", "y"), comps, "item_id"), "clusters")
@@ -60,10 +64,10 @@ def copy_grouped_validation(s, d):
     x = written(_features(s, d).join(clusters.select("item_id", "component"), "item_id").join(f, "component"), "features")
     out = None
     for name, columns in evaluate.FEATURE_SETS.items():
-        oof = models.logistic_oof(x, columns, ["drawing_type"]).join(x.select("item_id", "component"), "item_id")
-        row = evaluate.metric_table(oof, ["drawing_type"], "component", 100).select(F.lit(name).alias("model"), "*")
+        row = models.logistic_oof(x, columns, ["drawing_type"]).select(F.lit(name).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
-    return out
+    oof = written(out, "oof").join(x.select("item_id", "component"), "item_id")
+    return evaluate.metric_table(oof, ["model", "drawing_type"], "component", 500)
 
 
 def background_hold_out(s, d):
@@ -96,12 +100,105 @@ def background_correlation(s, d):
     return oof.groupBy("drawing_type").agg(*[F.round(F.corr("score", c), 6).alias(f"corr_{c}") for c in ("frame_mean", "speckle", "y")])
 
 
-_NAMES = "twin_audit copy_grouped_validation background_hold_out neighbour_audit background_correlation".split()
+def _listed(s, d):
+    """One row for each listed item with a type: least path, split, diagnosis, class name and number."""
+    m = t(s, d, "yolo_full_manifest").where("item_id is not null and drawing_type is not null and path is not null")
+    split = F.coalesce(known_split(F.col("split")), F.lit("?"))
+    least = [F.min(c).alias(n) for c, n in ((F.col("path"), "path"), (split, "split"), (F.col("diagnosis"), "diagnosis"), (F.col("class_name"), "class_name"), (F.col("drawing_type"), "drawing_type"), (F.col("name_number"), "name_number"))]
+    return m.groupBy("item_id").agg(*least)
+
+
+def _signed(s, d):
+    """Whole drawings and their signatures of 16 x 16 (the cached drawings are smaller than the 48 x 48 of full images)."""
+    drawings = images.whole(t(s, d, "cnn_cache_128"))
+    v = images.transformed(drawings, lambda x: kernels.signatures(images.ink_to_gray(x), 16), out_type="double").select("item_id", F.col("x").alias("v"))
+    return drawings.select("item_id", "x"), written(v, "signatures")
+
+
+def built_manifest(s, d):
+    """The clean manifest from scratch: exact and near links of the drawings, verified by pixels, their components, and the rules for groups."""
+    drawings, v = _signed(s, d)
+    return duplicates.grouped_manifest(written(_listed(s, d), "listed"), drawings, v)
+
+
+def built_links(s, d):
+    drawings, v = _signed(s, d)
+    rows = written(_listed(s, d), "listed")
+    digests = drawings.select("item_id", duplicates.content_digest().alias("digest")).join(rows.select("item_id", "drawing_type"), "item_id")
+    return duplicates.link_counts(digests, duplicates.grouped_manifest(rows, drawings, v))
+
+
+def _matches(s, d):
+    rows = written(_listed(s, d), "listed")
+    nodes = _signed(s, d)[1].join(rows.select("item_id", "split", "drawing_type"), "item_id")
+    return rows, written(nodes, "nodes")
+
+
+def split_matches(s, d):
+    """The best training match of every validation drawing of its type, those of 0.98 or more, the 1,000 best first."""
+    rows, nodes = _matches(s, d)
+    best = duplicates.split_matches(nodes, "drawing_type").where("sim >= 0.98")
+    own = lambda k, n: rows.select(F.col("item_id").alias(k), F.col("path").alias(f"{n}_path"), F.col("class_name").alias(f"{n}_label"))
+    top = best.join(own("i", "val"), "i").join(own("j", "train"), "j").orderBy(F.desc("sim"), "i", "j").limit(1000)
+    return top.select(F.round("sim", 4).alias("correlation"), "val_path", "train_path", "val_label", "train_label")
+
+
+def split_match_ladder(s, d):
+    """For each type: validation drawings, how many have a training match at each step, the median of the best, and near pairs inside training."""
+    rows, nodes = _matches(s, d)
+    best = duplicates.split_matches(nodes, "drawing_type").join(rows.select(F.col("item_id").alias("i"), "drawing_type"), "i")
+    steps = [F.count_if(F.col("sim") >= x).alias(f"at_{str(x)[2:]}") for x in audit.LADDER]
+    table = best.groupBy("drawing_type").agg(F.count("*").alias("n_val"), *steps)
+    median = quantiles(best, ["drawing_type"], "sim", [0.5]).select("drawing_type", F.round(F.col("_q")[0], 6).alias("median_best"))
+    inside = similarity.similar_pairs(nodes.where("split = 'train'"), 0.99, ["drawing_type"]).join(rows.select(F.col("item_id").alias("i"), "drawing_type"), "i")
+    inside = inside.groupBy("drawing_type").agg(F.count("*").alias("n_in_train"))
+    out = table.join(median, "drawing_type").join(inside, "drawing_type", "left")
+    return out.withColumn("n_in_train", F.coalesce("n_in_train", F.lit(0)))
+
+
+def cross_split_drawings(s, d):
+    """Training and test drawings of one type with equal content, else with equal average hashes."""
+    drawings = images.whole(t(s, d, "cnn_cache_128"))
+    bits = lambda x: np.unpackbits(kernels.average_hashes(images.ink_to_gray(x)).astype(">i8").view(np.uint8).reshape(len(x), 8), axis=1).astype(np.int16)
+    h = images.transformed(drawings, bits).select("item_id", F.array_join(F.col("x").cast("array<string>"), "").alias("bits"))
+    items = drawings.select("item_id", duplicates.content_digest().alias("digest")).join(h, "item_id").join(_listed(s, d).select("item_id", "split", "drawing_type"), "item_id")
+    return duplicates.cross_split_duplicates(written(items, "hashed"), "drawing_type", "digest", "bits")
+
+
+_NAMES = "built_manifest built_links split_matches split_match_ladder cross_split_drawings twin_audit copy_grouped_validation background_hold_out neighbour_audit background_correlation".split()
 
 
 def queries():
     return {n: globals()[n] for n in _NAMES}
 
 
+_PART = "CASE WHEN lower(trim(split)) IN ('train','training') THEN 'train' WHEN lower(trim(split)) IN ('val','valid','validation') THEN 'val' WHEN lower(trim(split)) IN ('test','testing') THEN 'test' END"
+_L = f"""l AS (SELECT item_id, min(path) AS path, min(coalesce({_PART},'?')) AS split, min(diagnosis) AS diagnosis, min(class_name) AS class_name, min(drawing_type) AS drawing_type, min(name_number) AS name_number
+    FROM yolo_full_manifest WHERE item_id IS NOT NULL AND drawing_type IS NOT NULL AND path IS NOT NULL GROUP BY 1)"""
+_S = f"""b0 AS (SELECT item_id, any_value(width) AS w, any_value(x) AS x FROM cnn_cache_128 WHERE len(x)=height*width GROUP BY 1),
+    b AS (SELECT item_id, w, x, list_transform(x, lambda e: 255-e) AS g FROM b0), s AS (SELECT item_id, list_transform({_HALF.format(v='g')}, lambda e: 255-e) AS v FROM b),
+    c AS (SELECT item_id, list_transform(v, lambda e: e-list_avg(v)) AS v FROM s), u AS (SELECT item_id, list_transform(v, lambda e: e/CASE WHEN sqrt(list_dot_product(v,v))>1e-6 THEN sqrt(list_dot_product(v,v)) ELSE 1 END) AS v FROM c),
+    n AS (SELECT l.*, b.x, u.v FROM l JOIN b USING(item_id) JOIN u USING(item_id))"""
+_EDGES = """p AS (SELECT a.item_id AS i, b.item_id AS j, a.x AS xa, b.x AS xb FROM n a JOIN n b ON a.drawing_type=b.drawing_type AND a.item_id<b.item_id WHERE list_dot_product(a.v,b.v)>=0.99),
+    d AS (SELECT i, j, list_transform(range(len(xa)), lambda k: abs(xa[k+1]-xb[k+1])) AS d FROM p WHERE len(xa)=len(xb)),
+    e0 AS (SELECT i, j FROM d WHERE list_avg(d)<=3 AND len(list_filter(d, lambda k: k>40))/len(d)<=0.01 UNION SELECT a.item_id, b.item_id FROM n a JOIN n b ON a.drawing_type=b.drawing_type AND a.item_id<b.item_id AND a.x=b.x),
+    e AS (SELECT i, j FROM e0 UNION SELECT j, i FROM e0), r AS (SELECT item_id AS node, item_id AS reach FROM n UNION SELECT r.node, e.j FROM r JOIN e ON e.i=r.reach),
+    m AS (SELECT node AS item_id, min(reach) AS group_id FROM r GROUP BY 1), k AS (SELECT n.*, m.group_id FROM n JOIN m USING(item_id))"""
+_BEST = "q AS (SELECT a.item_id AS i, b.item_id AS j, a.drawing_type, round(list_dot_product(a.v,b.v),12) AS sim, row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_dot_product(a.v,b.v),12) DESC, b.item_id) AS rn FROM n a JOIN n b ON a.drawing_type=b.drawing_type AND a.split='val' AND b.split='train')"
+
+
 def oracle_sql():
-    return {}
+    from palimpsest.plans import pixels
+
+    hashes = pixels.oracle_sql()["drawing_hashes"]
+    return {
+        "built_manifest": f"""WITH RECURSIVE {_L}, {_S}, {_EDGES}, g AS (SELECT group_id, count(*)::INT AS sz, count(DISTINCT diagnosis)>1 AS cf, max(CASE WHEN split='train' THEN 1 ELSE 0 END) AS tr, min(split) AS least FROM k GROUP BY 1),
+            o AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY name_number, item_id, path) AS rn FROM k)
+            SELECT item_id, path, o.group_id, sz AS group_size, cf AS group_conflict, CASE WHEN rn=1 THEN 'rep' ELSE 'dup' END AS role, CASE WHEN cf THEN 'drop' WHEN rn>1 THEN 'dup' WHEN tr=1 THEN 'train' ELSE least END AS split_clean FROM o JOIN g USING(group_id)""",
+        "built_links": f"WITH RECURSIVE {_L}, {_S}, {_EDGES}, x AS (SELECT sum(c-1)::BIGINT AS ex FROM (SELECT count(*) AS c FROM n GROUP BY drawing_type, x)) SELECT count(*) AS n_files, count(DISTINCT group_id) AS n_groups, any_value(ex) AS exact_links, count(*)-count(DISTINCT group_id)-any_value(ex) AS near_links FROM k, x",
+        "split_matches": f"WITH {_L}, {_S}, {_BEST} SELECT round(sim,4) AS correlation, a.path AS val_path, c.path AS train_path, a.class_name AS val_label, c.class_name AS train_label FROM q JOIN l a ON a.item_id=i JOIN l c ON c.item_id=j WHERE rn=1 AND sim>=0.98 ORDER BY sim DESC, i, j LIMIT 1000",
+        "split_match_ladder": f"""WITH {_L}, {_S}, {_BEST}, y AS (SELECT a.drawing_type, count(*) AS c FROM n a JOIN n b ON a.drawing_type=b.drawing_type AND a.item_id<b.item_id AND a.split='train' AND b.split='train' WHERE list_dot_product(a.v,b.v)>=0.99 GROUP BY 1)
+            SELECT q.drawing_type, count(*) AS n_val, count(*) FILTER (sim>=0.995) AS at_995, count(*) FILTER (sim>=0.99) AS at_99, count(*) FILTER (sim>=0.98) AS at_98, count(*) FILTER (sim>=0.95) AS at_95, round(median(sim),6) AS median_best, coalesce(any_value(c),0) AS n_in_train FROM q LEFT JOIN y USING(drawing_type) WHERE rn=1 GROUP BY 1""",
+        "cross_split_drawings": f"""WITH {_L}, h AS ({hashes}), b AS (SELECT item_id, any_value(x) AS x FROM cnn_cache_128 WHERE len(x)=height*width GROUP BY 1), n AS (SELECT l.item_id, split, drawing_type, x, bits FROM l JOIN b USING(item_id) JOIN h USING(item_id))
+            SELECT a.drawing_type AS kind, a.item_id AS train, c.item_id AS test, CASE WHEN a.x=c.x THEN 'exact' ELSE 'near' END AS match FROM n a JOIN n c ON a.drawing_type=c.drawing_type AND a.split='train' AND c.split='test' AND (a.x=c.x OR a.bits=c.bits)""",
+    }

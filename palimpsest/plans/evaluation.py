@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions.images import dihedral_orders
-from palimpsest.operators import audit, bootstrap, folds, graph, images, metrics, models, similarity
+from palimpsest.operators import audit, bootstrap, evaluate, folds, graph, images, metrics, models, similarity
 from palimpsest.operators.bootstrap import STEPS
+from palimpsest.operators.ranks import join_on, ranked
 from palimpsest.session import table as t
+from palimpsest.session import written
 from palimpsest.sources.sinks import clusters_across_types
 
 TAU, TAU_EDGES = 0.45, 0.40
@@ -101,11 +103,19 @@ def _boot(s, d):
 
 
 def bootstrap_auc(s, d):
-    return bootstrap.bootstrap_interval(_boot(s, d), ["one"], "item_id", 100, 7).select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), "n_draws")
+    return bootstrap.bootstrap_interval(_boot(s, d), ["one"], "item_id", 1000, 7).select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), "n_draws")
 
 
 def cluster_bootstrap(s, d):
-    return bootstrap.bootstrap_interval(_boot(s, d), ["one"], "cluster", 100, 7).select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), "n_draws")
+    return bootstrap.bootstrap_interval(_boot(s, d), ["one"], "cluster", 500, 7).select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), "n_draws")
+
+
+def bootstrap_table(s, d):
+    """All six metrics of two repeats of scores for even and odd vectors, with intervals over 200 draws that keep the classes' totals."""
+    e = _emb(s, d).select("item_id", "y", (F.col("item_id") % 2).cast("int").alias("half"), F.posexplode(F.slice("v", 1, 2)).alias("rep", "_v"))
+    e = e.select("item_id", "y", "half", "rep", F.round(F.col("_v").cast("double"), 4).alias("score")).withColumn("pred", (F.col("score") > 0).cast("int"))
+    t_ = bootstrap.bootstrap_metrics(e, ["half"], "item_id", 200, 3, True, "rep")
+    return t_.select("half", "metric", *[F.round(c, 8).alias(c) for c in ("value", "lo", "hi")], "n_draws")
 
 
 def ahash_bits(s, d):
@@ -169,8 +179,7 @@ def top_similarities(s, d):
 
 
 def best_match_ladder(s, d):
-    e = _emb(s, d).withColumn("side", (F.col("item_id") % 5 == 0).cast("int"))
-    best = similarity.nearest_elsewhere(e, "side").join(e.where("side = 1").select(F.col("item_id").alias("i")), "i")
+    best = similarity.best_elsewhere(_emb(s, d).withColumn("asks", F.col("item_id") % 5 == 0), "asks")
     return audit.ladder(best.select(F.round("sim", 9).alias("correlation")), steps=(0.5, 0.4, 0.3, 0.2))
 
 
@@ -195,9 +204,36 @@ def logistic_oof(s, d):
 
 
 def logistic_metrics(s, d):
-    m = metrics.all_metrics(logistic_oof(s, d), ["drawing_type"])
-    b = bootstrap.bootstrap_interval(logistic_oof(s, d), ["drawing_type"], "item_id", 50, 0)
-    return m.join(b, "drawing_type")
+    return evaluate.metric_table(written(logistic_oof(s, d), "oof"), ["drawing_type"])
+
+
+def shuffled_labels(s, d):
+    """The control: labels exchanged among the items of a type by a seeded digest, everything else as in ``logistic_oof``; AUC near one half."""
+    x = _strokes(s, d)
+    digest = F.sha1(F.concat(F.lit("5|"), F.col("item_id").cast("string")).cast("binary"))
+    place = ranked(x.select("item_id", "drawing_type", digest.alias("_d")), ["drawing_type"], ["_d", "item_id"]).select("item_id", "drawing_type", "_rank")
+    label = ranked(x.select("item_id", "drawing_type", "y"), ["drawing_type"], ["item_id"]).select("drawing_type", "_rank", "y")
+    y = join_on(place, label, ["drawing_type", "_rank"]).select("item_id", "y")
+    oof = models.logistic_oof(x.drop("y").join(y, "item_id"), list(images.kernels.GEOMETRY), ["drawing_type"])
+    return metrics.auc_roc(oof, ["drawing_type"])
+
+
+def feature_importance(s, d):
+    """For each type and stroke feature: AUC, its direction, and the coefficient of the model on all rows, the strongest first."""
+    x = written(_strokes(s, d), "strokes")
+    names = list(images.kernels.STROKE_FEATURES)
+    long = x.select("drawing_type", "y", *names).unpivot(["drawing_type", "y"], names, "feature", "score")
+    auc = metrics.folded(metrics.auc_roc(long, ["drawing_type", "feature"]))
+    coef = models.full_data_coefficients(x, names, ["drawing_type"])
+    return join_on(auc, coef, ["drawing_type", "feature"]).orderBy("drawing_type", F.desc("folded_auc"), "feature")
+
+
+def score_file_checks(s, d):
+    """Whether the out-of-fold scores of five repeats cover every item once: scores of the majority with a repeat of some rows left out."""
+    it = _items(s, d).where("drawing_type = 'spiral'")
+    r = folds.repeated_folds(it, ["diagnosis"], ["name_number", "item_id"])
+    scores = models.majority_oof(r, ["drawing_type", "repeat"]).where("not (repeat = 2 and item_id % 10 = 0)")
+    return audit.score_checks(scores.select("item_id", "repeat", "score"), it, 5).select(*[F.col(c).cast("long").alias(c) for c in ("n_items", "n_missing", "n_unknown", "n_repeated", "n_bad", "n_repeats")], "ok")
 
 
 def logistic_coefficients(s, d):
@@ -215,14 +251,16 @@ def group_holdout_auc(s, d):
     b = folds.tercile_groups(images.background_table(cache, ["item_id", "diagnosis", "drawing_type"]).where("diagnosis is not null and drawing_type is not null"), "frame_mean", ["drawing_type"])
     v = images.thumbnail_table(cache, 8).join(b.select("item_id", "drawing_type", F.col("tercile").alias("grp"), (F.col("diagnosis") == "parkinson").cast("int").alias("y")), "item_id")
     near = similarity.class_maxima(v, "grp", "y", part=["drawing_type"])
-    score = near.groupBy("i").agg((F.max(F.when(F.col("label") == 1, F.col("sim"))) - F.max(F.when(F.col("label") == 0, F.col("sim")))).alias("score"))
-    return metrics.auc_roc(score.join(v.select(F.col("item_id").alias("i"), "drawing_type", "grp", "y"), "i"), ["drawing_type", "grp"])
+    best = lambda y: F.max(F.when(F.col("label") == y, F.col("sim")))
+    score = near.groupBy("i").agg(F.round(best(1) - best(0), 8).alias("score"))
+    auc = metrics.auc_roc(score.join(v.select(F.col("item_id").alias("i"), "drawing_type", F.col("grp").cast("int").alias("grp"), "y"), "i"), ["drawing_type", "grp"])
+    return auc.select("drawing_type", "grp", F.round("auc", 6).alias("auc"))
 
 
 _SQL_NAMES = """blocked_folds fold_sizes terciles tercile_table confusion rates auc_roc average_precision folded_auc majority_oof majority_metrics mean_over_repeats
 cluster_sizes bootstrap_auc cluster_bootstrap ahash_bits hamming_pairs dihedral_edges plain_edges twin_components twin_numbers twin_statistics edge_statistics
-nearest_other_fold nearest_other_fold_turned nearest_label_accuracy top_similarities best_match_ladder knn_scores knn_auc""".split()
-_ROWS_ONLY = "logistic_oof logistic_metrics logistic_coefficients grouped_folds group_holdout_auc".split()
+nearest_other_fold nearest_other_fold_turned nearest_label_accuracy top_similarities best_match_ladder knn_scores knn_auc bootstrap_table score_file_checks group_holdout_auc""".split()
+_ROWS_ONLY = "logistic_oof logistic_metrics logistic_coefficients grouped_folds shuffled_labels feature_importance".split()
 
 
 def queries():
@@ -256,13 +294,49 @@ _RATES = "count(*) FILTER (y=1 AND pred=1)/nullif(count(*) FILTER (y=1),0)"
 _SPEC = "count(*) FILTER (y=0 AND pred=0)/nullif(count(*) FILTER (y=0),0)"
 
 
-def _boot_sql(unit: str) -> str:
-    u = f"('0x'||substr(sha1('7|'||draw||'|'||{unit}),1,7))::BIGINT"
-    w = "+".join(f"CASE WHEN u>={s} THEN 1 ELSE 0 END" for s in STEPS)
-    rows = f"(SELECT draw, y, score, w FROM (SELECT *, ({w}) AS w FROM (SELECT draw, y, score, {u} AS u FROM (SELECT vec_id AS item_id, vec_id//4 AS cluster, CASE WHEN label>=5 THEN 1 ELSE 0 END AS y, embedding[1]::DOUBLE AS score FROM embeddings), range(100) d(draw))) WHERE w>0)"
+_STEP = "+".join(f"CASE WHEN u>={s} THEN 1 ELSE 0 END" for s in STEPS)
+
+
+def _draw(seed: int, unit: str) -> str:
+    """28 bits of the digest that serves five draws."""
+    return f"('0x'||substr(sha1('{seed}|'||(draw//5)||'|'||{unit}),1+8*(draw%5),7))::BIGINT"
+
+
+def _boot_sql(unit: str, n_boot: int) -> str:
+    rows = f"(SELECT draw, y, score, w FROM (SELECT *, ({_STEP}) AS w FROM (SELECT draw::INT AS draw, y, score, {_draw(7, unit)} AS u FROM (SELECT vec_id AS item_id, vec_id//4 AS cluster, CASE WHEN label>=5 THEN 1 ELSE 0 END AS y, embedding[1]::DOUBLE AS score FROM embeddings), (SELECT unnest(range({n_boot})) AS draw) d)) WHERE w>0)"
     return f"SELECT round(quantile_cont(auc,0.025),9) AS lo, round(quantile_cont(auc,0.975),9) AS hi, count(*) AS n_draws FROM {_auc(rows, 'draw', 'w')} WHERE auc IS NOT NULL"
 
 
+def _boot_table_sql() -> str:
+    """Draw -1 is the data itself; precision sees the classes scaled back to their totals."""
+    return f"""WITH e AS (SELECT vec_id AS item_id, (vec_id%2)::INT AS half, CASE WHEN label>=5 THEN 1 ELSE 0 END AS y, unnest([0,1]) AS rep, unnest([embedding[1],embedding[2]]) AS v FROM embeddings),
+        r AS (SELECT item_id, half, y, rep, round(v::DOUBLE,4) AS score, CASE WHEN round(v::DOUBLE,4)>0 THEN 1 ELSE 0 END AS pred FROM e),
+        w AS (SELECT item_id, draw, ({_STEP})::DOUBLE AS w FROM (SELECT item_id, draw, {_draw(3, 'item_id')} AS u FROM (SELECT DISTINCT item_id FROM r), (SELECT unnest(range(200)) AS draw) d) UNION ALL SELECT DISTINCT item_id, -1, 1.0 FROM r),
+        x AS (SELECT r.*, draw, w FROM r JOIN w USING(item_id)),
+        c AS (SELECT half, rep, draw, sum(w*y) AS p, sum(w*(1-y)) AS n, sum(w*y*pred) AS tp, sum(w*(1-y)*(1-pred)) AS tn FROM x GROUP BY 1,2,3),
+        z AS (SELECT c.*, b.p AS p0, b.n AS n0 FROM c JOIN c b ON b.half=c.half AND b.rep=c.rep AND b.draw=-1),
+        g AS (SELECT half, rep, draw, score, sum(w*y) AS sp, sum(w*(1-y)) AS sn FROM x GROUP BY 1,2,3,4),
+        o AS (SELECT *, coalesce(sum(sn) OVER (PARTITION BY half, rep, draw ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below, sum(sp) OVER q AS atp, sum(sn) OVER q AS afp FROM g WINDOW q AS (PARTITION BY half, rep, draw ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+        k AS (SELECT o.half, o.rep, o.draw, sum(sp*(below+sn/2)) AS u, sum(CASE WHEN sp>0 THEN sp*atp/(atp+afp*(n0/n)/(p0/p)) ELSE 0 END) AS a FROM o JOIN z USING(half, rep, draw) GROUP BY 1,2,3),
+        m AS (SELECT half, rep, draw, (tp/p*p0+tn/n*n0)/(p0+n0) AS accuracy, tp/p AS sensitivity, tn/n AS specificity, (tp/p+tn/n)/2 AS balanced_accuracy, u/(p*n) AS auc, a/p AS ap FROM z JOIN k USING(half, rep, draw) WHERE p>0 AND n>0),
+        d AS (SELECT half, draw, avg(accuracy) AS accuracy, avg(sensitivity) AS sensitivity, avg(specificity) AS specificity, avg(balanced_accuracy) AS balanced_accuracy, avg(auc) AS auc, avg(ap) AS ap FROM m GROUP BY 1,2),
+        l AS (UNPIVOT d ON accuracy, sensitivity, specificity, balanced_accuracy, auc, ap INTO NAME metric VALUE v)
+        SELECT half, metric, round(max(v) FILTER (draw=-1),8) AS value, round(quantile_cont(v,0.025) FILTER (draw>=0),8) AS lo, round(quantile_cont(v,0.975) FILTER (draw>=0),8) AS hi, count(*) FILTER (draw>=0) AS n_draws FROM l GROUP BY 1,2"""
+
+
+def _holdout_sql() -> str:
+    return f"""WITH b AS (SELECT item_id, any_value(height) AS h, any_value(width) AS w, any_value(x) AS x, any_value(diagnosis) AS diagnosis, any_value(drawing_type) AS drawing_type FROM cnn_cache_128 WHERE len(x)=height*width GROUP BY 1),
+        px AS (SELECT item_id, h, w, unnest(range(h*w)) AS i, unnest(x) AS v FROM b), f AS (SELECT item_id, avg(v) FILTER (i//w<3 OR i//w>=h-3 OR i%w<3 OR i%w>=w-3) AS frame FROM px GROUP BY 1),
+        a AS (SELECT b.item_id, drawing_type, frame, CASE WHEN diagnosis='parkinson' THEN 1 ELSE 0 END AS y FROM b JOIN f USING(item_id) WHERE diagnosis IS NOT NULL AND drawing_type IS NOT NULL),
+        q AS (SELECT drawing_type, quantile_cont(frame,1/3.0::DOUBLE) q1, quantile_cont(frame,2/3.0::DOUBLE) q2 FROM a GROUP BY 1),
+        g AS (SELECT a.*, CASE WHEN frame>=q2 THEN 2 WHEN frame>=q1 THEN 1 ELSE 0 END::INT AS grp FROM a JOIN q USING(drawing_type)),
+        t AS (SELECT item_id, list_transform(range(64), lambda j: list_avg(list_transform(range(16), lambda k: x[((j//8)*4+k//4)*w+(j%8)*4+k%4+1]))) AS v FROM b),
+        c AS (SELECT item_id, list_transform(v, lambda e: e-list_avg(v)) AS v FROM t), u AS (SELECT item_id, list_transform(v, lambda e: e/greatest(sqrt(list_dot_product(v,v)),1e-8)) AS v FROM c),
+        n AS (SELECT g.*, u.v FROM g JOIN u USING(item_id)),
+        s AS (SELECT a.item_id, any_value(a.drawing_type) AS drawing_type, any_value(a.grp) AS grp, any_value(a.y) AS y, round(max(list_dot_product(a.v,b.v)) FILTER (b.y=1)-max(list_dot_product(a.v,b.v)) FILTER (b.y=0),8) AS score FROM n a JOIN n b ON a.drawing_type=b.drawing_type AND a.grp<>b.grp GROUP BY 1)
+        SELECT drawing_type, grp, round(auc,6) AS auc FROM {_auc('s', 'drawing_type, grp')}"""
+
+
 def oracle_sql():
     orders = "(SELECT o_custkey::DOUBLE AS score, o_totalprice, CASE WHEN o_orderstatus='F' THEN 1 ELSE 0 END AS y, CASE WHEN o_totalprice>=q2 THEN 2 WHEN o_totalprice>=q1 THEN 1 ELSE 0 END AS tercile FROM orders, (SELECT quantile_cont(o_totalprice,1/3.0::DOUBLE) q1, quantile_cont(o_totalprice,2/3.0::DOUBLE) q2 FROM orders))"
     feats = f"(SELECT y, feature, score FROM (UNPIVOT (SELECT y, l_quantity, l_extendedprice, l_discount, l_tax FROM {_L}) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME feature VALUE score))"
@@ -281,8 +355,11 @@ def oracle_sql():
         "majority_metrics": f"WITH {_MAJ} SELECT drawing_type, accuracy, balanced_accuracy, round(auc,6) AS auc, round(ap,6) AS ap FROM (SELECT drawing_type, round(count(*) FILTER (y=pred)/count(*),6) AS accuracy, round(({_RATES}+{_SPEC})/2,6) AS balanced_accuracy FROM mp GROUP BY 1) JOIN {_auc('mp', 'drawing_type')} USING(drawing_type) JOIN {_ap('mp', 'drawing_type')} USING(drawing_type)",
         "mean_over_repeats": f"WITH {_IT}, f AS ({' UNION ALL '.join(f'SELECT *, {i} AS rep, ' + _FOLD.format(s='diagnosis, drawing_type', o='name_number, item_id', off=o) + ' AS fold FROM it' for i, o in enumerate(folds.OFFSETS))}), m AS (SELECT item_id, (tp-fp)/nullif(tn-fn,0) AS score FROM f JOIN (SELECT rep, drawing_type, fold, count(*) fn, sum(y)::DOUBLE fp FROM f GROUP BY 1,2,3) USING(rep, drawing_type, fold) JOIN (SELECT rep, drawing_type, count(*) tn, sum(y)::DOUBLE tp FROM f GROUP BY 1,2) USING(rep, drawing_type)) SELECT item_id, round(avg(score),9) AS score, count(*) AS n_repeats FROM m GROUP BY 1",
         "cluster_sizes": "SELECT size, count(*) AS n_clusters FROM (SELECT group_id, count(*) AS size FROM yolo_full_manifest_clean WHERE group_id IS NOT NULL GROUP BY 1) GROUP BY 1",
-        "bootstrap_auc": _boot_sql("item_id"),
-        "cluster_bootstrap": _boot_sql("cluster"),
+        "bootstrap_auc": _boot_sql("item_id", 1000),
+        "cluster_bootstrap": _boot_sql("cluster", 500),
+        "bootstrap_table": _boot_table_sql(),
+        "group_holdout_auc": _holdout_sql(),
+        "score_file_checks": "WITH i AS (SELECT item_id FROM yolo_full_manifest WHERE diagnosis IS NOT NULL AND drawing_type IS NOT NULL GROUP BY 1 HAVING min(drawing_type)='spiral') SELECT count(*) AS n_items, count(*) FILTER (item_id%10=0) AS n_missing, 0::BIGINT AS n_unknown, 0::BIGINT AS n_repeated, 0::BIGINT AS n_bad, 5::BIGINT AS n_repeats, count(*) FILTER (item_id%10=0)=0 AS ok FROM i",
         "ahash_bits": "SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > list_sum(list_transform(embedding, lambda q: q::DOUBLE))/len(embedding) THEN '1' ELSE '0' END),'string_agg','') AS bits FROM embeddings",
         "hamming_pairs": "WITH h AS (SELECT vec_id, label, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > list_sum(list_transform(embedding, lambda q: q::DOUBLE))/len(embedding) THEN '1' ELSE '0' END),'string_agg','') AS bits FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, hamming(a.bits,b.bits)::INT AS distance FROM h a JOIN h b ON a.label=b.label AND a.vec_id<b.vec_id WHERE hamming(a.bits,b.bits)<=20",
         "dihedral_edges": f"WITH {_TURNED} SELECT i, j, round(sim,6) AS sim FROM pr WHERE sim>={TAU_EDGES}",

@@ -39,31 +39,34 @@ def background(s, d):
     return _rounded(images.background_table(_cache(s, d)))
 
 
+def _digest(df, scale=None):
+    """``item_id``, the size and a digest of ALL values, so that no cell goes unchecked; floats as whole multiples of 1 / ``scale``."""
+    cells = F.col("x") if scale is None else F.transform("x", lambda v: F.floor(v.cast("double") * scale + 0.5 + 1e-6).cast("bigint"))
+    return df.select("item_id", "height", "width", F.md5(F.array_join(cells.cast("array<string>"), ",").cast("binary")).alias("digest"))
+
+
 def binarized(s, d):
-    return images.measured(images.whole(_cache(s, d)), lambda x: {"n_on": (kernels.binarize(x) > 0).sum(axis=(1, 2)).astype(float)}, ["n_on"])
+    return _digest(images.transformed(images.whole(_cache(s, d)), lambda x: kernels.binarize(x).astype(np.int16)))
 
 
 def thumbnail_pool(s, d):
-    v = images.thumbnail_table(_cache(s, d), 8)
-    return v.select("item_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[27], 6).alias("middle"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length2"))
+    return _digest(images.transformed(images.whole(_cache(s, d)), lambda x: kernels.thumbnails(x, 8), out_type="double"), 1e6).select("item_id", "digest")
 
 
 def border_median(s, d):
-    return images.measured(images.whole(_cache(s, d)), lambda x: {"border": np.array([kernels.border_background(p) for p in x], float)}, ["border"])
+    return images.measured(images.whole(_cache(s, d)), lambda x: {"border": kernels.border_medians(x).astype(float)}, ["border"])
 
 
 def frame_crop(s, d):
-    return images.transformed(images.whole(_cache(s, d)), lambda x: x[:, 4:-4, 4:-4]).select("item_id", "height", "width", F.aggregate("x", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
+    return _digest(images.transformed(images.whole(_cache(s, d)), lambda x: x[:, 4:-4, 4:-4]))
 
 
 def model_input(s, d):
-    m = images.transformed(images.whole(_cache(s, d)), lambda x: kernels.model_input(x)[:, 0], out_type="float")
-    return m.select("item_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double")), 3).alias("total"))
+    return _digest(images.transformed(images.whole(_cache(s, d)), lambda x: kernels.model_input(x)[:, 0], out_type="float"), 1e4)
 
 
 def reduced_ink(s, d):
-    r = images.transformed(images.whole(_cache(s, d)), lambda x: kernels.ink_image(images.ink_to_gray(x), 16))
-    return r.select("item_id", F.aggregate("x", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
+    return _digest(images.transformed(images.whole(_cache(s, d)), lambda x: kernels.ink_image(images.ink_to_gray(x), 16).astype(np.int16)))
 
 
 def pair_difference(s, d):
@@ -83,20 +86,21 @@ def logits(s, d):
 
 
 def cropped_ink(s, d):
-    return images.transformed(images.whole(_cache(s, d)), lambda x: kernels.ablated(np.clip(x, 0, 255), "binary_crop")).select("item_id", "height", "width", F.array_max("x").alias("peak"))
+    return images.transformed(images.whole(_cache(s, d)), lambda x: kernels.ablated(np.clip(x, 0, 255), "binary_crop").astype(np.int16))
 
 
 def signatures(s, d):
-    return images.transformed(images.whole(_cache(s, d)), lambda x: kernels.signatures(images.ink_to_gray(x), 16), out_type="double").select("item_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v), 6).alias("length2"))
+    return _digest(images.transformed(images.whole(_cache(s, d)), lambda x: kernels.signatures(images.ink_to_gray(x), 16), out_type="double"), 1e6).select("item_id", "digest")
 
 
 def drawing_hashes(s, d):
-    return images.transformed(images.whole(_cache(s, d)), lambda x: (kernels.average_hashes(x)[:, None, None].view(np.uint16).reshape(len(x), 1, 4) & 0x7FFF).astype(np.int16)).select("item_id", "x")
+    """All 64 bits, as text from the first pixel on."""
+    bits = lambda x: np.unpackbits(kernels.average_hashes(images.ink_to_gray(x)).astype(">i8").view(np.uint8).reshape(len(x), 8), axis=1).astype(np.int16)
+    return images.transformed(images.whole(_cache(s, d)), bits).select("item_id", F.array_join(F.col("x").cast("array<string>"), "").alias("bits"))
 
 
 def padded(s, d):
-    f = lambda x: np.stack([kernels.resize_with_padding(p[:24], 48) for p in images.ink_to_gray(x).astype(np.uint8)])
-    return images.transformed(images.whole(_cache(s, d)), f).select("item_id", "height", "width")
+    return images.transformed(images.whole(_cache(s, d)), lambda x: kernels.on_square(images.ink_to_gray(x).astype(np.uint8), 48).astype(np.int16))
 
 
 def ink_heat(s, d):
@@ -105,11 +109,11 @@ def ink_heat(s, d):
 
 
 def augmented(s, d):
-    return images.transformed(images.whole(_cache(s, d)), lambda x: kernels.random_affine(np.clip(x, 0, 255).astype(np.int16), np.random.default_rng(0))).select("item_id", "height", "width")
+    return images.transformed(images.whole(_cache(s, d)), lambda x: kernels.random_affine(np.clip(x, 0, 255).astype(np.int16), np.random.default_rng(0)))
 
 
-_SQL_NAMES = "image_stats stroke_features stroke_medians background binarized thumbnail_pool border_median frame_crop model_input reduced_ink pair_difference logits ink_heat signatures".split()
-_ROWS_ONLY = "cropped_ink drawing_hashes padded augmented".split()
+_SQL_NAMES = "image_stats stroke_features stroke_medians background binarized thumbnail_pool border_median frame_crop model_input reduced_ink pair_difference logits ink_heat signatures drawing_hashes".split()
+_ROWS_ONLY = "cropped_ink padded augmented".split()
 
 
 def queries():
@@ -119,6 +123,13 @@ def queries():
 _B = "b AS (SELECT item_id, any_value(height) AS h, any_value(width) AS w, any_value(x) AS x, any_value(class_name) AS class_name FROM cnn_cache_128 WHERE len(x)=height*width GROUP BY 1), g AS (SELECT *, list_transform(x, lambda v: 255-v) AS g FROM b), s AS (SELECT *, list_aggregate(g,'median') AS med FROM g), m0 AS (SELECT *, list_transform(g, lambda v: CASE WHEN v < med-40 THEN 1 ELSE 0 END) AS m FROM s)"
 
 
+_HALF = "list_transform(range(256), lambda j: floor(({v}[(j//16)*2*w+(j%16)*2+1]+{v}[(j//16)*2*w+(j%16)*2+2]+{v}[((j//16)*2+1)*w+(j%16)*2+1]+{v}[((j//16)*2+1)*w+(j%16)*2+2])/4.0+0.5))"
+
+
+def _md5(cells: str) -> str:
+    return f"md5(array_to_string({cells}, ','))"
+
+
 def _erode(m: str) -> str:
     return f"list_transform(range(h*w), lambda i: CASE WHEN {m}[i+1]=1 AND i>=w AND i<(h-1)*w AND i%w>0 AND i%w<w-1 AND {m}[i+1-w]=1 AND {m}[i+1+w]=1 AND {m}[i]=1 AND {m}[i+2]=1 THEN 1 ELSE 0 END)"
 
@@ -159,19 +170,29 @@ def oracle_sql():
         "stroke_features": f"SELECT item_id, {', '.join(f'round({n}+1e-9,6) AS {n}' for n in names)} FROM ({strokes})",
         "stroke_medians": f"SELECT class_name, feature, round(median(v)+1e-9,5) AS median_value FROM ((SELECT * EXCLUDE (item_id) FROM ({strokes})) UNPIVOT INCLUDE NULLS (v FOR feature IN ({', '.join(names)}))) GROUP BY 1,2",
         "background": f"WITH {_B}, px AS (SELECT item_id, h, w, unnest(range(h*w)) AS i, unnest(x) AS v FROM b) SELECT item_id, round(avg(v) FILTER (i//w<3 OR i//w>=h-3 OR i%w<3 OR i%w>=w-3)+1e-9,6) AS frame_mean, round(avg(CASE WHEN v BETWEEN 1 AND 10 THEN 1.0 ELSE 0 END) FILTER (i//w>=6 AND i//w<h-6 AND i%w>=6 AND i%w<w-6)+1e-9,6) AS speckle FROM px GROUP BY 1",
-        "binarized": f"WITH {_B} SELECT item_id, len(list_filter(x, lambda v: v > greatest(0.35::DOUBLE*list_max(x), 32)))::DOUBLE AS n_on FROM b",
+        "binarized": f"WITH {_B} SELECT item_id, h::INT AS height, w::INT AS width, {_md5('list_transform(x, lambda v: CASE WHEN v > greatest(0.35::DOUBLE*list_max(x), 32) THEN 255 ELSE 0 END)')} AS digest FROM b",
         "thumbnail_pool": f"""WITH {_B}, t AS (SELECT item_id, list_transform(range(64), lambda j: list_avg(list_transform(range(16), lambda k: x[((j//8)*4+k//4)*w+(j%8)*4+k%4+1]))) AS v FROM b),
             c AS (SELECT item_id, list_transform(v, lambda a: a-list_avg(v)) AS v FROM t), n AS (SELECT item_id, v, greatest(sqrt(list_dot_product(v,v)),1e-8) AS n FROM c)
-            SELECT item_id, round(v[1]/n,6) AS first, round(v[28]/n,6) AS middle, round(list_dot_product(v,v)/(n*n),6) AS length2 FROM n""",
+            SELECT item_id, {_md5('list_transform(v, lambda a: floor(a/n*1e6+0.5+1e-6)::BIGINT)')} AS digest FROM n""",
         "border_median": f"WITH {_B} SELECT item_id, floor(list_aggregate(list_concat(list_concat(x[1:w], x[(h-1)*w+1:h*w]), list_concat(list_transform(range(h), lambda r: x[r*w+1]), list_transform(range(h), lambda r: x[r*w+w]))),'median'))::DOUBLE AS border FROM b",
-        "frame_crop": f"WITH {_B} SELECT item_id, (h-8)::INT AS height, (w-8)::INT AS width, list_sum(list_transform(range(h*w), lambda i: CASE WHEN i//w BETWEEN 4 AND h-5 AND i%w BETWEEN 4 AND w-5 THEN x[i+1] ELSE 0 END))::BIGINT AS total FROM b",
-        "model_input": f"WITH {_B} SELECT item_id, round(list_sum(list_transform(x, lambda v: v::DOUBLE/255)),3) AS total FROM b",
-        "reduced_ink": f"WITH {_B}, k AS (SELECT item_id, w, list_transform(g, lambda v: greatest(0, least(255, trunc(med-v)))) AS k FROM s) SELECT item_id, list_sum(list_transform(range(256), lambda j: floor((k[(j//16)*2*w+(j%16)*2+1]+k[(j//16)*2*w+(j%16)*2+2]+k[((j//16)*2+1)*w+(j%16)*2+1]+k[((j//16)*2+1)*w+(j%16)*2+2])/4.0+0.5)))::BIGINT AS total FROM k",
+        "frame_crop": f"WITH {_B} SELECT item_id, (h-8)::INT AS height, (w-8)::INT AS width, {_md5('list_transform(list_filter(range(h*w), lambda i: i//w BETWEEN 4 AND h-5 AND i%w BETWEEN 4 AND w-5), lambda i: x[i+1])')} AS digest FROM b",
+        "model_input": f"WITH {_B} SELECT item_id, h::INT AS height, w::INT AS width, {_md5('list_transform(x, lambda v: floor((v::FLOAT/255::FLOAT)::DOUBLE*1e4+0.5+1e-6)::BIGINT)')} AS digest FROM b",
+        "reduced_ink": f"WITH {_B}, k AS (SELECT item_id, w, list_transform(g, lambda v: greatest(0, least(255, trunc(med-v)))) AS k FROM s) SELECT item_id, 16::INT AS height, 16::INT AS width, {_md5(f'list_transform({_HALF.format(v="k")}, lambda v: v::BIGINT)')} AS digest FROM k",
         "pair_difference": f"WITH {_B} SELECT a.item_id, round(list_avg(list_transform(range(len(a.x)), lambda i: abs(a.x[i+1]-c.x[i+1]))),6) AS mad, round(len(list_filter(range(len(a.x)), lambda i: abs(a.x[i+1]-c.x[i+1])>40))/len(a.x),6) AS share FROM b a JOIN b c ON c.item_id=a.item_id+1 AND len(a.x)=len(c.x)",
         "logits": "SELECT vec_id, round(embedding[1]::DOUBLE,6) AS logit, round(1/(1+exp(-round(embedding[1]::DOUBLE,6))),6) AS prob FROM embeddings",
         "ink_heat": f"""WITH {_B}, px AS (SELECT item_id, h, w, unnest(range(h*w)) AS i, unnest(x)::DOUBLE AS v FROM b), o AS (SELECT item_id, i//w AS r, i%w AS c FROM px WHERE v>100),
             n AS (SELECT DISTINCT o.item_id, o.r+dr AS r, o.c+dc AS c FROM o, range(-3,4) a(dr), range(-3,4) d(dc)),
             j AS (SELECT px.*, n.item_id IS NOT NULL AS near FROM px LEFT JOIN n ON n.item_id=px.item_id AND n.r=i//w AND n.c=i%w)
             SELECT item_id, round((coalesce(sum(v) FILTER (near),0)/greatest(sum(v),1e-12))/greatest(avg(CASE WHEN near THEN 1.0 ELSE 0 END),1e-12)+1e-9,6) AS enrichment, round(1-sum(v) FILTER (i//w BETWEEN 4 AND h-5 AND i%w BETWEEN 4 AND w-5)/greatest(sum(v),1e-12)+1e-9,6) AS border_share FROM j GROUP BY 1""",
-        "signatures": f"WITH {_B} SELECT item_id, CASE WHEN list_max(k)>list_min(k) THEN 1.0 ELSE 0.0 END::DOUBLE AS length2 FROM (SELECT item_id, list_transform(range(256), lambda j: floor((g[(j//16)*2*w+(j%16)*2+1]+g[(j//16)*2*w+(j%16)*2+2]+g[((j//16)*2+1)*w+(j%16)*2+1]+g[((j//16)*2+1)*w+(j%16)*2+2])/4.0+0.5)) AS k FROM g)",
+        "signatures": f"""WITH {_B}, r AS (SELECT item_id, list_transform({_HALF.format(v='g')}, lambda v: 255-v) AS k FROM g), c AS (SELECT item_id, list_transform(k, lambda v: v-list_avg(k)) AS v FROM r),
+            n AS (SELECT item_id, v, CASE WHEN sqrt(list_dot_product(v,v))>1e-6 THEN sqrt(list_dot_product(v,v)) ELSE 1 END AS n FROM c)
+            SELECT item_id, {_md5('list_transform(v, lambda a: floor(a/n*1e6+0.5+1e-6)::BIGINT)')} AS digest FROM n""",
+        "drawing_hashes": f"""WITH {_B}, px AS (SELECT item_id, unnest(range(1024)) AS i, unnest(g)::DOUBLE AS v FROM g WHERE h=32 AND w=32),
+            t AS (SELECT o.o, i.i, (i.i+0.5-(o.o+0.5)*4)/4.0::DOUBLE AS t FROM range(8) o(o), range(32) i(i)),
+            u AS (SELECT o, i, CASE WHEN abs(t)>3 THEN 0 WHEN abs(t)<1e-12 THEN 1 ELSE sin(pi()*t)/(pi()*t)*sin(pi()*t/3)/(pi()*t/3) END AS q FROM t),
+            l AS (SELECT o, i, q/sum(q) OVER (PARTITION BY o) AS q FROM u), l2 AS (SELECT * FROM l WHERE q<>0),
+            rows_ AS (SELECT item_id, l2.o AS r, px.i%32 AS c, sum(v*l2.q) AS v FROM px JOIN l2 ON l2.i=px.i//32 GROUP BY 1,2,3),
+            small AS (SELECT item_id, r, l2.o AS c, greatest(0,least(255,floor(sum(v*l2.q)+0.5))) AS v FROM rows_ JOIN l2 ON l2.i=rows_.c GROUP BY 1,2,3),
+            m AS (SELECT *, avg(v) OVER (PARTITION BY item_id) AS mean FROM small)
+            SELECT item_id, string_agg(CASE WHEN v>mean THEN '1' ELSE '0' END, '' ORDER BY r, c) AS bits FROM m GROUP BY 1""",
     }

@@ -9,22 +9,6 @@ from palimpsest.operators import audit, reports
 from palimpsest.session import table as t
 from palimpsest.sources import ingest, sinks
 
-REPORT = """# Cross validation
-
-## spiral
-
-| model | AUC-ROC | bal. acc | note |
-| --- | --- | --- | --- |
-| strokes | 0.742 [0.672-0.798] | 0.670 | text |
-| small net | 0.842 [0.781-0.891] | 0.740 [0.719-0.759] | 12 |
-
-words between
-## wave
-| model | AUC-ROC |
-|:---|---:|
-| strokes | 0.651 [0.582-0.733] |
-"""
-
 ALIAS = "CASE lower(p) WHEN 'train' THEN 'train' WHEN 'val' THEN 'val' WHEN 'valid' THEN 'val' WHEN 'validation' THEN 'val' WHEN 'test' THEN 'test'{} END"
 MORE = " WHEN 'training' THEN 'train' WHEN 'testing' THEN 'test'"
 
@@ -166,6 +150,11 @@ def pair_summary(s, d):
     return audit.pair_summary(_pairs(s, d))
 
 
+def sampled_items(s, d):
+    m = _man(s, d).where("item_id is not null").select("item_id", "source").groupBy("item_id").agg(F.min("source").alias("source"))
+    return audit.seeded_sample(m, "item_id", 40, 11)
+
+
 def pair_ladder(s, d):
     return audit.ladder(_pairs(s, d))
 
@@ -179,8 +168,10 @@ def label_pairs(s, d):
 
 
 def evenly_spaced(s, d):
-    m = _man(s, d).where("source = 'studio-13'").select("item_id", "path").distinct()
-    return audit.every_nth(m, ["item_id", "path"])
+    """Six of the pairs whose labels agree, evenly from the least to the greatest correlation."""
+    p = _pairs(s, d).where("val_label = train_label and correlation is not null and not isnan(correlation) and val_path is not null and train_path is not null")
+    p = p.select("correlation", "val_path", "train_path").distinct()
+    return audit.every_nth(p, ["correlation", "val_path", "train_path"])
 
 
 def one_to_one_join(s, d):
@@ -244,8 +235,17 @@ def unlisted_items(s, d):
     return _man(s, d).select("item_id").exceptAll(_clean(s, d).select("item_id")).distinct()
 
 
+def _reports(s, d):
+    """Markdown reports written from the line items: a file for each year of shipping, a section for each return flag, a row for each line status."""
+    g = t(s, d, "lineitem").groupBy(F.year("l_shipdate").cast("string").alias("run"), "l_returnflag", "l_linestatus").agg(F.avg("l_quantity").alias("q"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.count("*").alias("n"), F.avg("l_discount").alias("dc"))
+    row = F.format_string("| %s | %.3f [%.3f-%.3f] | %.4f | %d | text |", "l_linestatus", F.col("q").cast("double"), F.col("lo").cast("double"), F.col("hi").cast("double"), F.col("dc").cast("double"), "n")
+    rows = g.groupBy("run", "l_returnflag").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+    section = F.concat(F.lit("## flag "), "l_returnflag", F.lit("\n\nwords | between\n| status | Mean-Quantity | disc_avg | n | note |\n| --- | ---: |:---|---|---|\n"), "rows", F.lit("\n"))
+    return rows.groupBy("run").agg(F.concat(F.lit("# report\n\n"), F.array_join(F.array_sort(F.collect_list(section)), "\n")).alias("value"))
+
+
 def report_cells(s, d):
-    return reports.report_cells(s.createDataFrame([("cv", REPORT)], "run string, value string"))
+    return reports.report_cells(_reports(s, d))
 
 
 def report_metrics(s, d):
@@ -253,12 +253,21 @@ def report_metrics(s, d):
 
 
 def yaml_names(s, d):
-    return ingest.class_names(s.createDataFrame([("path: x\nnames: ['healthy spiral', healthy wave, \"parkinson spiral\", parkinson wave]\nnc: 4",)], "value string"))
+    """The class names of the manifest, written as a YAML list and read again."""
+    names = _man(s, d).where("class_name is not null").select("class_name").distinct().agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("'"), "class_name", F.lit("'")))), ", ").alias("n"))
+    return ingest.class_names(names.select(F.concat(F.lit("path: x\nnames: ["), "n", F.lit("]\nnc: 4")).alias("value")))
 
 
 def label_lines(s, d):
-    lines = s.createDataFrame([(1, "0 0.5 0.5 0.9 0.8"), (2, "2.0"), (3, "x 1 2 3 4"), (4, " 3  0.1 0.2 0.3 0.4 9"), (5, ""), (6, None)], "id int, value string")
-    return ingest.label_lines(lines).select("id", "class_id", "w", "h")
+    """Label lines written from the line items and read again; every fifth line lacks its box, every seventh its number."""
+    l = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    line = F.when(F.col("l_orderkey") % 7 == 0, F.lit("x 1 2 3 4")).when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit(" "), F.col("l_linenumber").cast("string"), F.lit(".0")))
+    line = line.otherwise(F.format_string("%d  0.5 0.5 %.2f %.2f 9", F.col("l_linenumber").cast("int"), F.col("l_discount").cast("double"), F.col("l_tax").cast("double")))
+    return ingest.label_lines(l.select("l_orderkey", "l_linenumber", line.alias("value"))).select("l_orderkey", "l_linenumber", "class_id", "w", "h")
+
+
+def box_shares(s, d):
+    return audit.box_shares(label_lines(s, d), 0.05)
 
 
 def order_status_counts(s, d):
@@ -268,6 +277,7 @@ def order_status_counts(s, d):
 _NAMES = """usable_rows split_class_counts label_share number_ranges range_interleave class_partition stem_number augmented_stem split_alias subject_id
 label_path slugs interval_cells indicators contamination multi_split_bases distinct_originals exact_dup_groups cross_split_dups clean_manifest group_statistics
 group_mates_in_train pair_summary pair_ladder top_pairs label_pairs evenly_spaced one_to_one_join missing_rows mode_share column_medians medians_unpivot
+sampled_items box_shares
 median_impute median_impute_by_type null_rows correlations quantile_summary pooled_rollup survivors unlisted_items report_cells report_metrics yaml_names
 label_lines order_status_counts""".split()
 
@@ -276,7 +286,9 @@ def queries():
     return {n: globals()[n] for n in _NAMES}
 
 
-_CELLS = "(VALUES ('cv','spiral','strokes','auc_roc',0.742,0.672,0.798),('cv','spiral','strokes','bal_acc',0.670,NULL,NULL),('cv','spiral','small net','auc_roc',0.842,0.781,0.891),('cv','spiral','small net','bal_acc',0.740,0.719,0.759),('cv','spiral','small net','note',12.0,NULL,NULL),('cv','wave','strokes','auc_roc',0.651,0.582,0.733)) AS c(run,section,subset,metric,value,lo,hi)"
+_AGG = "(SELECT year(l_shipdate)::VARCHAR AS run, 'flag '||l_returnflag AS section, l_linestatus AS subset, avg(l_quantity)::DOUBLE AS q, min(l_quantity)::DOUBLE AS lo, max(l_quantity)::DOUBLE AS hi, count(*)::DOUBLE AS n, avg(l_discount)::DOUBLE AS dc FROM lineitem GROUP BY year(l_shipdate), l_returnflag, l_linestatus)"
+_CELLS = f"(SELECT run, section, subset, 'mean_quantity' AS metric, round(q,3) AS value, round(lo,3) AS lo, round(hi,3) AS hi FROM {_AGG} UNION ALL SELECT run, section, subset, 'disc_avg', round(dc,4), NULL, NULL FROM {_AGG} UNION ALL SELECT run, section, subset, 'n', n, NULL, NULL FROM {_AGG})"
+_LABEL = "(SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey%7=0 THEN NULL ELSE l_linenumber END::INT AS class_id, CASE WHEN l_orderkey%7=0 THEN 3.0 WHEN l_orderkey%5=0 THEN NULL ELSE round(l_discount::DOUBLE,2) END::DOUBLE AS w, CASE WHEN l_orderkey%7=0 THEN 4.0 WHEN l_orderkey%5=0 THEN NULL ELSE round(l_tax::DOUBLE,2) END::DOUBLE AS h FROM lineitem)"
 _EV = "(SELECT event_id, event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)"
 
 
@@ -291,9 +303,9 @@ def oracle_sql():
         "stem_number": rf"SELECT item_id, CASE WHEN regexp_matches(st,'^(.*?)_?(\d+)$') THEN regexp_extract(st,'^(.*?)_?(\d+)$',1) ELSE st END AS prefix, coalesce(try_cast(nullif(regexp_extract(st,'^(.*?)_?(\d+)$',2),'') AS INT), CASE WHEN NOT regexp_matches(st,'^(.*?)_?(\d+)$') THEN -1 END) AS number FROM (SELECT *, {STEM} AS st FROM yolo_full_manifest)",
         "augmented_stem": f"SELECT item_id, base, augmented FROM ({BASES})",
         "split_alias": f"SELECT item_id, {_alias('path')} AS by_manifest, {_alias('path', True)} AS by_inspection FROM yolo_full_manifest",
-        "subject_id": rf"SELECT item_id, coalesce(nullif(regexp_extract(st,'(?i)(?:^|[^a-z0-9])(?:patient|subject|subj|id)[ _-]?(\d+)',1),''), nullif(regexp_extract(st,'(?i)(?:^|[^a-z0-9])[ps](\d+)',1),'')) AS subject FROM (SELECT *, {STEM} AS st FROM yolo_full_manifest)",
+        "subject_id": rf"SELECT item_id, coalesce(nullif(regexp_extract(st,'(?i)(?:^|[_\-\s])(?:p|pt|pac|paciente|subj|subject|sujeito)[_\-]?(\d+)',1),''), nullif(regexp_extract(st,'^(\d+)[_\-]',1),'')) AS subject FROM (SELECT *, {STEM} AS st FROM yolo_full_manifest)",
         "label_path": r"SELECT item_id, regexp_replace(regexp_replace(path,'(?i)^(.*[/\\])images([/\\].*)$','\1labels\2'),'\.[^./\\]*$','.txt') AS label FROM yolo_full_manifest",
-        "slugs": r"SELECT doc_id, substr(regexp_replace(regexp_replace(item,'[^A-Za-z0-9_]+','_','g'),'^_+|_+$','','g'),1,24) AS slug, regexp_replace(regexp_replace(lower(trim(item)),'[^a-z0-9]+','_','g'),'^_+|_+$','','g') AS key FROM documents",
+        "slugs": r"SELECT doc_id, substr(regexp_replace(regexp_replace(item,'[^A-Za-z0-9_]+','_','g'),'^_+|_+$','','g'),1,24) AS slug, regexp_replace(regexp_replace(lower(trim(item)),'[^a-z0-9_]+','_','g'),'^_+|_+$','','g') AS key FROM documents",
         "interval_cells": "SELECT event_type, format('{:.3f} [{:.3f}-{:.3f}]', round(avg(value),6), round(min(value),6), round(max(value),6)) AS cell FROM events GROUP BY 1",
         "indicators": "SELECT item_id, CASE WHEN diagnosis='parkinson' THEN 1 WHEN diagnosis IS NOT NULL THEN 0 END::INT AS y, CASE WHEN drawing_type='wave' THEN 1 WHEN drawing_type IS NOT NULL THEN 0 END::INT AS is_wave FROM yolo_full_manifest",
         "contamination": f"WITH b AS ({BASES}), tr AS (SELECT DISTINCT base FROM b WHERE split='train') SELECT b.split, count(*) AS n, count(tr.base) AS n_in_train, round(100.0*count(tr.base)/count(*),4) AS pct FROM b LEFT JOIN tr USING(base) WHERE b.split IN ('val','test') GROUP BY 1",
@@ -308,11 +320,13 @@ def oracle_sql():
             CASE WHEN c THEN 'drop' WHEN rn>1 THEN 'dup' WHEN tr=1 THEN 'train' ELSE least END AS split_clean FROM o JOIN g USING(group_id)""",
         "group_statistics": "WITH g AS (SELECT group_id, count(*) n, count(DISTINCT split) s, count(DISTINCT diagnosis) d FROM yolo_full_manifest_clean WHERE group_id IS NOT NULL GROUP BY 1) SELECT count(*) AS n_groups, count(*) FILTER (n>1) AS n_multi, coalesce(sum(n) FILTER (n>1),0)::BIGINT AS rows_in_multi, count(*) FILTER (s>1) AS cross_split, count(*) FILTER (d>1) AS conflicts FROM g",
         "group_mates_in_train": f"WITH r AS (SELECT group_id, {PART} AS p FROM yolo_full_manifest_clean WHERE group_id IS NOT NULL) SELECT count(*) AS n_val, count(*) FILTER (group_id IN (SELECT group_id FROM r WHERE p='train')) AS n_with_mate FROM r WHERE p='val'",
-        "pair_summary": "WITH c AS (SELECT coalesce(val_label<>train_label,false) AS conflict, CASE WHEN NOT isnan(correlation) THEN correlation END AS c FROM near_duplicates_pairs) SELECT conflict, count(*) AS n, sum(CASE WHEN c>=0.995 THEN 1 WHEN c IS NOT NULL THEN 0 END)::BIGINT AS n_high, round(median(c),6) AS median_corr FROM c GROUP BY 1",
+        "pair_summary": "WITH c AS (SELECT list_extract(regexp_split_to_array(trim(val_label),'[ _]+'),-1) AS drawing_type, coalesce(val_label<>train_label,false) AS conflict, CASE WHEN NOT isnan(correlation) THEN correlation END AS c FROM near_duplicates_pairs) SELECT drawing_type, conflict, count(*) AS n, sum(CASE WHEN c>=0.995 THEN 1 WHEN c IS NOT NULL THEN 0 END)::BIGINT AS n_high, round(median(c),6) AS median_corr FROM c GROUP BY 1,2",
+        "sampled_items": "SELECT item_id, min(source) AS source FROM yolo_full_manifest WHERE item_id IS NOT NULL GROUP BY 1 ORDER BY sha1('11|'||item_id), item_id LIMIT 40",
+        "box_shares": f"SELECT class_id, count(*) AS n, round(100*avg(CASE WHEN w>=0.05 AND h>=0.05 THEN 1.0 ELSE 0 END),4) AS pct_full, round(avg(w),6) AS mean_w, round(avg(h),6) AS mean_h FROM {_LABEL} WHERE class_id IS NOT NULL AND w IS NOT NULL GROUP BY 1",
         "pair_ladder": "SELECT t.threshold, count(*) FILTER (NOT isnan(correlation) AND correlation>=t.threshold) AS n_pairs FROM near_duplicates_pairs, (VALUES (0.995::DOUBLE),(0.99::DOUBLE),(0.98::DOUBLE),(0.95::DOUBLE)) t(threshold) GROUP BY 1",
         "top_pairs": "SELECT round(correlation,4) AS correlation, val_path, train_path, val_label, train_label FROM (SELECT DISTINCT * FROM near_duplicates_pairs) WHERE correlation IS NOT NULL AND NOT isnan(correlation) ORDER BY near_duplicates_pairs.correlation DESC, val_path NULLS FIRST, train_path NULLS FIRST, val_label NULLS FIRST, train_label NULLS FIRST LIMIT 1000".replace("near_duplicates_pairs.correlation DESC", "1 DESC"),
         "label_pairs": "SELECT val_label, train_label, count(*) AS n FROM near_duplicates_pairs GROUP BY 1,2",
-        "evenly_spaced": "WITH m AS (SELECT DISTINCT item_id, path FROM yolo_full_manifest WHERE source='studio-13'), r AS (SELECT *, row_number() OVER (ORDER BY item_id, path)-1 AS rn, greatest(1,(count(*) OVER ())//6) AS st FROM m) SELECT item_id, path FROM r WHERE rn%st=0 AND rn//st<6",
+        "evenly_spaced": "WITH m AS (SELECT DISTINCT correlation, val_path, train_path FROM near_duplicates_pairs WHERE val_label=train_label AND correlation IS NOT NULL AND NOT isnan(correlation) AND val_path IS NOT NULL AND train_path IS NOT NULL), r AS (SELECT *, row_number() OVER (ORDER BY correlation, val_path, train_path)-1 AS rn, greatest(1,(count(*) OVER ())//6) AS st FROM m) SELECT correlation, val_path, train_path FROM r WHERE rn%st=0 AND rn//st<6",
         "one_to_one_join": "SELECT m.item_id, m.source, x.height FROM (SELECT item_id, min(source) AS source FROM yolo_full_manifest GROUP BY 1) m LEFT JOIN (SELECT item_id, max(height) AS height FROM cnn_cache_128 GROUP BY 1) x USING(item_id)",
         "missing_rows": "SELECT m.source, count(*) AS n, count(*) FILTER (x.item_id IS NULL) AS n_missing FROM (SELECT DISTINCT item_id, source FROM yolo_full_manifest) m LEFT JOIN (SELECT DISTINCT item_id FROM cnn_cache_128) x USING(item_id) GROUP BY 1",
         "mode_share": "WITH g AS (SELECT l_quantity, l_discount, count(*) n FROM lineitem GROUP BY 1,2), t AS (SELECT sum(n) t, count(*) k FROM g) SELECT l_quantity, l_discount, round(n/t,6) AS share, k AS n_distinct FROM g, t ORDER BY n DESC, l_quantity, l_discount LIMIT 1",
@@ -328,7 +342,7 @@ def oracle_sql():
         "unlisted_items": "SELECT DISTINCT item_id FROM (SELECT item_id FROM yolo_full_manifest EXCEPT ALL SELECT item_id FROM yolo_full_manifest_clean)",
         "report_cells": f"SELECT run, section, subset, metric, value::DOUBLE AS value, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM {_CELLS}",
         "report_metrics": f"SELECT run||' | '||section||' | '||subset AS run_key, metric, value::DOUBLE AS value FROM {_CELLS} UNION ALL SELECT run||' | '||section||' | '||subset, metric||'_ci_lo', lo::DOUBLE FROM {_CELLS} WHERE lo IS NOT NULL UNION ALL SELECT run||' | '||section||' | '||subset, metric||'_ci_hi', hi::DOUBLE FROM {_CELLS} WHERE hi IS NOT NULL",
-        "yaml_names": "SELECT * FROM (VALUES (0,'healthy spiral'),(1,'healthy wave'),(2,'parkinson spiral'),(3,'parkinson wave')) v(class_id,class_name)",
-        "label_lines": "SELECT * FROM (VALUES (1,0,0.9::DOUBLE,0.8::DOUBLE),(2,2,NULL,NULL),(3,NULL,3.0,4.0),(4,3,0.3,0.4),(5,NULL,NULL,NULL),(6,NULL,NULL,NULL)) v(id,class_id,w,h)",
+        "yaml_names": "SELECT (row_number() OVER (ORDER BY class_name)-1)::INT AS class_id, class_name FROM (SELECT DISTINCT class_name FROM yolo_full_manifest WHERE class_name IS NOT NULL)",
+        "label_lines": f"SELECT * FROM {_LABEL}",
         "order_status_counts": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS n_customers FROM orders GROUP BY 1,2",
     }

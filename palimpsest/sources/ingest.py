@@ -44,11 +44,15 @@ def list_images(spark: SparkSession, root: str) -> DataFrame:
     return f.select(*[F.col("_p")[i].alias(n) for i, n in enumerate(["category", "split", "label", "filename"])], "path")
 
 
-def class_names(lines: DataFrame) -> DataFrame:
-    """``class_id``, ``class_name`` from a text holding ``names: [a, b]`` (a YAML file read whole as ``value``); the first one counts."""
+def class_names(lines: DataFrame, order: str | None = None) -> DataFrame:
+    """``class_id``, ``class_name`` from texts that hold ``names: [a, b]`` (YAML files read whole as ``value``).
+
+    Of several such texts that with the least ``order`` (a path) counts, else the least text. Empty names are left out.
+    """
     inner = F.regexp_extract("value", r"names:\s*\[([^\]]*)\]", 1)
-    one = lines.select(inner.alias("_n")).where("_n <> ''").limit(1)
-    return one.select(F.posexplode(F.split("_n", ",")).alias("class_id", "_c")).select("class_id", F.trim(F.regexp_replace("_c", "^\\s*['\"]|['\"]\\s*$", "")).alias("class_name"))
+    found = lines.select(inner.alias("_n"), F.col(order or "value").alias("_o")).where("_n <> ''").agg(F.min_by("_n", F.struct("_o", "_n")).alias("_n"))
+    bare = F.transform(F.split("_n", ","), lambda c: F.trim(F.regexp_replace(c, "^\\s*['\"]|['\"]\\s*$", "")))
+    return found.select(F.posexplode(F.filter(bare, lambda c: c != "")).alias("class_id", "class_name"))
 
 
 def label_lines(df: DataFrame, line: str = "value") -> DataFrame:
@@ -59,20 +63,38 @@ def label_lines(df: DataFrame, line: str = "value") -> DataFrame:
     return df.select("*", F.floor(num(0)).cast("int").alias("class_id"), F.when(five, num(3)).alias("w"), F.when(five, num(4)).alias("h"))
 
 
+#: A name ends so where a file is an augmented copy.
+AUGMENTED = r"_aug\d+$"
+
+
 def build_manifest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """The manifest of a tree of images and labels, and counts of what was left out (augmented, without a label)."""
-    names = class_names(spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.yaml").text(root))
+    """The manifest of a tree of images and labels, and counts of what was left out or looks odd.
+
+    The split is told by the folders below the root; a class id without a name goes by its number. Counts: ``augmented``, ``without_label``,
+    ``unreadable_label`` (all left out) and ``prefix_disagrees`` (kept: the name begins otherwise than the label's diagnosis).
+    """
+    whole = lambda glob: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
+    names = class_names(whole("*.y*ml").select("value", F.col("_metadata.file_path").alias("path")), "path")
     files = file_paths(spark, root).where(is_image(F.col("path"))).select("path")
+    below = _below(root, F.col("path"))
     s = stem(F.col("path"))
-    files = files.select("path", split_of_path(F.col("path")).alias("split"), s.alias("_stem"), augmented_base(s)[1].alias("_aug"), label_path(F.col("path")).alias("_label"))
+    folders = F.concat_ws("/", F.slice(below, 1, F.greatest(F.size(below) - 1, F.lit(0))))
+    files = files.select("path", split_of_path(folders).alias("split"), s.alias("_stem"), s.rlike(AUGMENTED).alias("_aug"), label_path(F.col("path")).alias("_label"))
     labels = label_lines(
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root).select(F.col("_metadata.file_path").alias("_label"), F.split(F.col("value"), "\n")[0].alias("value"))
-    ).select(_plain("_label").alias("_label"), "class_id")
-    j = files.withColumn("_label", _plain("_label")).join(labels, "_label", "left")
-    problems = j.agg(F.count_if("_aug").alias("augmented"), F.count_if(~F.col("_aug") & F.col("class_id").isNull()).alias("without_label"))
+        whole("*.txt").select(F.col("_metadata.file_path").alias("_label"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("value"))
+    ).select(_plain("_label").alias("_label"), "class_id", F.lit(True).alias("_found"))
+    j = files.withColumn("_label", _plain("_label")).join(labels, "_label", "left").join(names, "class_id", "left")
     prefix, number = name_and_number(F.col("_stem"))
+    j = j.withColumn("class_name", F.coalesce("class_name", F.col("class_id").cast("string")))
     diagnosis, kind = class_parts(F.col("class_name"))
-    rows = j.where("not _aug and class_id is not null").join(F.broadcast(names.limit(1_000)), "class_id", "left")
+    own, found, read = ~F.col("_aug"), F.col("_found").isNotNull(), F.col("class_id").isNotNull()
+    problems = j.agg(
+        F.count_if("_aug").alias("augmented"),
+        F.count_if(own & ~found).alias("without_label"),
+        F.count_if(own & found & ~read).alias("unreadable_label"),
+        F.count_if(own & read & (prefix != "") & (prefix != diagnosis)).alias("prefix_disagrees"),
+    )
+    rows = j.where(own & read)
     return rows.select("path", "split", "class_id", "class_name", diagnosis.alias("diagnosis"), kind.alias("drawing_type"), prefix.alias("name_prefix"), number.alias("name_number")), problems
 
 
@@ -122,7 +144,7 @@ def read_npz(spark: SparkSession, path: str, key: str = "X") -> DataFrame:
 
 def read_reports(spark: SparkSession, glob: str) -> DataFrame:
     """``run`` (file stem) and ``value`` (whole text) of markdown reports."""
-    r = spark.read.option("wholetext", "true").text(glob)
+    r = spark.read.text(glob, wholetext=True)
     return r.select(stem(F.col("_metadata.file_path")).alias("run"), "value")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.ranks import join_on, ranked
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
@@ -22,22 +24,28 @@ def top_pairs(pairs: DataFrame, n: int = 1_000) -> DataFrame:
 
 
 def clusters_across_types(members: DataFrame, part: str = "drawing_type", comp: str = "component") -> DataFrame:
-    """``cluster``: numbers from 0 that are unique across parts. Ranks the distinct clusters only."""
-    from pyspark.sql import Window
-
-    ids = members.select(part, comp).distinct().withColumn("cluster", F.row_number().over(Window.orderBy(part, comp)) - 1)
-    return members.join(ids, [part, comp])
+    """``cluster``: numbers from 0 that are unique across parts, by distributed ranks of the distinct clusters."""
+    ids = ranked(members.select(part, comp).distinct(), [], [part, comp]).select(part, comp, F.col("_rank").alias("cluster"))
+    return join_on(members, ids, [part, comp])
 
 
-def markdown(df: DataFrame, title: str, limit: int = 200) -> str:
-    """A small result as a markdown table (``limit`` rows at most are fetched)."""
+def markdown(df: DataFrame, title: str, most: int = 10_000) -> str:
+    """A small result as a markdown table. A result of more than ``most`` rows is an error: a table for readers is never cut short."""
     cols = df.columns
-    rows = df.limit(limit).collect()
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no report; write them as a table")
     out = [f"# {title}", "", "| " + " | ".join(cols) + " |", "|" + " --- |" * len(cols)]
     out += ["| " + " | ".join("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
     return "\n".join(out) + "\n"
 
 
-def log_run(df: DataFrame, path: str, run: str) -> None:
-    """Append metrics (``metric``, ``value``) of a run to the table of runs."""
-    df.select(F.lit(run).alias("run"), F.current_timestamp().alias("logged_at"), "metric", "value").write.mode("append").parquet(path)
+def _text_map(values: dict | None):
+    return F.create_map(*[F.lit(str(x)) for kv in sorted(values.items()) for x in kv]) if values else F.lit(None).cast("map<string,string>")
+
+
+def log_run(df: DataFrame, path: str, run: str, params: dict | None = None, tags: dict | None = None, artifacts: dict | None = None) -> None:
+    """Append metrics (``metric``, ``value``) of a run with its parameters, tags and artifacts (name -> path) to the table of runs."""
+    df.select(
+        F.lit(run).alias("run"), F.current_timestamp().alias("logged_at"), "metric", F.col("value").cast("double").alias("value"), _text_map(params).alias("params"), _text_map(tags).alias("tags"), _text_map(artifacts).alias("artifacts")
+    ).write.mode("append").parquet(path)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.functions import kernels
-from palimpsest.operators import audit, graph, images, metrics, reports, similarity
+from palimpsest.operators import audit, duplicates, graph, images, metrics, reports, similarity
 from palimpsest.sources import ingest, sinks
 from palimpsest.streaming import incremental
 
@@ -150,9 +150,64 @@ def test_hamming_pairs_find_all(spark):
 
 
 def test_report_cells(spark):
-    text = "# T\n\n## A\n| m | AUC-ROC | n |\n|---|---|---|\n| x | 0.869 [0.851-0.883] | abc |\n\n| m | b |\n|---|---|\n| y | 2 |\n"
+    text = "#Top\n## First\n|:--|--|\n| m | Some-Score | n |\n|---|---|---|\n| x | 3.25 [1.5-4] | abc |\n| y | .5 | -7 |\n | not a row | 1 | 2 |\n| m | b |\n|---|---|\n| z | 2 |\n"
     got = {(r.section, r.subset, r.metric): (r.value, r.lo, r.hi) for r in reports.report_cells(spark.createDataFrame([("r", text)], "run string, value string")).collect()}
-    assert got == {("A", "x", "auc_roc"): (0.869, 0.851, 0.883), ("A", "y", "b"): (2.0, None, None)}
+    assert got == {("First", "x", "some_score"): (3.25, 1.5, 4.0), ("First", "y", "some_score"): (0.5, None, None), ("First", "y", "n"): (-7.0, None, None), ("First", "z", "b"): (2.0, None, None)}
+
+
+def test_pixels_decide_on_near_links(spark):
+    """Signatures alike to 0.99: one pair equal but for a few faint values, one with a blot, and an exact copy of each kind."""
+    rng = np.random.default_rng(61)
+    a = rng.integers(0, 200, 256)
+    faint, blot = a + rng.integers(0, 3, 256), a.copy()
+    blot[:8] += 50
+    rows = [(1, a, "spiral"), (2, faint, "spiral"), (3, blot, "spiral"), (4, a, "spiral"), (5, a, "wave"), (6, blot, "spiral")]
+    pix = spark.createDataFrame([(i, [int(v) for v in x]) for i, x, _ in rows], "item_id long, x array<smallint>")
+    unit = lambda x: [float(v) for v in (x - x.mean()) / np.linalg.norm(x - x.mean())]
+    vec = spark.createDataFrame([(i, unit(x)) for i, x, _ in rows], "item_id long, v array<double>")
+    man = spark.createDataFrame([(i, f"p{i}", ["train", "val"][i % 2], "healthy", i, k) for i, _, k in rows], "item_id long, path string, split string, diagnosis string, name_number int, drawing_type string")
+    assert float(np.dot(unit(a), unit(blot))) > 0.97
+    got = {r.item_id: (r.group_id, r.role, r.split_clean) for r in duplicates.grouped_manifest(man, pix, vec, least=0.97).collect()}
+    assert {i: g for i, (g, *_) in got.items()} == {1: 1, 2: 1, 4: 1, 3: 3, 6: 3, 5: 5}
+    assert got[1] == (1, "rep", "train") and got[3] == (3, "rep", "train") and got[5] == (5, "rep", "val") and got[2][1:] == ("dup", "dup")
+    digests = pix.select("item_id", duplicates.content_digest().alias("digest")).join(man.select("item_id", "drawing_type"), "item_id")
+    n = duplicates.link_counts(digests, duplicates.grouped_manifest(man, pix, vec, least=0.97)).first()
+    assert (n.n_files, n.n_groups, n.exact_links, n.near_links) == (6, 3, 2, 1)
+
+
+def test_best_matches_go_one_way(spark):
+    v = np.random.default_rng(62).normal(0, 1, (40, 8))
+    v[5] = v[9]
+    df = spark.createDataFrame([(i, [float(x) for x in r], "a" if i % 2 else "b", "val" if i % 5 == 0 else "train") for i, r in enumerate(v)], "item_id long, v array<double>, k string, split string")
+    for block in (7, 1000):
+        got = {r.i: r.j for r in similarity.best_elsewhere(df.withColumn("q", F.col("split") == "val"), "q", ["k"], block).collect()}
+        want = {i: max((j for j in range(40) if j % 5 and (i - j) % 2 == 0), key=lambda j: (round(v[i] @ v[j], 12), -j)) for i in range(0, 40, 5)}
+        assert got == want
+    assert {r.i for r in duplicates.split_matches(df, "k").collect()} == set(range(0, 40, 5))
+
+
+def test_duplicates_across_splits(spark):
+    rows = [(1, "k", "d1", "0" * 64, "train"), (2, "k", "d1", "0" * 64, "test"), (3, "k", "d3", "0" * 63 + "1", "test"), (4, "k", "d4", "1" * 64, "test"), (5, "other", "d1", "0" * 64, "test"), (6, "k", "d1", "0" * 64, "val")]
+    df = spark.createDataFrame(rows, "item_id long, kind string, digest string, bits string, split string")
+    got = lambda most: {(r.train, r.test, r.match) for r in duplicates.cross_split_duplicates(df, "kind", "digest", "bits", most=most).collect()}
+    assert got(0) == {(1, 2, "exact")} and got(1) == {(1, 2, "exact"), (1, 3, "near")}
+
+
+def test_samples_and_score_checks(spark):
+    df = spark.range(500).withColumnRenamed("id", "item_id")
+    a, b, c = ({r.item_id for r in audit.seeded_sample(df.repartition(n), "item_id", 30, s).collect()} for n, s in ((1, 4), (7, 4), (3, 5)))
+    assert a == b and len(a) == 30 and a != c
+    scores = spark.createDataFrame([(i, r, 0.5) for i in range(4) for r in range(2) if (i, r) != (3, 1)] + [(0, 0, 0.1), (9, 0, float("nan"))], "item_id long, repeat int, score double")
+    r = audit.score_checks(scores, spark.range(4).withColumnRenamed("id", "item_id"), 2).first()
+    assert (r.n_items, r.n_missing, r.n_unknown, r.n_repeated, r.n_bad, r.ok) == (4, 1, 1, 1, 1, False)
+    good = spark.createDataFrame([(i, r, 0.5) for i in range(4) for r in range(2)], "item_id long, repeat int, score double")
+    assert audit.score_checks(good, spark.range(4).withColumnRenamed("id", "item_id"), 2).first().ok
+
+
+def test_reports_are_not_cut_short(spark):
+    assert sinks.markdown(spark.range(300), "t").count("\n") >= 303
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(30), "t", most=29)
 
 
 def png(path, pixels):
@@ -177,23 +232,42 @@ def test_tree_of_images(spark, tmp_path):
     manifest, problems = ingest.build_manifest(spark, str(tmp_path / "set"))
     got = {(r.split, r.class_name, r.drawing_type, r.name_prefix, r.name_number) for r in manifest.collect()}
     assert got == {("train", "healthy spiral", "spiral", "healthy", 1), ("val", "parkinson wave", "wave", "Parkinson", 7)}
-    assert tuple(problems.first()) == (1, 1)
+    assert problems.first().asDict() == {"augmented": 1, "without_label": 1, "unreadable_label": 0, "prefix_disagrees": 1}
     gray = ingest.read_gray(spark, str(tmp_path / "set")).collect()
     assert len(gray) == 4 and gray[0].height == 12 and list(gray[0].x) == pix.reshape(-1).tolist()
     assert ingest.tree_summary(spark, str(tmp_path / "set")).where("augmented").first().n == 1
     assert ingest.list_images(spark, str(tmp_path)).count() == 4
 
 
+def test_odd_trees(spark, tmp_path):
+    """A root called test decides no split; a class id beyond the names goes by its number; an unreadable label is counted; the first list counts."""
+    root = tmp_path / "test" / "data"
+    for kind in ("images", "labels"):
+        os.makedirs(root / "a" / kind)
+    for name, label in [("left_3", "7 .1 .1 .2 .2"), ("b.rf.0123456789abcdef", " \n1.0 0 0 1 1"), ("c", "none"), ("d_aug1", "0")]:
+        png(root / "a" / "images" / f"{name}.png", np.zeros((4, 4)))
+        (root / "a" / "labels" / f"{name}.txt").write_text(label)
+    (root / "b.yml").write_text("names: [left wave, right wave]\n")
+    (root / "z.yaml").write_text("names: [x, y]\n")
+    manifest, problems = ingest.build_manifest(spark, str(root))
+    got = {(r.split, r.class_id, r.class_name, r.diagnosis, r.drawing_type, r.name_number) for r in manifest.collect()}
+    assert got == {("?", 7, "7", "7", "", 3), ("?", 1, "right wave", "right", "wave", -1)}
+    assert problems.first().asDict() == {"augmented": 1, "without_label": 0, "unreadable_label": 1, "prefix_disagrees": 2}
+    many = spark.createDataFrame([(f"names: [{', '.join(f'c{i}' for i in range(1500))}]",)], "value string")
+    assert ingest.class_names(many).count() == 1500
+
+
 def test_caches_reports_and_runs(spark, tmp_path):
     np.savez_compressed(tmp_path / "c.npz", X=np.arange(32, dtype=np.uint8).reshape(2, 4, 4), class_name=np.array(["a", "b"]))
     rows = ingest.read_npz(spark, str(tmp_path / "c.npz")).orderBy("item_id").collect()
     assert [r.meta["class_name"] for r in rows] == ["a", "b"] and list(rows[1].x) == list(range(16, 32))
-    (tmp_path / "r1.md").write_text("## S\n| m | x |\n|---|---|\n| k | 1 |\n")
+    (tmp_path / "r1.md").write_text("## S\n| m | x |\n|---|---|\n| k | 1 |\n\n## T\n| m | y |\n|---|---|\n| k | 2 |\n")
     cells = reports.report_cells(ingest.read_reports(spark, str(tmp_path / "*.md")))
-    assert cells.first().run == "r1"
+    assert {tuple(r)[:5] for r in cells.collect()} == {("r1", "S", "k", "x", 1.0), ("r1", "T", "k", "y", 2.0)}
     sinks.log_run(reports.flattened(cells), str(tmp_path / "runs"), "one")
-    sinks.log_run(reports.flattened(cells), str(tmp_path / "runs"), "two")
-    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
+    sinks.log_run(reports.flattened(cells), str(tmp_path / "runs"), "two", {"c": 1.0}, {"kind": "test"}, {"table": "/t"})
+    runs = {r.run: r for r in spark.read.parquet(str(tmp_path / "runs")).collect()}
+    assert len(runs) == 2 and spark.read.parquet(str(tmp_path / "runs")).count() == 4 and runs["two"].params == {"c": "1.0"} and runs["one"].params is None and runs["two"].artifacts == {"table": "/t"}
     sinks.write_csv(cells, str(tmp_path / "csv"))
     assert "| k |" in sinks.markdown(cells.select("subset", "value"), "t")
 

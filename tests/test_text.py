@@ -31,16 +31,16 @@ def test_split_aliases_differ_between_the_two_tables(spark):
 
 
 def test_subject_and_label_path(spark):
-    for stem, want in {"P12_spiral": "12", "subject-7": "7", "V01HE01": None}.items():
-        assert one(spark, stem, X.subject_of(F.col("v"))) == (want,)
+    for stem, want in {"wave paciente_031": "031", "pt44-left": "44", "a-SUJEITO-9": "9", "x_pac5_p6": "5", "208_spiral": "208", "17-b": "17", "id12": None, "s7": None, "12x_1": None, "map3": None, "V20PA11": None}.items():
+        assert one(spark, stem, X.subject_of(F.col("v"))) == (want,), stem
     assert one(spark, "/images/a/Images/b.PNG", X.label_path(F.col("v"))) == ("/images/a/labels/b.txt",)
 
 
 def test_keys_and_cells(spark):
-    assert one(spark, " AUC-ROC ", X.metric_key(F.col("v"))) == ("auc_roc",)
-    assert one(spark, "stroke geometry + contrast + paper", X.slug(F.col("v"))) == ("stroke_geometry_contrast",)
-    c = [F.lit(0.8691), F.lit(0.851), F.lit(0.8834)]
-    assert one(spark, "x", X.interval_text(*c)) == ("0.869 [0.851-0.883]",)
+    for header, key in {" Mean-Width ": "mean_width", "n__rows_": "n__rows", "a (%) b": "a_b"}.items():
+        assert one(spark, header, X.metric_key(F.col("v"))) == (key,)
+    assert one(spark, "paper, frame & (all) the speckles of it", X.slug(F.col("v"))) == ("paper_frame_all_the_spec",)
+    assert one(spark, "x", X.interval_text(F.lit(1.23456), F.lit(0.5), F.lit(2.0))) == ("1.235 [0.500-2.000]",)
 
 
 def test_nulls_stay_null(spark):
