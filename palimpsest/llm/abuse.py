@@ -179,30 +179,33 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS
     return mean.join(d, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
 
 
-def rater_errors(labels: DataFrame, rounds: int = 200) -> np.ndarray:
+def rater_errors(labels: DataFrame) -> np.ndarray:
     """(2, 3): for each category the share of yes labels for documents without it and of no labels for documents with it.
 
-    Estimated from all documents with several raters: the truth of each is unknown, and raters err independently
-    (expectation maximisation). Only the counts of (yes, raters) leave the cluster. The assumed shares weigh as ``WEIGHT`` labels.
+    How often two raters of one document disagree tells how large both shares are, not which of them: with two raters any mix of
+    both explains the counts. So their proportion stays as assumed and only their size is estimated, over all pairs of labels of a document; the
+    assumption weighs as ``WEIGHT`` pairs. Raters of one document can be wrong together, so disagreement is a lower bound: the
+    estimate can raise the assumed shares, not lower them. Only sums leave the cluster.
     """
     out = np.array([[WRONG_YES] * 3, [WRONG_NO] * 3])
     for c, name in enumerate(CATEGORIES):
         good = labels.where(F.col("doc_id").isNotNull() & F.col(name).isin(0, 1))
-        per = good.groupBy("doc_id").agg(F.sum(name).alias("k"), F.count("*").alias("m")).where("m > 1").groupBy("k", "m").agg(F.count("*").alias("n")).toPandas()
-        if not len(per):
+        per = good.groupBy("doc_id").agg(F.sum(name).cast("double").alias("k"), F.count("*").cast("double").alias("m"))
+        r = per.agg(F.sum("k").alias("k"), F.sum("m").alias("m"), F.sum(F.col("k") * (F.col("m") - F.col("k"))).alias("d"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs")).first()
+        if not r["pairs"]:
             continue
-        k, m, n = (per[x].to_numpy(float) for x in "kmn")
-        share = np.clip((k * n).sum() / (m * n).sum(), 1e-3, 0.5)
-        yes, no = WRONG_YES, WRONG_NO
-        for _ in range(rounds):
-            with_, without = share * (1 - no) ** k * no ** (m - k), (1 - share) * yes**k * (1 - yes) ** (m - k)
-            p = with_ / (with_ + without)
-            share = np.clip((p * n).sum() / n.sum(), 1e-6, 1 - 1e-6)
-            yes = ((1 - p) * n * k).sum() + WEIGHT * WRONG_YES
-            yes /= ((1 - p) * n * m).sum() + WEIGHT
-            no = (p * n * (m - k)).sum() + WEIGHT * WRONG_NO
-            no /= (p * n * m).sum() + WEIGHT
-        out[:, c] = yes, no
+
+        def disagreement(f: float, mean: float = r["k"] / r["m"]) -> float:
+            yes, no = f * WRONG_YES, f * WRONG_NO
+            share = np.clip((mean - yes) / max(1 - yes - no, 1e-9), 0, 1)
+            return 2 * (share * no * (1 - no) + (1 - share) * yes * (1 - yes))
+
+        seen = (r["d"] + WEIGHT * disagreement(1.0)) / (r["pairs"] + WEIGHT)
+        lo, hi = 0.0, 0.45 / max(WRONG_YES, WRONG_NO)
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if disagreement(mid) < seen else (lo, mid)
+        out[:, c] *= max(1.0, lo)
     return out
 
 

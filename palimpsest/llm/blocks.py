@@ -26,20 +26,23 @@ def with_blocks(df: DataFrame, keys: list[str], counts: DataFrame, rows: int, sp
 
     ``counts`` holds the keys and ``n``. The hot keys are written on their own, so that their size is known.
     """
-    hot = written(counts.where(F.col("n") > rows).select(*keys, F.ceil(F.col("n") / rows).cast("int").alias("_b")), "hot")
+    hot = written(counts.where(F.col("n") > rows).select(*keys, F.ceil(F.col("n") / rows).cast("int").alias("_cut_")), "hot")
     if not hot.limit(1).count():
         return df.withColumn("_blocks", F.lit(1))
-    return spread_join(df, hot, keys, spread, "left").withColumn("_blocks", F.coalesce("_b", F.lit(1))).drop("_b")
+    return spread_join(df, hot, keys, spread, "left").withColumn("_blocks", F.coalesce("_cut_", F.lit(1))).drop("_cut_")
 
 
-def hot_join(df: DataFrame, table: DataFrame, key: str, spread: Column, rows: int = 100_000) -> DataFrame:
-    """Inner join of ``df`` with a ``table`` that has each key once; the rows of hot keys are cut into blocks of about ``rows`` rows."""
-    counts = written(df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > rows), "hot")
+def hot_join(df: DataFrame, table: DataFrame, key: str, spread: Column, counted: DataFrame | None = None, rows: int = 100_000) -> DataFrame:
+    """Inner join of ``df`` with a ``table`` that has each key once; the rows of hot keys are cut into blocks of about ``rows`` rows.
+
+    Keys are counted in ``counted``, if given: a table at hand of which ``df`` holds no more rows for any key.
+    """
+    counts = written((df if counted is None else counted).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > rows), "hot")
     if not counts.limit(1).count():
         return df.join(table, key)
     d = with_blocks(df, [key], counts, rows, spread).withColumn("_blk", F.pmod(F.xxhash64(spread), F.col("_blocks")).cast("int")).drop("_blocks")
-    copies = counts.select(key, F.ceil(F.col("n") / rows).cast("int").alias("_b"))
-    t = table.join(copies, key, "left").withColumn("_blk", F.explode(F.sequence(F.lit(0), F.coalesce("_b", F.lit(1)) - 1))).drop("_b")
+    copies = counts.select(key, F.ceil(F.col("n") / rows).cast("int").alias("_cut_"))
+    t = table.join(copies, key, "left").withColumn("_blk", F.explode(F.sequence(F.lit(0), F.coalesce("_cut_", F.lit(1)) - 1))).drop("_cut_")
     return d.join(t, [key, "_blk"]).drop("_blk")
 
 

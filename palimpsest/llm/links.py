@@ -80,7 +80,7 @@ def link_groups(links: DataFrame, a: str, b: str, links_per_task: int = LINKS_PE
     Links with a null end are ignored; a node linked only with itself forms a group of one. Repeated
     and reversed links change nothing. An empty input gives an empty table. Other columns are ignored.
 
-    A task unites the links of many first ends, half of ``links_per_task`` on average; a first end with more than an eighth of
+    A task unites the links of many first ends, half of ``links_per_task`` on average; a first end with more than a 32nd of
     them is spread over blocks. A level whose forests leave more than ``shrink`` of its links (long chains, whose
     links seldom meet) is also contracted to least neighbours, so the number of levels is logarithmic. ``sizes`` takes the links of each level.
     """
@@ -104,7 +104,7 @@ def link_groups(links: DataFrame, a: str, b: str, links_per_task: int = LINKS_PE
             edges = _contracted(edges, up)
             continue
         before = n
-        rows = max(1, links_per_task // 8)
+        rows = max(1, links_per_task // 32)
         counts = edges.groupBy("_a").agg(F.count("*").alias("n")).where(F.col("n") > rows)
         placed = with_blocks(edges, ["_a"], counts, rows, F.col("_b"))
         forest = placed.repartition(-(-2 * n // links_per_task), F.col("_a"), F.pmod(F.xxhash64("_b"), F.col("_blocks"))).select("_a", "_b")
@@ -140,10 +140,10 @@ def linked_files(pairs: DataFrame, manifest: DataFrame, least_correlation: float
     good = pairs.where((F.col("correlation") >= least_correlation) & ~F.isnan("correlation")).select(
         same_file(F.col("val_path")).alias("_va"), same_file(F.col("train_path")).alias("_tr")
     )
-    good = good.where("_va is not null and _tr is not null and _va <> _tr").distinct()
+    good = written(good.where("_va is not null and _tr is not null and _va <> _tr").distinct(), "pairs")
     # a few files occur in very many pairs
-    ends = hot_join(good, files.select(F.col("_path").alias("_va"), F.col("_id").alias("_i")), "_va", F.col("_tr"))
-    ends = hot_join(ends, files.select(F.col("_path").alias("_tr"), F.col("_id").alias("_j")), "_tr", F.col("_va"))
+    ends = hot_join(good, files.select(F.col("_path").alias("_va"), F.col("_id").alias("_i")), "_va", F.col("_tr"), good)
+    ends = hot_join(ends, files.select(F.col("_path").alias("_tr"), F.col("_id").alias("_j")), "_tr", F.col("_va"), good)
     groups = link_groups(ends.where("_i <> _j"), "_i", "_j")
     return groups.select(F.col("node").alias("item_id"), F.col("group").alias("group_item_id"))
 
