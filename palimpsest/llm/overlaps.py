@@ -57,7 +57,7 @@ def _array_of(sides: int):
     """Rows of one partition of the array in order -> spans (kind 0) and what other partitions need of this one (kinds 1 to 4)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lcps, sides_, rids, ats, offs = [], [], [], [], []
+        lcps, sides_, rids, ats, offs, wanted = [], [], [], [], [], []
         last = ""
         first_of: dict[int, str] = {}
         last_of: dict[int, str] = {}
@@ -78,6 +78,7 @@ def _array_of(sides: int):
             rids.append(f["rid"].to_numpy(np.int64))
             ats.append(f["at"].to_numpy(np.int32))
             offs.append(f["off"].to_numpy(np.int32))
+            wanted.append(f["wanted"].to_numpy(bool))
         if head is None:
             return
         lcp, side = np.concatenate(lcps), np.concatenate(sides_)
@@ -86,7 +87,7 @@ def _array_of(sides: int):
         after, open_a = (x[::-1] for x in to_other_side(back, side[::-1]))
         off = np.concatenate(offs)
         # an open end reaches as far as the common prefix with the partition's first or last suffix, the whole key for that one itself
-        keep = np.maximum(before, after) - off >= LEAST
+        keep = (np.maximum(before, after) - off >= LEAST) & np.concatenate(wanted)
         yield pd.DataFrame(
             {
                 "kind": 0, "pid": pid, "rid": np.concatenate(rids)[keep], "at": np.concatenate(ats)[keep], "off": off[keep], "side": side[keep].astype(np.int32),
@@ -113,12 +114,15 @@ def shared_spans(texts: DataFrame, sides: int) -> DataFrame:
     """(``rid``, ``at``, ``length``): places of the texts from which ``LEAST`` characters or more also stand in a text of another side.
 
     ``texts``: ``rid`` (one for each text and side), ``group`` (only texts of one group are compared), ``text`` and ``side`` (0 to
-    ``sides`` - 1). ``length`` is the longest such span, ``KEY`` at most. Null and shorter texts have none.
+    ``sides`` - 1). ``length`` is the longest such span, ``KEY`` at most. Null and shorter texts have none. With a column ``only`` all
+    suffixes make the array, but just the one at that place of each text is reported.
     """
     spark = texts.sparkSession
-    rows = texts.where(F.length("text") >= LEAST).select("rid", "group", "text", "side", (F.length("group") + 1).cast("int").alias("off"))
+    only = F.col("only") if "only" in texts.columns else F.lit(None)
+    rows = texts.where(F.length("text") >= LEAST).select("rid", "group", "text", "side", only.cast("int").alias("only"), (F.length("group") + 1).cast("int").alias("off"))
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("text") - LEAST)))
-    rows = rows.select(F.concat("group", F.lit("|"), F.expr(f"substring(text, at + 1, {KEY})")).alias("key"), "rid", "at", "off", F.col("side").cast("int").alias("side"))
+    wanted = F.coalesce(F.col("at") == F.col("only"), F.lit(True)).alias("wanted")
+    rows = rows.select(F.concat("group", F.lit("|"), F.expr(f"substring(text, at + 1, {KEY})")).alias("key"), "rid", "at", "off", F.col("side").cast("int").alias("side"), wanted)
     array = rows.repartitionByRange(shuffle_width(spark), "key", "rid").sortWithinPartitions("key", "rid", "at").withColumn("pid", F.spark_partition_id())
     got = written(array.mapInPandas(_array_of(sides), ROW_TYPES), "suffixes")
     # a few rows for each partition of the array, whatever the number of texts
@@ -148,15 +152,15 @@ def name_overlaps(manifest: DataFrame) -> DataFrame:
     The texts are the spelled file names. A record goes on if the suffix array shows that its whole unit stands in a name of
     the other side; records with the same span are then compared in full (what follows the number, and the trial).
     """
-    items = written(named(manifest, part_of(F.col("split")).alias("part")).where("part is not null").withColumn("side", (F.col("part") != "train").cast("int")), "names")
-    every = named(manifest).select("type", "stem").distinct()
+    listed = written(named(manifest, part_of(F.col("split")).alias("part")), "names")
+    items = listed.where("part is not null").withColumn("side", (F.col("part") != "train").cast("int"))
     texts = items.select("type", "stem", "side").distinct().withColumn("rid", F.xxhash64("type", "stem", "side"))
-    spans = shared_spans(texts.select("rid", F.col("type").alias("group"), F.concat("stem", F.lit("  ")).alias("text"), "side"), 2)
-    known = texts.join(with_cores(every), ["type", "stem"])
+    known = written(texts.join(with_cores(listed.select("type", "stem").distinct()), ["type", "stem"]), "texts")
+    spans = shared_spans(known.select("rid", F.col("type").alias("group"), F.concat("stem", F.lit("  ")).alias("text"), "side", F.col("lead").alias("only")), 2)
     whole = F.least(F.length("unit") + 1, F.lit(KEY))  # the blank that ends the unit stands in the other name too
-    long = known.join(spans, "rid").where((F.col("at") == F.col("lead")) & (F.col("length") >= whole))
+    long = known.join(spans.select("rid", "length"), "rid").where(F.col("length") >= whole)
     short = known.where(F.length("unit") + 2 < LEAST)  # too short for the array
-    bound = written(long.select("rid", "type", "unit", "rest", "trial", "side").unionByName(short.select("rid", "type", "unit", "rest", "trial", "side")), "spans")
+    bound = long.select("rid", "type", "unit", "rest", "trial", "side").unionByName(short.select("rid", "type", "unit", "rest", "trial", "side"))
     train, held = (bound.where(F.col("side") == s).select("type", "unit", "rest", "trial", F.col("rid").alias(n)) for s, n in ((0, "a"), (1, "b")))
     pairs = train.join(held, ["type", "unit", "rest", "trial"]).select("a", "b")
     members = items.select(F.xxhash64("type", "stem", "side").alias("rid"), "item_id").distinct()
