@@ -92,6 +92,13 @@ def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def reading(prob: Column) -> Column:
+    """A careful sentence on a score: which examples it is nearer to, and that neither threshold nor model was validated. Null for null."""
+    side = F.when(prob >= 0.5, "parkinson").otherwise("healthy")
+    text = F.format_string("Score %.2f, nearer to the %s examples of the data set. The cut at 0.5 is untuned; nothing was validated on new patients.", prob, side)
+    return F.when(prob.isNotNull(), text)
+
+
 def positive(diagnosis: Column) -> Column:
     """1 for parkinson, 0 for any other diagnosis, null for null."""
     return (diagnosis == "parkinson").cast("int")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from palimpsest.functions import kernels
+from palimpsest.functions.images import dihedral_orders
 from palimpsest.functions.text import known_split
 from palimpsest.operators import audit, duplicates, evaluate, folds, graph, images, metrics, models, similarity
 from palimpsest.operators.ranks import quantiles
@@ -70,6 +71,29 @@ def copy_grouped_validation(s, d):
     return evaluate.metric_table(oof, ["model", "drawing_type"], "component", 500)
 
 
+BASELINES = {
+    "brightness and ink": ["mean_gray", "median_gray", "p5_gray", "stats_ink"],
+    "stroke geometry": list(kernels.GEOMETRY),
+    "geometry, contrast and noise": list(kernels.STROKE_FEATURES),
+    "contrast and noise": list(kernels.CONTRAST_NOISE),
+}
+
+
+def baseline_tables(s, d):
+    """Logistic baselines on measures of the image and of the strokes, for each type and both pooled: blocked 5-fold validation in five
+    repeats, all metrics with intervals. The models of all subsets, repeats and folds of a feature set are fitted together."""
+    stats = images.stats_table(_cache(s, d)).withColumnRenamed("ink_frac", "stats_ink")
+    names = list(dict.fromkeys(f for c in BASELINES.values() for f in c))
+    x = audit.imputed(_features(s, d).join(stats, "item_id"), names).withColumn("is_wave", (F.col("drawing_type") == "wave").cast("double"))
+    x = x.withColumn("subset", F.explode(F.array("drawing_type", F.lit("pooled"))))
+    x = written(folds.repeated_folds(x, ["subset", "diagnosis", "drawing_type"], ["name_number", "item_id"]), "repeats")
+    out = None
+    for name, columns in BASELINES.items():
+        row = models.logistic_oof(x, [*columns, "is_wave"], ["subset", "repeat"]).select(F.lit(name).alias("features"), "*")
+        out = row if out is None else out.unionByName(row)
+    return evaluate.metric_table(written(out, "oof"), ["features", "subset"], "item_id", 500, repeat="repeat")
+
+
 def background_hold_out(s, d):
     """Terciles of the background as hold-out groups: in-group AUC of each feature set, fitted on the other two."""
     x = folds.tercile_groups(_features(s, d), "frame_mean", ["drawing_type"], out="fold").withColumn("fold", F.col("fold").cast("int"))
@@ -165,7 +189,7 @@ def cross_split_drawings(s, d):
     return duplicates.cross_split_duplicates(written(items, "hashed"), "drawing_type", "digest", "bits")
 
 
-_NAMES = "built_manifest built_links split_matches split_match_ladder cross_split_drawings twin_audit copy_grouped_validation background_hold_out neighbour_audit background_correlation".split()
+_NAMES = "baseline_tables built_manifest built_links split_matches split_match_ladder cross_split_drawings twin_audit copy_grouped_validation background_hold_out neighbour_audit background_correlation".split()
 
 
 def queries():
@@ -186,12 +210,42 @@ _EDGES = """p AS (SELECT a.item_id AS i, b.item_id AS j, a.x AS xa, b.x AS xb FR
     m AS (SELECT node AS item_id, min(reach) AS group_id FROM r GROUP BY 1), k AS (SELECT n.*, m.group_id FROM n JOIN m USING(item_id))"""
 _BEST = "q AS (SELECT a.item_id AS i, b.item_id AS j, a.drawing_type, round(list_dot_product(a.v,b.v),12) AS sim, row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_dot_product(a.v,b.v),12) DESC, b.item_id) AS rn FROM n a JOIN n b ON a.drawing_type=b.drawing_type AND a.split='val' AND b.split='train')"
 
+_T = """b0 AS (SELECT item_id, any_value(height) AS h, any_value(width) AS w, any_value(x) AS x, any_value(drawing_type) AS drawing_type, any_value(name_number) AS name_number, any_value(CASE WHEN diagnosis='parkinson' THEN 1 ELSE 0 END) AS y
+      FROM cnn_cache_128 WHERE len(x)=height*width AND diagnosis IS NOT NULL AND drawing_type IS NOT NULL GROUP BY 1),
+    b1 AS (SELECT *, list_transform(x, lambda e: CASE WHEN e > greatest(0.35::DOUBLE*list_max(x), 32) THEN 255 ELSE 0 END) AS k FROM b0),
+    b2 AS (SELECT *, list_transform(range(256), lambda j: (k[(j//16)*2*w+(j%16)*2+1]+k[(j//16)*2*w+(j%16)*2+2]+k[((j//16)*2+1)*w+(j%16)*2+1]+k[((j//16)*2+1)*w+(j%16)*2+2])/4.0::DOUBLE) AS m FROM b1),
+    b3 AS (SELECT *, list_transform(m, lambda e: e-list_avg(m)) AS c FROM b2),
+    n AS (SELECT item_id, drawing_type, name_number, y, list_transform(c, lambda e: e/greatest(sqrt(list_dot_product(c,c)),1e-8)) AS v FROM b3)"""
+
+
+def _twin_sql() -> str:
+    turns = ",".join(f"([{','.join(str(int(i) + 1) for i in o)}])" for o in dihedral_orders(16, 16))
+    taus = ",".join(f"({x}::DOUBLE)" for x in TWIN_STEPS)
+    return f"""WITH RECURSIVE {_T}, t AS (SELECT item_id, drawing_type, list_transform(p, lambda k: v[k]) AS u FROM n, (VALUES {turns}) perms(p)),
+        pr AS (SELECT a.drawing_type, a.item_id AS i, t.item_id AS j, max(list_dot_product(a.v,t.u)) AS sim FROM n a JOIN t ON a.drawing_type=t.drawing_type AND a.item_id<t.item_id GROUP BY 1,2,3),
+        e AS (SELECT tau, drawing_type, i, j FROM pr, (VALUES {taus}) s(tau) WHERE sim>=tau), x AS (SELECT tau, i, j FROM e UNION ALL SELECT tau, j, i FROM e),
+        r AS (SELECT tau, item_id AS node, item_id AS reach FROM n, (VALUES {taus}) s(tau) UNION SELECT r.tau, r.node, x.j FROM r JOIN x ON x.tau=r.tau AND x.i=r.reach),
+        c AS (SELECT tau, node, min(reach) AS comp FROM r GROUP BY 1,2), g AS (SELECT tau, drawing_type, comp, count(*) AS k, count(DISTINCT y) AS d FROM c JOIN n ON n.item_id=c.node GROUP BY 1,2,3),
+        q AS (SELECT tau, drawing_type, count(*) AS n_pairs FROM e GROUP BY 1,2)
+        SELECT g.tau, g.drawing_type, round(100.0*sum(CASE WHEN k>1 THEN k ELSE 0 END)/sum(k),4) AS pct_in_cluster, count(*) FILTER (k>1) AS n_clusters, max(k) AS largest, round(100.0*count(*) FILTER (k>1 AND d=1)/nullif(count(*) FILTER (k>1),0),4) AS pct_pure, coalesce(any_value(n_pairs),0) AS n_pairs
+        FROM g LEFT JOIN q USING(tau, drawing_type) GROUP BY 1,2"""
+
+
+def _neighbour_sql() -> str:
+    return f"""WITH {_T}, f AS (SELECT *, floor((((row_number() OVER (PARTITION BY drawing_type ORDER BY name_number, item_id)-1)*5.0::DOUBLE/count(*) OVER (PARTITION BY drawing_type)) % 5.0::DOUBLE))::INT AS fold FROM n),
+        nn AS (SELECT a.item_id AS i, a.drawing_type, a.y=b.y AS same, round(list_dot_product(a.v,b.v),12) AS sim, row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_dot_product(a.v,b.v),12) DESC, b.item_id) AS rn FROM f a JOIN f b ON a.drawing_type=b.drawing_type AND a.fold<>b.fold),
+        x AS (SELECT * FROM nn WHERE rn=1), q AS (SELECT drawing_type, quantile_cont(sim,1/3.0::DOUBLE) q1, quantile_cont(sim,2/3.0::DOUBLE) q2 FROM x GROUP BY 1)
+        SELECT drawing_type, CASE WHEN sim>=q2 THEN 2 WHEN sim>=q1 THEN 1 ELSE 0 END::INT AS tercile, count(*) AS n, round(quantile_cont(sim,0.1),6) AS p10, round(quantile_cont(sim,0.5),6) AS p50, round(quantile_cont(sim,0.9),6) AS p90, round(avg(CASE WHEN same THEN 1.0 ELSE 0 END),6) AS same_label
+        FROM x JOIN q USING(drawing_type) GROUP BY 1,2"""
+
 
 def oracle_sql():
     from palimpsest.plans import pixels
 
     hashes = pixels.oracle_sql()["drawing_hashes"]
     return {
+        "twin_audit": _twin_sql(),
+        "neighbour_audit": _neighbour_sql(),
         "built_manifest": f"""WITH RECURSIVE {_L}, {_S}, {_EDGES}, g AS (SELECT group_id, count(*)::INT AS sz, count(DISTINCT diagnosis)>1 AS cf, max(CASE WHEN split='train' THEN 1 ELSE 0 END) AS tr, min(split) AS least FROM k GROUP BY 1),
             o AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY name_number, item_id, path) AS rn FROM k)
             SELECT item_id, path, o.group_id, sz AS group_size, cf AS group_conflict, CASE WHEN rn=1 THEN 'rep' ELSE 'dup' END AS role, CASE WHEN cf THEN 'drop' WHEN rn>1 THEN 'dup' WHEN tr=1 THEN 'train' ELSE least END AS split_clean FROM o JOIN g USING(group_id)""",

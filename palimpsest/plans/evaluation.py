@@ -154,7 +154,7 @@ def twin_statistics(s, d):
 
 
 def edge_statistics(s, d):
-    return similarity.pair_statistics(similarity.similar_pairs(_emb(s, d), TAU_EDGES, turns=True), _emb(s, d))
+    return similarity.pair_statistics(similarity.similar_pairs(_emb(s, d), TAU_EDGES, turns=True), _emb(s, d).withColumn("group", F.col("item_id") % 7))
 
 
 def nearest_other_fold(s, d):
@@ -367,7 +367,7 @@ def oracle_sql():
         "twin_components": f"{_TWINS} SELECT item_id, component FROM c",
         "twin_numbers": f"{_TWINS} SELECT item_id, dense_rank() OVER (ORDER BY y, component)-1 AS cluster FROM c JOIN e USING(item_id)",
         "twin_statistics": f"{_TWINS}, g AS (SELECT component, count(*) n, count(DISTINCT y) k FROM c JOIN e USING(item_id) GROUP BY 1) SELECT round(100.0*sum(CASE WHEN n>1 THEN n ELSE 0 END)/sum(n),4) AS pct_in_cluster, count(*) FILTER (n>1) AS n_clusters, max(n) AS largest, round(100.0*count(*) FILTER (n>1 AND k=1)/nullif(count(*) FILTER (n>1),0),4) AS pct_pure FROM g",
-        "edge_statistics": f"WITH {_TURNED} SELECT count(*) AS n, round(100*avg(CASE WHEN a.y=b.y THEN 1.0 ELSE 0 END),4) AS pct_same_label, round(100*avg(CASE WHEN a.fold<>b.fold THEN 1.0 ELSE 0 END),4) AS pct_diff_fold FROM pr JOIN e a ON a.item_id=i JOIN e b ON b.item_id=j WHERE sim>={TAU_EDGES}",
+        "edge_statistics": f"WITH {_TURNED} SELECT count(*) AS n, round(100*avg(CASE WHEN a.y=b.y THEN 1.0 ELSE 0 END),4) AS pct_same_label, round(100*avg(CASE WHEN a.fold<>b.fold THEN 1.0 ELSE 0 END),4) AS pct_diff_fold, round(100*avg(CASE WHEN a.item_id%7<>b.item_id%7 THEN 1.0 ELSE 0 END),4) AS pct_diff_group FROM pr JOIN e a ON a.item_id=i JOIN e b ON b.item_id=j WHERE sim>={TAU_EDGES}",
         "nearest_other_fold": f"{_NN} SELECT i, j, round(sim,6) AS sim FROM nn WHERE rn=1",
         "nearest_other_fold_turned": f"WITH {_E}, {_TURNS}, pr AS (SELECT a.item_id AS i, t.item_id AS j, round(max(list_dot_product(a.v,t.u)),12) AS sim FROM e a JOIN t ON a.item_id%5 <> t.item_id%5 GROUP BY 1,2) SELECT i, arg_max(j, (sim, -j)) AS j, round(max(sim),6) AS sim FROM pr GROUP BY 1",
         "nearest_label_accuracy": f"{_NN}, x AS (SELECT a.v[1] AS x, a.y=b.y AS ok FROM nn JOIN e a ON a.item_id=i JOIN e b ON b.item_id=j WHERE rn=1), q AS (SELECT quantile_cont(x,1/3.0::DOUBLE) q1, quantile_cont(x,2/3.0::DOUBLE) q2 FROM x) SELECT CASE WHEN x>=q2 THEN 2 WHEN x>=q1 THEN 1 ELSE 0 END::INT AS tercile, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0 END),6) AS accuracy FROM x, q GROUP BY 1",

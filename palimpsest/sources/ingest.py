@@ -121,6 +121,15 @@ def read_gray(spark: SparkSession, root: str) -> DataFrame:
     return img.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, "path string, height int, width int, x array<smallint>")
 
 
+def image_facts(spark: SparkSession, root: str) -> DataFrame:
+    """``path, width, height, mode`` (L, RGB or RGBA), ``is_rgba`` and ``filesize`` of all images that the JVM can decode. Pixels are not brought along."""
+    i = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root).select("image.origin", "image.width", "image.height", "image.nChannels")
+    mode = F.when(F.col("nChannels") == 1, "L").when(F.col("nChannels") == 3, "RGB").when(F.col("nChannels") == 4, "RGBA")
+    sizes = file_paths(spark, root).select(_plain("path").alias("_p"), F.col("bytes").alias("filesize"))
+    j = i.withColumn("_p", _plain("origin")).join(sizes, "_p", "left")
+    return j.select(F.col("origin").alias("path"), "width", "height", mode.alias("mode"), (F.col("nChannels") == 4).cast("int").alias("is_rgba"), "filesize")
+
+
 def read_npz(spark: SparkSession, path: str, key: str = "X") -> DataFrame:
     """Pixel caches kept as NPZ files: ``file, item_id`` (position), ``height, width, x`` and the parallel string arrays as a map."""
 

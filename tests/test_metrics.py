@@ -143,11 +143,9 @@ def test_bootstrap_equals_resampling_by_hand(spark):
 
     point, drawn = six(np.ones(len(y))), [six(x) for x in w]
     for rows in (10_000, 20):
-        bootstrap.bootstrap_metrics.__globals__["pieces"] = lambda d, by, s, n=rows: ranks.pieces(d, by, s, n)
-        for r in bootstrap.bootstrap_metrics(df, ["g"], "item_id", 60, 2).collect():
+        for r in bootstrap.bootstrap_metrics(df, ["g"], "item_id", 60, 2, piece=rows).collect():
             v = [x[r.metric] for x in drawn]
             assert r.n_draws == 60 and (r.value, r.lo, r.hi) == pytest.approx((point[r.metric], np.percentile(v, 2.5), np.percentile(v, 97.5)))
-    bootstrap.bootstrap_metrics.__globals__["pieces"] = ranks.pieces
 
 
 def test_bootstrap_weights_average_to_one_and_repeats_are_averaged(spark):

@@ -235,6 +235,8 @@ def test_tree_of_images(spark, tmp_path):
     assert problems.first().asDict() == {"augmented": 1, "without_label": 1, "unreadable_label": 0, "prefix_disagrees": 1}
     gray = ingest.read_gray(spark, str(tmp_path / "set")).collect()
     assert len(gray) == 4 and gray[0].height == 12 and list(gray[0].x) == pix.reshape(-1).tolist()
+    facts = {(r.width, r.height, r.mode, r.is_rgba) for r in ingest.image_facts(spark, str(tmp_path / "set")).collect()}
+    assert facts == {(10, 12, "L", 0)} and ingest.image_facts(spark, str(tmp_path / "set")).where("filesize > 50").count() == 4
     assert ingest.tree_summary(spark, str(tmp_path / "set")).where("augmented").first().n == 1
     assert ingest.list_images(spark, str(tmp_path)).count() == 4
 

@@ -43,6 +43,11 @@ def test_keys_and_cells(spark):
     assert one(spark, "x", X.interval_text(F.lit(1.23456), F.lit(0.5), F.lit(2.0))) == ("1.235 [0.500-2.000]",)
 
 
+def test_readings_name_the_nearer_side(spark):
+    low, high, none = one(spark, "x", *[X.reading(F.lit(v).cast("double")) for v in (0.123, 0.5, None)])
+    assert low.startswith("Score 0.12, nearer to the healthy") and high.startswith("Score 0.50, nearer to the parkinson") and none is None
+
+
 def test_nulls_stay_null(spark):
     v = F.col("v")
     for c in (X.slug(v), X.subject_of(v), X.label_path(v), X.positive(v), X.metric_key(v)):
