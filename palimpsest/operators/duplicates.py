@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import graph
 from palimpsest.operators.audit import group_rules
 from palimpsest.operators.similarity import best_elsewhere, hamming_pairs, similar_pairs
+from palimpsest.session import written
 
 #: Least correlation of two signatures, most mean difference, what counts as a different pixel and the most of them.
 NEAR, MEAN_DIFFERENCE, PIXEL_STEP, PIXEL_SHARE = 0.99, 3.0, 40, 0.01
@@ -61,8 +62,8 @@ def grouped_manifest(rows: DataFrame, drawings: DataFrame, vectors: DataFrame, k
     Of exact copies only the first goes to the comparison of signatures, so copies cost a digest each. Rows without a drawing are left out.
     """
     kinds = rows.select("item_id", kind)
-    digests = drawings.select("item_id", content_digest().alias("digest")).join(kinds, "item_id")
-    exact = exact_links(digests, kind, "digest")
+    digests = written(drawings.select("item_id", content_digest().alias("digest")).join(kinds, "item_id"), "digests")
+    exact = written(exact_links(digests, kind, "digest"), "exact")
     alone = vectors.join(kinds, "item_id").join(exact.select(F.col("j").alias("item_id")), "item_id", "left_anti")
     edges = exact.unionByName(near_links(alone, drawings, kind, least))
     groups = graph.with_singletons(digests.select("item_id"), graph.components(edges), "item_id").withColumnRenamed("component", "group_id")

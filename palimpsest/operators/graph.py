@@ -1,33 +1,63 @@
-"""Connected components by hanging roots on least neighbours with pointer jumping, all as joins and aggregations."""
+"""Connected components: roots hang on least neighbours with pointer jumping, as joins and aggregations, until the links fit one task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.session import written
 
+#: Links that one task unites at most; a parameter of memory (about 100 bytes a link), not of the result.
+LINKS_PER_TASK = 500_000
+
 
-def components(edges: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
+def components(edges: DataFrame, i: str = "i", j: str = "j", links_per_task: int = LINKS_PER_TASK) -> DataFrame:
     """(``node``, ``component``): the least node of the component. Nodes without an edge do not occur.
 
     Each round hangs every root on its least smaller neighbour, jumps pointers until the trees are flat, and draws the
-    edges together to edges between roots. The loop ends when no edge is left. A root that outlives two rounds has taken
-    in a neighbour of its own in the first, so two rounds at least halve the roots that have edges: rounds are bounded by
-    twice the logarithm of the nodes, whatever the order of the ids, and no limit is set.
+    edges together to edges between roots. A root that outlives two rounds has taken in a neighbour of its own in the first, so two rounds at
+    least halve the roots that have edges: rounds are bounded by twice the logarithm of the nodes, whatever the order of the ids, and no limit is
+    set. Once the edges that are left fit one task, union-find there ends the loop.
     """
     ends = edges.select(F.col(i).alias("a"), F.col(j).alias("b")).where("a is not null and b is not null")
     ends = written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = written(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")), "labels")
+    labels = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component"))
     links = ends.where("a <> b")
-    while links.limit(1).count():
+    while links.count() > links_per_task:
         tree = _flattened(links.groupBy("b").agg(F.min("a").alias("up")).withColumnRenamed("b", "root"))
-        labels = labels.join(tree, F.col("component") == F.col("root"), "left").select("node", F.coalesce("up", "component").alias("component"))
-        labels = written(labels, "labels")
+        labels = written(_hung(labels, tree), "labels")
         ta, tb = (tree.select(F.col("root").alias(s), F.col("up").alias(f"_{s}")) for s in "ab")
         links = links.join(ta, "a", "left").join(tb, "b").select(F.coalesce("_a", "a").alias("_a"), "_b").where("_a <> _b")
         links = written(links.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
-    return labels
+    kind = ends.schema["a"].dataType.simpleString()
+    return _hung(labels, links.repartition(1).mapInPandas(_united, f"root {kind}, up {kind}"))
+
+
+def _hung(labels: DataFrame, tree: DataFrame) -> DataFrame:
+    return labels.join(tree, F.col("component") == F.col("root"), "left").select("node", F.coalesce("up", "component").alias("component"))
+
+
+def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over all links of a task: (root, up) for every node that is not the least of its tree."""
+    got = list(frames)
+    a, b = (np.concatenate([f[c].to_numpy() for f in got]) if got else np.zeros(0, np.int64) for c in "ab")
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(nodes)))
+    for x, y in ends.reshape(2, -1).T.tolist():
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        parent[max(x, y)] = min(x, y)
+    up = np.array(parent, dtype=np.int64)
+    while len(up) and (up[up] != up).any():
+        up = up[up]
+    moved = np.flatnonzero(up != np.arange(len(up)))
+    yield pd.DataFrame({"root": nodes[moved], "up": nodes[up[moved]]})
 
 
 def _flattened(tree: DataFrame) -> DataFrame:

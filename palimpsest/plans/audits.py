@@ -63,11 +63,7 @@ def copy_grouped_validation(s, d):
     clusters = written(graph.with_singletons(nodes.select("item_id", "y"), comps, "item_id"), "clusters")
     f = folds.grouped_folds(clusters, "component", "y")
     x = written(_features(s, d).join(clusters.select("item_id", "component"), "item_id").join(f, "component"), "features")
-    out = None
-    for name, columns in evaluate.FEATURE_SETS.items():
-        row = models.logistic_oof(x, columns, ["drawing_type"]).select(F.lit(name).alias("model"), "*")
-        out = row if out is None else out.unionByName(row)
-    oof = written(out, "oof").join(x.select("item_id", "component"), "item_id")
+    oof = written(models.logistic_oof(x, evaluate.FEATURE_SETS, ["drawing_type"]), "oof").join(x.select("item_id", "component"), "item_id")
     return evaluate.metric_table(oof, ["model", "drawing_type"], "component", 500)
 
 
@@ -87,22 +83,15 @@ def baseline_tables(s, d):
     x = audit.imputed(_features(s, d).join(stats, "item_id"), names).withColumn("is_wave", (F.col("drawing_type") == "wave").cast("double"))
     x = x.withColumn("subset", F.explode(F.array("drawing_type", F.lit("pooled"))))
     x = written(folds.repeated_folds(x, ["subset", "diagnosis", "drawing_type"], ["name_number", "item_id"]), "repeats")
-    out = None
-    for name, columns in BASELINES.items():
-        row = models.logistic_oof(x, [*columns, "is_wave"], ["subset", "repeat"]).select(F.lit(name).alias("features"), "*")
-        out = row if out is None else out.unionByName(row)
-    return evaluate.metric_table(written(out, "oof"), ["features", "subset"], "item_id", 500, repeat="repeat")
+    oof = models.logistic_oof(x, {name: [*columns, "is_wave"] for name, columns in BASELINES.items()}, ["subset", "repeat"])
+    return evaluate.metric_table(written(oof, "oof"), ["model", "subset"], "item_id", 500, repeat="repeat")
 
 
 def background_hold_out(s, d):
     """Terciles of the background as hold-out groups: in-group AUC of each feature set, fitted on the other two."""
     x = folds.tercile_groups(_features(s, d), "frame_mean", ["drawing_type"], out="fold").withColumn("fold", F.col("fold").cast("int"))
     x = written(x, "features")
-    out = None
-    for name, columns in evaluate.FEATURE_SETS.items():
-        a = metrics.auc_roc(models.logistic_oof(x, columns, ["drawing_type"]), ["drawing_type", "fold"]).select(F.lit(name).alias("model"), "*")
-        out = a if out is None else out.unionByName(a)
-    return out
+    return metrics.auc_roc(models.logistic_oof(x, evaluate.FEATURE_SETS, ["drawing_type"]), ["model", "drawing_type", "fold"])
 
 
 def neighbour_audit(s, d):

@@ -31,9 +31,9 @@ def union_find(edges):
 
 
 @settings(max_examples=5, **QUIET)
-@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=14))
-def test_components(spark, edges):
-    got = graph.components(spark.createDataFrame(edges, "i long, j long"))
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=14), st.sampled_from([0, 3, 1000]))
+def test_components(spark, edges, in_one_task):
+    got = graph.components(spark.createDataFrame(edges, "i long, j long"), links_per_task=in_one_task)
     assert {r.node: r.component for r in got.collect()} == union_find(edges)
 
 
@@ -49,8 +49,9 @@ def test_components_of_long_chains_in_random_order(spark):
     for first, n in ((0, 3000), (10_000, 1000), (20_000, 1)):
         ids = (first + rng.permutation(n)).tolist()
         edges += list(zip(ids, ids[1:])) or [(first, first)]
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "i long, j long")).collect()}
-    assert got == union_find(edges) and len(got) == 4001 and set(got.values()) == {0, 10_000, 20_000}
+    for in_one_task in (0, 1_000_000):
+        got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "i long, j long"), links_per_task=in_one_task).collect()}
+        assert got == union_find(edges) and len(got) == 4001 and set(got.values()) == {0, 10_000, 20_000}
 
 
 def test_group_rules(spark):
