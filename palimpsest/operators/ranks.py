@@ -57,7 +57,8 @@ PIECE_ROWS = 100_000
 def pieces(df: DataFrame, by: list[str], score: str, rows: int = PIECE_ROWS) -> DataFrame:
     """Adds ``_piece``: pieces of a group in the order of the score, equal scores together.
 
-    The range of a group's scores is cut evenly into as many pieces as the group has ``rows`` rows.
+    The range of a group's scores is cut evenly into as many pieces as the group has ``rows`` rows. Scores that bunch in a narrow part of
+    the range share a piece.
     """
     s = F.col(score)
     span = df.groupBy(*by).agg(F.min(s).alias("_lo"), F.max(s).alias("_hi"), F.ceil(F.count("*") / rows).alias("_np"))

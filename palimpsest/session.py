@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where ``written`` has put its tables in this process.
+_WRITTEN: list[str] = []
+
+
 def local_session(cores: str | int = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench. On a cluster the caller brings its own."""
     return (
@@ -53,9 +57,24 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _WRITTEN.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that ``written`` has made in this process from number ``since`` on, and give how many there are left.
+
+    For long sessions that run many queries: call it when the results of a query are stored. DataFrames that still read such a
+    table can't be used afterwards; without a call the tables go when the driver ends.
+    """
+    jvm = spark._jvm
+    for at in _WRITTEN[since:]:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[since:]
+    return len(_WRITTEN)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -205,6 +205,16 @@ def test_samples_and_score_checks(spark):
     assert audit.score_checks(good, spark.range(4).withColumnRenamed("id", "item_id"), 2).first().ok
 
 
+def test_written_tables_can_be_released(spark):
+    import palimpsest.session as session
+
+    before = len(session._WRITTEN)
+    df = session.written(spark.range(5), "t")
+    at = session._WRITTEN[-1].removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(at)
+    assert session.release(spark, before) == before and not os.path.isdir(at)
+
+
 def test_reports_are_not_cut_short(spark):
     assert sinks.markdown(spark.range(300), "t").count("\n") >= 303
     with pytest.raises(ValueError):
