@@ -61,10 +61,19 @@ def turn_invariants(unit: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def best_turned_cosine(a: np.ndarray, b: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Largest cosine over the turns, pairwise for two stacks of centred unit drawings."""
+    """Largest cosine over the turns, pairwise for two stacks of centred unit drawings.
+
+    Single precision tells which turns can be the best (its error is far below the margin), double precision gives their cosines.
+    """
+    orders = same_shape_orders(height, width)
+    a, b = np.ascontiguousarray(a, np.float32), np.ascontiguousarray(b, np.float32)
+    rough = np.stack([np.einsum("ij,ij->i", np.take(a, order, axis=1), b) for order in orders])
+    near = rough >= rough.max(axis=0, initial=-2.0) - 1e-4
     best = np.full(len(a), -1.0)
-    for order in same_shape_orders(height, width):
-        np.maximum(best, np.einsum("ij,ij->i", a[:, order].astype(np.float64), b.astype(np.float64)), out=best)
+    for order, rows in zip(orders, near):
+        r = np.flatnonzero(rows)
+        if len(r):
+            best[r] = np.maximum(best[r], np.einsum("ij,ij->i", np.take(a[r].astype(np.float64), order, axis=1), b[r].astype(np.float64)))
     return best
 
 

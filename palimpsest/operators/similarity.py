@@ -32,7 +32,7 @@ def _products(a: np.ndarray, b: np.ndarray, turns: bool) -> np.ndarray:
     side = int(round(a.shape[1] ** 0.5))
     best = None
     for order in dihedral_orders(side, side):
-        s = a @ b[:, order].T
+        s = a @ np.take(b, order, axis=1).T
         best = s if best is None else np.maximum(best, s, out=best)
     return best
 
@@ -42,7 +42,7 @@ def _row_products(a: np.ndarray, b: np.ndarray, turns: bool) -> np.ndarray:
     if not turns:
         return np.einsum("ij,ij->i", a, b)
     side = int(round(a.shape[1] ** 0.5))
-    return np.max([np.einsum("ij,ij->i", a, b[:, o]) for o in dihedral_orders(side, side)], axis=0) if len(a) else np.zeros(0)
+    return np.max([np.einsum("ij,ij->i", a, np.take(b, o, axis=1)) for o in dihedral_orders(side, side)], axis=0) if len(a) else np.zeros(0)
 
 
 def similar_pairs(df: DataFrame, least: float, part: list[str] | None = None, turns: bool = False, block: int = BLOCK) -> DataFrame:
