@@ -77,17 +77,24 @@ def best_turned_cosine(a: np.ndarray, b: np.ndarray, height: int, width: int) ->
     return best
 
 
-def turn_free_hash(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """64-bit hash (int64) that is the same for all turned and mirrored versions of a drawing."""
+def turn_free_hash(pixels: np.ndarray, height: int, width: int, block: int = 2_048) -> np.ndarray:
+    """64-bit hash (int64) that is the same for all turned and mirrored versions of a drawing.
+
+    Weighted sums modulo 2**64. The weights are cut into pieces of 16 bits, whose products with pixels add up exactly in double
+    precision, so that one matrix product serves all turns.
+    """
     orders = same_shape_orders(height, width)
     weight = np.random.default_rng(20240229).integers(1, 2**63, height * width, dtype=np.uint64)
-    p = pixels.astype(np.uint64)
-    hashes = []
-    for order in orders:
-        turned = np.empty_like(weight)
-        turned[order] = weight
-        hashes.append((p * turned).sum(axis=1, dtype=np.uint64))
-    return np.stack(hashes).min(axis=0).view(np.int64)
+    turned = np.empty((len(orders), len(weight)), np.uint64)
+    for k, order in enumerate(orders):
+        turned[k, order] = weight
+    shift = np.arange(0, 64, 16, dtype=np.uint64)
+    pieces = ((turned[:, None] >> shift[:, None]) & np.uint64(0xFFFF)).astype(np.float64).reshape(-1, len(weight)).T
+    out = np.empty(len(pixels), np.uint64)
+    for lo in range(0, len(pixels), block):
+        sums = (pixels[lo : lo + block].astype(np.float64) @ pieces).astype(np.int64).view(np.uint64).reshape(-1, len(orders), len(shift))
+        out[lo : lo + block] = (sums << shift).sum(axis=2, dtype=np.uint64).min(axis=1)
+    return out.view(np.int64)
 
 
 def cosine_basis(n: int) -> np.ndarray:
