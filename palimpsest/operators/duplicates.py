@@ -31,7 +31,9 @@ def exact_links(items: DataFrame, kind: str, digest: str) -> DataFrame:
 
 def pixel_differences(pairs: DataFrame, pixels: DataFrame, step: int = PIXEL_STEP) -> DataFrame:
     """(``i``, ``j``, ``mad``, ``share``): mean absolute difference and share of pixels that differ by more than ``step``. Pairs of unequal sizes are left out."""
-    x = pixels.select("item_id", "x")
+    # pixels of drawings in a pair only; repeated exports have equal values
+    asked = pairs.select(F.explode(F.array("i", "j")).alias("item_id")).distinct()
+    x = written(pixels.select("item_id", "x").join(asked, "item_id", "left_semi").dropDuplicates(["item_id"]), "paired")
     a, b = (x.select(F.col("item_id").alias(s), F.col("x").alias(f"_{s}")) for s in "ij")
     both = pairs.select("i", "j").join(a, "i").join(b, "j").where("size(_i) = size(_j)").select("i", "j", "_i", "_j")
 
@@ -51,20 +53,21 @@ def pixel_differences(pairs: DataFrame, pixels: DataFrame, step: int = PIXEL_STE
 
 def near_links(vectors: DataFrame, pixels: DataFrame, kind: str, least: float = NEAR) -> DataFrame:
     """(``i``, ``j``): pairs of one kind whose signatures (``item_id``, ``v``) correlate and whose pixels bear it out."""
-    seen = pixel_differences(similar_pairs(vectors, least, [kind]), pixels)
+    seen = pixel_differences(written(similar_pairs(vectors, least, [kind]), "pairs"), pixels)
     return seen.where((F.col("mad") <= MEAN_DIFFERENCE) & (F.col("share") <= PIXEL_SHARE)).select("i", "j")
 
 
 def grouped_manifest(rows: DataFrame, drawings: DataFrame, vectors: DataFrame, kind: str = "drawing_type", least: float = NEAR) -> DataFrame:
     """``rows`` (``item_id``, ``path``, ``split``, ``diagnosis``, ``name_number``, kind) with the groups their drawings form: ``group_id`` (the least item),
-    ``group_size``, ``group_conflict``, ``role`` and ``split_clean``. ``drawings`` holds ``item_id`` and ``x``, ``vectors`` ``item_id`` and ``v``.
+    ``group_size``, ``group_conflict``, ``role`` and ``split_clean``. ``drawings`` holds ``item_id`` and ``x``, ``vectors`` ``item_id`` and ``v`` and, where it is at hand, the ``digest`` of the drawing.
 
     Of exact copies only the first goes to the comparison of signatures, so copies cost a digest each. Rows without a drawing are left out.
     """
     kinds = rows.select("item_id", kind)
-    digests = written(drawings.select("item_id", content_digest().alias("digest")).join(kinds, "item_id"), "digests")
+    digests = vectors.select("item_id", "digest") if "digest" in vectors.columns else drawings.select("item_id", content_digest().alias("digest"))
+    digests = written(digests.join(kinds, "item_id"), "digests")
     exact = written(exact_links(digests, kind, "digest"), "exact")
-    alone = vectors.join(kinds, "item_id").join(exact.select(F.col("j").alias("item_id")), "item_id", "left_anti")
+    alone = vectors.select("item_id", "v").join(kinds, "item_id").join(exact.select(F.col("j").alias("item_id")), "item_id", "left_anti")
     edges = exact.unionByName(near_links(alone, drawings, kind, least))
     groups = graph.with_singletons(digests.select("item_id"), graph.components(edges), "item_id").withColumnRenamed("component", "group_id")
     out = group_rules(rows.join(groups, "item_id"))
@@ -78,10 +81,11 @@ def link_counts(digests: DataFrame, grouped: DataFrame, kind: str = "drawing_typ
     return g.join(F.broadcast(n)).select("n_files", "n_groups", "exact_links", (F.col("n_files") - F.col("n_groups") - F.col("exact_links")).alias("near_links"))  # single rows
 
 
-def split_matches(nodes: DataFrame, kind: str, held: str = "val", reference: str = "train") -> DataFrame:
-    """(``i``, ``j``, ``sim``): for each drawing (``item_id``, ``split``, ``v``) of the split ``held`` the most similar one of its kind in the split ``reference``."""
+def split_matches(nodes: DataFrame, kind: str, held: str = "val", reference: str = "train", least: float = -np.inf) -> DataFrame:
+    """(``i``, ``j``, ``sim``): for each drawing (``item_id``, ``split``, ``v``) of the split ``held`` the most similar one of its kind in the split ``reference``, if
+    it is as similar as ``least``."""
     side = nodes.where(F.col("split").isin(held, reference)).withColumn("_asks", F.col("split") == held)
-    return best_elsewhere(side, "_asks", [kind])
+    return best_elsewhere(side, "_asks", [kind], least=least)
 
 
 def cross_split_duplicates(items: DataFrame, kind: str, digest: str, bits: str, split: str = "split", most: int = 0, test: str = "test", train: str = "train") -> DataFrame:

@@ -1,34 +1,160 @@
-"""Similarity joins over small vectors: blocks of matrix products in Arrow batches.
+"""Similarity joins over small vectors: tiles of matrix products in Arrow batches.
 
-Vectors are cut into blocks by hash; each pair of blocks is a task. Both sides travel in the shuffle and nothing is
-broadcast, so the number of rows is bounded by the cluster's disks and not by an executor's memory. The work stays
-quadratic inside a part (a drawing type, a label): parts are what keeps it small.
+Vectors are packed to bytes and cut into blocks by hash; each pair of blocks is a task. Both sides travel in the shuffle and nothing is
+broadcast, so the number of rows is bounded by the cluster's disks and not by an executor's memory. Blocks grow with their part, so that
+a row is copied ``COPIES`` times at most until a block holds ``MOST`` rows. The work stays quadratic inside a part (a drawing type, a
+label): parts are what keeps it small. Products are made in single precision, and double precision decides; where only pairs above
+a threshold count, fewer products are made: the leading components of the vectors and the length of the rest bound the product from above.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from palimpsest.functions.images import dihedral_orders
+from palimpsest.functions.images import cosine_basis, dihedral_orders
 from palimpsest.operators.ranks import join_on
 
-BLOCK = 4_000
-
-
-def _paired_blocks(df: DataFrame, part: list[str], block: int) -> DataFrame:
+#: Rows of a block: at least, and at most where the caller names no size. Parts are cut into ``COPIES`` blocks in between.
+BLOCK, MOST, COPIES = 4_000, 64_000, 6
+#: Rows and columns of a tile of products, which stays in a processor's cache.
+TILE = 512, 2_048
+#: What products in single precision may be off, for vectors of unit length.
+SLACK = 2e-5
+
+
+def packed(v: np.ndarray) -> pa.Array:
+    """Rows as bytes: a byte that tells the kind, then the values. Whole numbers (one byte each where that is enough, else four) are levels that
+    are centred and scaled to unit length when they are read; doubles are read as they are."""
+    if v.dtype.kind == "f":
+        v = np.ascontiguousarray(v, np.float64)
+    else:
+        v = np.ascontiguousarray(v, np.uint8 if not v.size or (v.min() >= 0 and v.max() < 256) else np.int32)
+    rows = np.empty((len(v), 1 + v.shape[1] * v.itemsize), np.uint8)
+    rows[:, 0] = v.itemsize
+    rows[:, 1:] = v.view(np.uint8).reshape(len(v), -1)
+    ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    """The values of ``packed``: levels as they are where all rows have one kind, else doubles."""
+    cells = pa.concat_arrays([c for c in column.chunks if len(c)]) if column.num_chunks > 1 else column.chunk(0)
+    ends = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
+    raw = np.frombuffer(cells.buffers()[2], np.uint8)
+    kinds, long = raw[ends[:-1]], np.diff(ends)
+    of = {1: np.uint8, 4: np.int32, 8: np.float64}
+
+    def values(at: np.ndarray) -> np.ndarray:
+        width = int(long[at[0]])
+        whole = len(at) == len(kinds)
+        rows = raw[ends[0] : ends[-1]].reshape(-1, width) if whole else np.stack([raw[ends[i] : ends[i + 1]] for i in at])
+        return np.ascontiguousarray(rows[:, 1:]).view(of[int(kinds[at[0]])])
+
+    if (kinds == kinds[0]).all():
+        return values(np.arange(len(kinds)))
+    pieces = [(at, values(at)) for at in (np.flatnonzero(kinds == k) for k in np.unique(kinds))]
+    out = np.empty((len(kinds), pieces[0][1].shape[1]))
+    for at, v in pieces:
+        out[at] = units(v)
+    return out
+
+
+def units(v: np.ndarray) -> np.ndarray:
+    """Doubles; levels are centred and brought to unit length where there is anything to scale."""
+    if v.dtype.kind == "f":
+        return v
+    c = v - v.mean(axis=1, keepdims=True, dtype=np.float64)
+    norm = np.linalg.norm(c, axis=1, keepdims=True)
+    return c / np.where(norm > 1e-6, norm, 1)
+
+
+def _single(v: np.ndarray) -> np.ndarray:
+    return _by_pieces(v, lambda x: units(x).astype(np.float32))
+
+
+def _by_pieces(v: np.ndarray, make: Callable[[np.ndarray], np.ndarray], step: int = 4_096) -> np.ndarray:
+    """``make`` of all rows, a few at a time."""
+    first = make(v[:step])
+    out = np.empty((len(v), *first.shape[1:]), first.dtype)
+    out[:step] = first
+    for lo in range(step, len(v), step):
+        out[lo : lo + step] = make(v[lo : lo + step])
+    return out
+
+
+def _bytes_of(df: DataFrame) -> DataFrame:
+    """``df`` with ``v`` packed."""
+    if isinstance(df.schema["v"].dataType, BinaryType):
+        return df
+    rest = [c for c in df.columns if c != "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), packed(flat.reshape(batch.num_rows, -1))], names=[*rest, "v"])
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+    return df.select(*rest, "v").mapInArrow(run, f"{kinds}, v binary")
+
+
+def _paired_blocks(df: DataFrame, part: list[str], block: int | None) -> DataFrame:
     n = df.groupBy(*part).agg(F.count("*").alias("_n")) if part else df.agg(F.count("*").alias("_n"))
-    d = join_on(df, n, part)
-    d = d.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", F.pmod(F.xxhash64("item_id"), F.col("_blocks")).cast("int"))
+    d = join_on(_bytes_of(df), n, part)
+    size = F.lit(block) if block else F.greatest(F.lit(BLOCK), F.least(F.lit(MOST), F.ceil(F.col("_n") / COPIES)))
+    d = d.withColumn("_blocks", F.ceil(F.col("_n") / size).cast("int")).withColumn("_own", F.pmod(F.xxhash64("item_id"), F.col("_blocks")).cast("int"))
     d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return d.withColumn("_b1", F.least("_own", "_other")).withColumn("_b2", F.greatest("_own", "_other")).drop("_n", "_blocks", "_other")
 
 
-def _products(a: np.ndarray, b: np.ndarray, turns: bool) -> np.ndarray:
+class _Sides:
+    """The rows of a task in the order of their ids: ``ids``, ``v`` as packed, places of the rows of both blocks."""
+
+    def __init__(self, table: pa.Table):
+        order = np.argsort(table.column("item_id").to_numpy(), kind="stable")
+        self.table, self.order = table, order
+        self.ids, self.v = self.column("item_id").astype(np.int64), _unpacked(table.column("v"))[order]
+        own = self.column("_own")
+        b1, b2 = self.column("_b1")[0], self.column("_b2")[0]
+        self.same = b1 == b2
+        self.left, self.right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
+        # longest vector: what single precision is off grows with it
+        self.slack = SLACK if self.v.dtype.kind != "f" else SLACK * max(1.0, float(np.einsum("ij,ij->i", self.v, self.v).max(initial=0.0)))
+
+    def column(self, name: str) -> np.ndarray:
+        return self.table.column(name).to_numpy()[self.order]
+
+    def products(self, i: np.ndarray, j: np.ndarray, turns: bool = False) -> np.ndarray:
+        out = np.empty(len(i))
+        for lo in range(0, len(i), 4_096):
+            out[lo : lo + 4_096] = _row_products(units(self.v[i[lo : lo + 4_096]]), units(self.v[j[lo : lo + 4_096]]), turns)
+        return out
+
+
+def _joined(df: DataFrame, part: list[str], block: int | None, run: Callable[[_Sides], list[tuple]], schema: pa.Schema) -> DataFrame:
+    """What ``run`` finds in each pair of blocks of a part, as arrays in the order of the schema."""
+
+    def group(table: pa.Table) -> pa.Table:
+        got = [g for g in run(_Sides(table)) if len(g[0])]
+        return pa.table([pa.array(np.concatenate([g[k] for g in got]) if got else [], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    kinds = ", ".join(f"{f.name} {'double' if f.type == pa.float64() else 'int' if f.type == pa.int32() else 'long'}" for f in schema)
+    return _paired_blocks(df, part, block).groupBy(*part, "_b1", "_b2").applyInArrow(group, kinds)
+
+
+_PAIR = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("sim", pa.float64())])
+
+
+def _products(a: np.ndarray, b: np.ndarray, turns: bool, out: np.ndarray | None = None) -> np.ndarray:
     if not turns:
-        return a @ b.T
+        return np.matmul(a, b.T, out=out)
     side = int(round(a.shape[1] ** 0.5))
     best = None
     for order in dihedral_orders(side, side):
@@ -45,127 +171,285 @@ def _row_products(a: np.ndarray, b: np.ndarray, turns: bool) -> np.ndarray:
     return np.max([np.einsum("ij,ij->i", a, np.take(b, o, axis=1)) for o in dihedral_orders(side, side)], axis=0) if len(a) else np.zeros(0)
 
 
-def similar_pairs(df: DataFrame, least: float, part: list[str] | None = None, turns: bool = False, block: int = BLOCK) -> DataFrame:
+def _frequencies(v: np.ndarray) -> np.ndarray:
+    """Cosine frequencies (n, side, side) of square vectors. Turns swap the two frequencies or the signs of the odd ones."""
+    side = int(round(v.shape[1] ** 0.5))
+    c = cosine_basis(side)
+    return c @ v.reshape(-1, side, side) @ c.T
+
+
+def turn_free(f: np.ndarray) -> np.ndarray:
+    """Numbers of the frequencies ``f`` that no turn changes, of the same length as the vector. The product of two rows is at least the product
+    of the vectors in any orientation: what turns keep stays, what they give another sign loses it, what they mix becomes a length."""
+    out = []
+    for p in range(f.shape[1]):
+        for q in range(p, f.shape[1]):
+            a, b = f[:, p, q], f[:, q, p]
+            if p == q:
+                out.append(np.abs(a) if p % 2 else a)
+            elif p % 2 == q % 2:
+                x = (a + b) / np.float32(2**0.5)
+                out += [np.abs(x) if p % 2 else x, np.abs(a - b) / np.float32(2**0.5)]
+            else:
+                out.append(np.hypot(a, b))
+    return np.ascontiguousarray(np.stack(out, axis=1), np.float32)
+
+
+def _turned_best(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Largest product over the turns of each row of frequencies with the same row of the other: eight sums of products with signs."""
+    n, side = len(a), a.shape[1]
+    odd = np.arange(side) % 2
+    kind = (2 * odd[:, None] + odd).reshape(-1)
+    of = np.zeros((side * side, 4), np.float32)
+    of[np.arange(side * side), kind] = 1
+    signs = np.array([[1, y, x, x * y] for x in (1, -1) for y in (1, -1)], np.float32)
+    straight, swapped = (a * b).reshape(n, -1) @ of, (a * b.transpose(0, 2, 1)).reshape(n, -1) @ of
+    return np.maximum((straight @ signs.T).max(axis=1), (swapped @ signs.T).max(axis=1))
+
+
+def _bounds(x: np.ndarray, least: float, check: float) -> np.ndarray:
+    """Rows whose products are at least those of ``x``: the leading components and the length of the rest, as many of them as cost least.
+
+    ``check`` is what a pair that may reach ``least`` costs, in multiples of a product's component.
+    """
+    n, d = x.shape
+    rng = np.random.default_rng(7)
+    some = x[rng.choice(n, min(n, 4_000), replace=False)]
+    values, axes = np.linalg.eigh((some.T @ some).astype(np.float64))
+    axes = axes[:, ::-1].astype(np.float32)
+    whole = some @ axes
+    length = np.einsum("ij,ij->i", whole, whole)
+    best, cost = d, np.inf
+    for k in (k for k in (12, 16, 24, 32, 48, 64, 96, 128, 192) if k < d):
+        low = np.hstack([whole[:, :k], np.sqrt(np.maximum(length - np.einsum("ij,ij->i", whole[:, :k], whole[:, :k]), 0))[:, None]])
+        c = k + 8 + check * float((low[:200] @ low.T >= least).mean())
+        if c < cost:
+            best, cost = k, c
+    if cost > d + 8 + check * float((some[:200] @ some.T >= least).mean()):
+        return x
+    out = np.empty((n, best + 1), np.float32)
+    for lo in range(0, n, 4_096):
+        y = x[lo : lo + 4_096] @ axes
+        out[lo : lo + 4_096, :best] = y[:, :best]
+        out[lo : lo + 4_096, best] = np.sqrt(np.einsum("ij,ij->i", y[:, best:], y[:, best:]))
+    return out
+
+
+def _reaching(x: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of both sides with a product of ``least`` or more, tile by tile; of one and the same side i < j."""
+    a, b = np.ascontiguousarray(x[left]), np.ascontiguousarray(x[right])
+    hold = np.empty(TILE[0] * TILE[1], np.float32)
+    for lo in range(0, len(a), TILE[0]):
+        m = min(TILE[0], len(a) - lo)
+        for at in range(lo // TILE[1] * TILE[1] if same else 0, len(b), TILE[1]):
+            k = min(TILE[1], len(b) - at)
+            s = _products(a[lo : lo + m], b[at : at + k], False, hold[: m * k].reshape(m, k))
+            r, c = np.divmod(np.flatnonzero(s >= least), k)
+            if same:
+                later = lo + r < at + c
+                r, c = r[later], c[later]
+            if len(r):
+                yield left[lo + r], right[at + c]
+
+
+def similar_pairs(df: DataFrame, least: float, part: list[str] | None = None, turns: bool = False, block: int | None = None) -> DataFrame:
     """(``i``, ``j``, ``sim``), i < j: rows of (``item_id``, ``v``) with a product of ``least`` or more, over all turns if asked."""
     part = part or []
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("item_id")
-        ids, own = f["item_id"].to_numpy(np.int64), f["_own"].to_numpy()
-        v = np.stack(f["v"].to_numpy()).astype(np.float64)
-        b1, b2 = f["_b1"].iloc[0], f["_b2"].iloc[0]
-        left, right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
-        single = v.astype(np.float32)
-        # single precision finds what may reach the threshold, double precision decides
-        slack = 1e-5 * max(1.0, float((v * v).sum(axis=1).max(initial=0.0)))
+    def run(f: _Sides) -> list[tuple]:
+        least_single = least - f.slack
+        x = _by_pieces(f.v, lambda v: _frequencies(units(v).astype(np.float32))) if turns else _single(f.v)
+        bound = _bounds(_by_pieces(x, turn_free) if turns else x, least_single, 8_000 if turns else 3_000)
         out = []
-        for lo in range(0, len(left), 512):
-            rows = left[lo : lo + 512]
-            # within one block only the rows after this one: the products are symmetric
-            others = right[lo:] if b1 == b2 else right
-            r, c = np.divmod(np.flatnonzero(_products(single[rows], single[others], turns) >= least - slack), len(others))
-            i, j = ids[rows[r]], ids[others[c]]
-            keep = i < j if b1 == b2 else i != j
-            r, c, i, j = r[keep], c[keep], i[keep], j[keep]
-            s = _row_products(v[rows[r]], v[others[c]], turns)
-            good = s >= least
-            out.append(pd.DataFrame({"i": np.minimum(i, j)[good], "j": np.maximum(i, j)[good], "sim": s[good]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["i", "j", "sim"])
-
-    keys = [*part, "_b1", "_b2"]
-    return _paired_blocks(df.select("item_id", "v", *part), part, block).groupBy(*keys).applyInPandas(run, "i long, j long, sim double")
-
-
-def nearest_elsewhere(df: DataFrame, group: str, part: list[str] | None = None, turns: bool = False, block: int = BLOCK) -> DataFrame:
+        for i, j in _reaching(bound, f.left, f.right, f.same, least_single):
+            for lo in range(0, len(i), 4_096):
+                a, b = i[lo : lo + 4_096], j[lo : lo + 4_096]
+                near = (_turned_best(x[a], x[b]) if turns else np.einsum("ij,ij->i", x[a], x[b])) >= least_single
+                a, b = a[near], b[near]
+                s = f.products(a, b, turns)
+                good = (s >= least) & (f.ids[a] != f.ids[b])
+                p, q = f.ids[a[good]], f.ids[b[good]]
+                out.append((np.minimum(p, q), np.maximum(p, q), s[good]))
+        return out
+
+    return _joined(df.select("item_id", "v", *part), part, block, run, _PAIR)
+
+
+def _cuts(of: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``step`` rows with one value of ``of``, which is sorted."""
+    for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]))):
+        for at in range(lo, hi, step):
+            yield at, min(at + step, hi)
+
+
+class _Best:
+    """The greatest products of the rows of a side so far, for each class of the other side, and the pairs that may be them."""
+
+    def __init__(self, rows: int, classes: int, slack: float):
+        self.top = np.full((classes, rows), -np.inf, np.float32)
+        self.slack, self.found = slack, []
+
+    def see(self, s: np.ndarray, row0: int, col0: int, kind: int) -> None:
+        top = self.top[kind, row0 : row0 + len(s)]
+        here = s.max(axis=1)
+        np.maximum(top, here, out=top)
+        rows = np.flatnonzero((here >= top - self.slack) & (here > -np.inf))
+        if len(rows):
+            r, c = np.nonzero(s[rows] >= top[rows, None] - self.slack)
+            self.found.append((np.full(len(r), kind, np.int32), row0 + rows[r], col0 + c, s[rows[r], c]))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, row, column) of the pairs within the error of single precision of the greatest."""
+        if not self.found:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        kind, r, c, s = (np.concatenate(x) for x in zip(*self.found))
+        last = s >= self.top[kind, r] - self.slack
+        return kind[last], r[last], c[last]
+
+
+def _nearest(f: _Sides, left: np.ndarray, right: np.ndarray, group: np.ndarray | None, kind: np.ndarray, classes: int, turns: bool, both: bool, least: float = -np.inf) -> list[tuple]:
+    """[(rows, class, near rows, product)]: for each row of the left side (and, if ``both``, of the right side) the greatest product to each class ``kind`` among rows of
+    the other side and another group; of products equal to twelve digits the one with the least row. Each tile of products serves both sides.
+
+    Equal vectors of one class and group stand for the first of them, so that copies cost nothing.
+    """
+    code = np.unique(group, return_inverse=True)[1].reshape(-1) if group is not None else np.zeros(len(f.ids), np.int64)
+
+    def side(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First rows of equal vectors by class and group, and which of them stands for each row."""
+        raw = np.ascontiguousarray(f.v[rows]).view(np.uint8).reshape(len(rows), -1)
+        raw = np.hstack([kind[rows].astype(">i8").view(np.uint8).reshape(-1, 8), code[rows].astype(">i8").view(np.uint8).reshape(-1, 8), raw])
+        _, first, inverse = np.unique(np.ascontiguousarray(raw).view(f"V{raw.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
+        return rows[first], inverse.reshape(-1), rows
+
+    out = []
+    if not len(left) or not len(right):
+        return out
+    (a, a_of, a_rows), (b, b_of, b_rows) = side(left), side(right)
+    x, y = _single(f.v[a]), _single(f.v[b])
+    empty_a, empty_b = ~x.any(axis=1), ~y.any(axis=1)
+    if least > -np.inf and not turns:
+        raise_to = least - 1e-12 - f.slack
+        z = _bounds(np.concatenate([x, y]), raise_to, 3_000)
+        n = len(a)
+        got = [(i, j - n) for i, j in _reaching(z, np.arange(n), np.arange(n, n + len(b)), False, raise_to)]
+        i, j = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
+        other = code[a[i]] != code[b[j]] if group is not None else np.ones(len(i), bool)
+        tasks = [(a, a_of, a_rows, kind[b[j[other]]].astype(np.int32), i[other], b, j[other])]
+        if both:
+            tasks.append((b, b_of, b_rows, kind[a[i[other]]].astype(np.int32), j[other], a, i[other]))
+    else:
+        one, two = _Best(len(a), classes, f.slack), _Best(len(b), classes, f.slack)
+        hold = np.empty(TILE[0] * TILE[1], np.float32)
+        for lo, hi in _cuts(kind[a], TILE[0]):
+            for at, to in _cuts(kind[b], TILE[1]):
+                ga, gb = code[a[lo:hi]], code[b[at:to]]
+                if group is not None and ga[0] == ga[-1] == gb[0] == gb[-1]:
+                    continue
+                s = _products(x[lo:hi], y[at:to], turns, hold[: (hi - lo) * (to - at)].reshape(hi - lo, to - at))
+                if group is not None and ga[0] <= gb[-1] and gb[0] <= ga[-1]:
+                    s[ga[:, None] == gb[None]] = -np.inf
+                # rows without any value have the same product with all and are looked after below
+                none_a, none_b = empty_a[lo:hi], empty_b[at:to]
+                one.see(np.where(none_a[:, None], -np.inf, s) if none_a.any() else s, lo, at, int(kind[b[at]]))
+                if both:
+                    two.see(np.where(none_b[:, None], -np.inf, s.T) if none_b.any() else s.T, at, lo, int(kind[a[lo]]))
+        ka, ra, ca = one.pairs()
+        tasks = [(a, a_of, a_rows, *_with_empty(ka, ra, ca, empty_a, a, b, kind, code, group is not None, classes))]
+        tasks[0] = (*tasks[0][:5], b, tasks[0][5])
+        if both:
+            kb, rb, cb = two.pairs()
+            got = _with_empty(kb, rb, cb, empty_b, b, a, kind, code, group is not None, classes)
+            tasks.append((b, b_of, b_rows, got[0], got[1], a, got[2]))
+    for own, of, rows, k, r, others, c in tasks:
+        if not len(r):
+            continue
+        s = np.round(f.products(own[r], others[c], turns), 12)
+        order = np.lexsort((others[c], -s, k, r))
+        r, k, c, s = r[order], k[order], c[order], s[order]
+        first = np.concatenate([[True], (np.diff(r) != 0) | (np.diff(k) != 0)])
+        r, k, c, s = r[first], k[first], c[first], s[first]
+        # every row that the first of its equals stands for
+        members = np.argsort(of, kind="stable")
+        start = np.searchsorted(of[members], np.arange(len(own) + 1))
+        count = start[r + 1] - start[r]
+        at = np.repeat(np.arange(len(r)), count)
+        member = rows[members[start[r][at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)]]
+        out.append((member, k[at], others[c][at], s[at]))
+    return out
+
+
+def _with_empty(k: np.ndarray, r: np.ndarray, c: np.ndarray, empty: np.ndarray, own: np.ndarray, others: np.ndarray, kind: np.ndarray, code: np.ndarray, grouped: bool, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adds for rows without any value, whose products are all zero, the least row of each class and another group."""
+    add = []
+    for g in np.unique(code[own[empty]]) if empty.any() else []:
+        mine = np.flatnonzero(empty & (code[own] == g))
+        for value in range(classes):
+            at = np.flatnonzero((kind[others] == value) & ((code[others] != g) | (not grouped)))
+            if len(at):
+                add.append((np.full(len(mine), value, np.int32), mine, np.full(len(mine), at[others[at].argmin()])))
+    if not add:
+        return k, r, c
+    return tuple(np.concatenate([x, *more]) for x, more in zip((k, r, c), zip(*add)))
+
+
+def _best_of_blocks(found: DataFrame) -> DataFrame:
+    return found.groupBy("i").agg(F.max_by(F.struct("j", "sim"), F.struct("sim", -F.col("j"))).alias("m")).select("i", "m.j", "m.sim")
+
+
+def nearest_elsewhere(df: DataFrame, group: str, part: list[str] | None = None, turns: bool = False, block: int | None = None) -> DataFrame:
     """(``i``, ``j``, ``sim``): for each row the most similar row of another group; ties go to the least id.
 
     Rows whose part holds one group only have no neighbour and do not occur.
     """
     part = part or []
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("item_id")
-        ids, own, g = f["item_id"].to_numpy(np.int64), f["_own"].to_numpy(), pd.factorize(f[group])[0]
-        v = np.stack(f["v"].to_numpy()).astype(np.float64)
-        b1, b2 = f["_b1"].iloc[0], f["_b2"].iloc[0]
-        sides = [(b1, b2)] if b1 == b2 else [(b1, b2), (b2, b1)]
-        out = []
-        for x, y in sides:
-            left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-            if not len(right):
-                continue
-            for lo in range(0, len(left), 1024):
-                rows = left[lo : lo + 1024]
-                s = np.round(_products(v[rows], v[right], turns), 12)
-                s[g[rows][:, None] == g[right][None]] = -np.inf
-                c = s.argmax(axis=1)
-                best = s[np.arange(len(rows)), c]
-                ok = best > -np.inf
-                out.append(pd.DataFrame({"i": ids[rows][ok], "j": ids[right[c]][ok], "sim": best[ok]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["i", "j", "sim"])
-
-    keys = [*part, "_b1", "_b2"]
-    best = _paired_blocks(df.select("item_id", "v", group, *[p for p in part if p != group]), part, block).groupBy(*keys).applyInPandas(run, "i long, j long, sim double")
-    return best.groupBy("i").agg(F.max_by(F.struct("j", "sim"), F.struct("sim", -F.col("j"))).alias("m")).select("i", "m.j", "m.sim")
-
-
-def best_elsewhere(df: DataFrame, asks: str, part: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    def run(f: _Sides) -> list[tuple]:
+        g = pd.factorize(f.column(group))[0]
+        got = _nearest(f, f.left, f.right, g, np.zeros(len(g), np.int64), 1, turns, not f.same)
+        return [(f.ids[i], f.ids[j], s) for i, _, j, s in got]
+
+    return _best_of_blocks(_joined(df.select("item_id", "v", group, *[p for p in part if p != group]), part, block, run, _PAIR))
+
+
+def best_elsewhere(df: DataFrame, asks: str, part: list[str] | None = None, block: int | None = None, least: float = -np.inf) -> DataFrame:
     """(``i``, ``j``, ``sim``): for each row that asks (a boolean column) the most similar row that does not; ties go to the least id.
 
-    Only products of asking with other rows are made. Askers whose part holds no other row do not occur.
+    Only products of asking with other rows are made. Askers whose part holds no other row do not occur, nor do those whose best is below ``least``.
     """
     part = part or []
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("item_id")
-        ids, own, q = f["item_id"].to_numpy(np.int64), f["_own"].to_numpy(), f[asks].to_numpy(bool)
-        v = np.stack(f["v"].to_numpy()).astype(np.float64)
-        b1, b2 = f["_b1"].iloc[0], f["_b2"].iloc[0]
-        out = [pd.DataFrame({"i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "sim": pd.Series(dtype=float)})]
-        for x, y in [(b1, b2)] if b1 == b2 else [(b1, b2), (b2, b1)]:
-            left, right = np.flatnonzero((own == x) & q), np.flatnonzero((own == y) & ~q)
-            for lo in range(0, len(left) if len(right) else 0, 1024):
-                rows = left[lo : lo + 1024]
-                s = np.round(v[rows] @ v[right].T, 12)
-                c = s.argmax(axis=1)
-                out.append(pd.DataFrame({"i": ids[rows], "j": ids[right[c]], "sim": s[np.arange(len(rows)), c]}))
-        return pd.concat(out)
-
-    best = _paired_blocks(df.select("item_id", "v", asks, *part), part, block).groupBy(*part, "_b1", "_b2").applyInPandas(run, "i long, j long, sim double")
-    return best.groupBy("i").agg(F.max_by(F.struct("j", "sim"), F.struct("sim", -F.col("j"))).alias("m")).select("i", "m.j", "m.sim")
-
-
-def class_maxima(df: DataFrame, group: str, label: str, block: int = BLOCK, part: list[str] | None = None) -> DataFrame:
+    def run(f: _Sides) -> list[tuple]:
+        q, none = f.column(asks).astype(bool), np.zeros(len(f.ids), np.int64)
+        got = []
+        for x, y in [(f.left, f.right)] if f.same else [(f.left, f.right), (f.right, f.left)]:
+            got += _nearest(f, x[q[x]], y[~q[y]], None, none, 1, False, False, least)
+        return [(f.ids[i], f.ids[j], s) for i, _, j, s in got]
+
+    best = _best_of_blocks(_joined(df.select("item_id", "v", asks, *part), part, block, run, _PAIR))
+    return best.where(F.col("sim") >= least) if least > -np.inf else best
+
+
+def class_maxima(df: DataFrame, group: str, label: str, block: int | None = None, part: list[str] | None = None) -> DataFrame:
     """(``i``, ``label``, ``sim``): for each row the greatest similarity to each label among rows of other groups."""
     labelled = nearest_by_label(df, group, label, block, part or [])
     return labelled.groupBy("i", "label").agg(F.max("sim").alias("sim"))
 
 
-def nearest_by_label(df: DataFrame, group: str, label: str, block: int, part: list[str]) -> DataFrame:
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        ids, own, g, y = f["item_id"].to_numpy(np.int64), f["_own"].to_numpy(), pd.factorize(f[group])[0], f[label].to_numpy()
-        v = np.stack(f["v"].to_numpy()).astype(np.float64)
-        b1, b2 = f["_b1"].iloc[0], f["_b2"].iloc[0]
-        out = []
-        for a, b in [(b1, b2)] if b1 == b2 else [(b1, b2), (b2, b1)]:
-            left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
-            if not len(left) or not len(right):
-                continue
-            s = v[left] @ v[right].T
-            s[g[left][:, None] == g[right][None]] = -np.inf
-            for value in (0, 1):
-                of = y[right] == value
-                if of.any():
-                    best = s[:, of].max(axis=1)
-                    ok = best > -np.inf
-                    out.append(pd.DataFrame({"i": ids[left][ok], "label": value, "sim": best[ok]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["i", "label", "sim"])
+def nearest_by_label(df: DataFrame, group: str, label: str, block: int | None, part: list[str]) -> DataFrame:
+    def run(f: _Sides) -> list[tuple]:
+        g, y = pd.factorize(f.column(group))[0], f.column(label).astype(np.float64)
+        # rows without one of the labels are asked for theirs, and are nobody's neighbour
+        kind = np.where(y == 1, 1, np.where(y == 0, 0, 2))
+        got = _nearest(f, f.left, f.right, g, kind, 3, False, not f.same)
+        return [(f.ids[i][k < 2], k[k < 2], s[k < 2]) for i, k, _, s in got]
 
     cols = list(dict.fromkeys(["item_id", "v", group, label, *part]))
-    return _paired_blocks(df.select(*cols), part, block).groupBy(*part, "_b1", "_b2").applyInPandas(run, "i long, label int, sim double")
+    schema = pa.schema([("i", pa.int64()), ("label", pa.int32()), ("sim", pa.float64())])
+    return _joined(df.select(*cols), part, block, run, schema)
 
 
-def knn_scores(df: DataFrame, group: str, label: str, block: int = BLOCK) -> DataFrame:
+def knn_scores(df: DataFrame, group: str, label: str, block: int | None = None) -> DataFrame:
     """1-NN scores of (``item_id``, ``v``) against the rows of other groups: best positive less best negative."""
     m = class_maxima(df, group, label, block)
     w = m.groupBy("i").agg(F.max(F.when(F.col("label") == 1, F.col("sim"))).alias("_p"), F.max(F.when(F.col("label") == 0, F.col("sim"))).alias("_n"))

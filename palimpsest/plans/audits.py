@@ -22,9 +22,10 @@ def _cache(s, d):
 
 
 def _thumbs(s, d, name="binary", size=16):
-    """Unit thumbnails of the (binarised) drawings: what copies are looked for in."""
-    v = images.transformed(images.whole(_cache(s, d)), lambda x: kernels.thumbnails(kernels.ablated(x.clip(0, 255).astype("uint8"), name), size), out_type="double").select("item_id", F.col("x").alias("v"))
-    return v.join(_cache(s, d).dropDuplicates(["item_id"]).select("item_id", "drawing_type", "name_number", (F.col("diagnosis") == "parkinson").cast("int").alias("y")), "item_id")
+    """Thumbnails of the (binarised) drawings, packed: what copies are looked for in."""
+    # sums of the lit pixels: the same after scaling, and small numbers
+    v = images.levels(_cache(s, d), lambda x: kernels.block_sums(kernels.ablated(x.clip(0, 255).astype("uint8"), name) // np.uint8(255 if name.startswith("binary") else 1), size), ["drawing_type", "name_number", "diagnosis"])
+    return v.select("item_id", "v", "drawing_type", "name_number", (F.col("diagnosis") == "parkinson").cast("int").alias("y"))
 
 
 def twin_audit(s, d):
@@ -121,11 +122,11 @@ def _listed(s, d):
     return m.groupBy("item_id").agg(*least)
 
 
-def _signed(s, d):
-    """Whole drawings and their signatures of 16 x 16 (the cached drawings are smaller than the 48 x 48 of full images)."""
-    drawings = images.whole(t(s, d, "cnn_cache_128"))
-    v = images.transformed(drawings, lambda x: kernels.signatures(images.ink_to_gray(x), 16), out_type="double").select("item_id", F.col("x").alias("v"))
-    return drawings.select("item_id", "x"), written(v, "signatures")
+def _signed(s, d, digests=True):
+    """Complete drawings, and their digests (if asked) and packed signatures of 16 x 16 (the cached drawings are smaller than the 48 x 48 of full images)."""
+    cache = t(s, d, "cnn_cache_128")
+    v = images.levels(cache.withColumn("digest", duplicates.content_digest()) if digests else cache, lambda x: kernels.darkness(images.ink_to_gray(x), 16), ["digest"] if digests else [])
+    return images.complete(cache).select("item_id", "x"), written(v, "signatures")
 
 
 def built_manifest(s, d):
@@ -137,20 +138,20 @@ def built_manifest(s, d):
 def built_links(s, d):
     drawings, v = _signed(s, d)
     rows = written(_listed(s, d), "listed")
-    digests = drawings.select("item_id", duplicates.content_digest().alias("digest")).join(rows.select("item_id", "drawing_type"), "item_id")
+    digests = v.select("item_id", "digest").join(rows.select("item_id", "drawing_type"), "item_id")
     return duplicates.link_counts(digests, duplicates.grouped_manifest(rows, drawings, v))
 
 
 def _matches(s, d):
     rows = written(_listed(s, d), "listed")
-    nodes = _signed(s, d)[1].join(rows.select("item_id", "split", "drawing_type"), "item_id")
+    nodes = _signed(s, d, digests=False)[1].join(rows.select("item_id", "split", "drawing_type"), "item_id")
     return rows, written(nodes, "nodes")
 
 
 def split_matches(s, d):
     """The best training match of every validation drawing of its type, those of 0.98 or more, the 1,000 best first."""
     rows, nodes = _matches(s, d)
-    best = duplicates.split_matches(nodes, "drawing_type").where("sim >= 0.98")
+    best = duplicates.split_matches(nodes, "drawing_type", least=0.98)
     own = lambda k, n: rows.select(F.col("item_id").alias(k), F.col("path").alias(f"{n}_path"), F.col("class_name").alias(f"{n}_label"))
     top = best.join(own("i", "val"), "i").join(own("j", "train"), "j").orderBy(F.desc("sim"), "i", "j").limit(1000)
     return top.select(F.round("sim", 4).alias("correlation"), "val_path", "train_path", "val_label", "train_label")
