@@ -249,7 +249,8 @@ def group_holdout_auc(s, d):
     """Terciles of the background as hold-out groups, 1-NN on thumbnails against the other groups."""
     cache = t(s, d, "cnn_cache_128")
     b = folds.tercile_groups(images.background_table(cache, ["item_id", "diagnosis", "drawing_type"]).where("diagnosis is not null and drawing_type is not null"), "frame_mean", ["drawing_type"])
-    v = images.thumbnail_table(cache, 8).join(b.select("item_id", "drawing_type", F.col("tercile").alias("grp"), (F.col("diagnosis") == "parkinson").cast("int").alias("y")), "item_id")
+    v = images.levels(cache, lambda x: images.kernels.block_sums(x, 8)).join(b.select("item_id", "drawing_type", F.col("tercile").alias("grp"), (F.col("diagnosis") == "parkinson").cast("int").alias("y")), "item_id")
+    v = written(v, "thumbs")
     near = similarity.class_maxima(v, "grp", "y", part=["drawing_type"])
     best = lambda y: F.max(F.when(F.col("label") == y, F.col("sim")))
     score = near.groupBy("i").agg(F.round(best(1) - best(0), 8).alias("score"))
