@@ -85,3 +85,23 @@ def test_rows_of_several_widths_unpack_alike():
     small, large = np.array([[1, 2, 3, 250]]), np.array([[1, 2, 3, 1000]])
     both = pa.chunked_array([similarity.packed(small), similarity.packed(large)])
     assert np.allclose(similarity._unpacked(both), similarity.units(np.vstack([small, large])))
+
+
+def test_blocks_are_sent_and_written_once(spark):
+    """Whatever the number of blocks, a vector goes through the shuffle once; what is found does not depend on them."""
+    df = spark.range(3_000).select(F.col("id").alias("item_id"), F.unhex(F.lit("0101")).alias("v"), (F.col("id") % 3).alias("kind"))
+    for block in (100, 1_000):
+        sent = similarity._paired_blocks(df, ["kind"], block)
+        assert sent.count() == 3_000 and sent.select("_file").distinct().count() == (30 if block == 100 else 1)
+
+
+def test_parts_of_every_size_and_without_a_name(spark):
+    """A large part in several blocks, small ones that share a file, and one whose name is null."""
+    x = drawings()
+    u = similarity.units(x)
+    s = u @ u.T
+    kind = [0] * 60 + [None if i % 4 == 0 else i % 4 for i in range(30)]
+    df = levels(spark, x).join(spark.createDataFrame(list(enumerate(kind)), "item_id long, kind int"), "item_id")
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if s[i, j] >= 0.2 and kind[i] == kind[j]}
+    got = [(r.i, r.j) for r in similarity.similar_pairs(df, 0.2, ["kind"], block=20).collect()]
+    assert len(got) == len(want) and set(got) == want
