@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from palimpsest.operators import bootstrap, folds, metrics, models, ranks
 
@@ -157,6 +160,19 @@ def test_bootstrap_weights_average_to_one_and_repeats_are_averaged(spark):
     assert got["auc"] == pytest.approx(0.5) and got["sensitivity"] == pytest.approx(0.5) and got["accuracy"] == pytest.approx(0.5)
 
 
+def test_repeats_share_the_weights_of_a_piece(spark):
+    """Rows of all repeats meet where the weights of their items are made; each repeat still has its own ranks."""
+    rng = np.random.default_rng(5)
+    y, scores = np.tile([0, 1], 30), np.round(rng.random((3, 60)), 2)
+    each = [frame(spark, y.tolist(), s.tolist(), (s > 0.5).astype(int).tolist()).withColumn("rep", F.lit(k)) for k, s in enumerate(scores)]
+    table = bootstrap.bootstrap_metrics(each[0].unionByName(each[1]).unionByName(each[2]), ["g"], "item_id", 40, 0, True, "rep", piece=20)
+    keys = re.search(r"FlatMapGroupsInPandas \[([^\]]*)\], counts\(", table._jdf.queryExecution().analyzed().toString()).group(1)
+    assert "_piece" in keys and "_rep" not in keys
+    got = {r.metric: r for r in table.collect()}
+    alone = [{r.metric: r.value for r in bootstrap.bootstrap_metrics(d, ["g"], "item_id", 40, 0, True).collect()} for d in each]
+    assert all(abs(got[m].value - np.mean([a[m] for a in alone])) < 1e-12 and got[m].lo <= got[m].value <= got[m].hi for m in bootstrap.METRICS)
+
+
 def test_bootstrap_of_one_class_has_no_interval(spark):
     got = {r.metric: r for r in bootstrap.bootstrap_metrics(frame(spark, [1, 1, 1], [0.1, 0.2, 0.3], [1, 0, 1]), ["g"], "item_id", 10).collect()}
     assert got["auc"].value is None and got["auc"].lo is None and got["auc"].n_draws == 0 and got["sensitivity"].value == pytest.approx(2 / 3)
