@@ -314,6 +314,128 @@ def similar_pairs(df: DataFrame, least: float, part: list[str] | None = None, tu
     return _joined(df.select("item_id", "v", *part), part, block, run, _PAIR)
 
 
+#: Pairs a task holds before it cuts them to a spanning forest; a parameter of memory, not of the result.
+PAIRS_HELD = 200_000
+#: A link has n = 0; a count has a row of the part as ``i`` and ``j``, and the step as ``sim``.
+_FOUND = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("sim", pa.float64()), ("n", pa.int64())])
+
+
+class _Forest:
+    """Counts of weighted pairs at each step, and a maximum spanning forest of the pairs: at every step it joins what the pairs join."""
+
+    def __init__(self, steps: list[float]):
+        self.steps, self.counts, self.held, self.size = sorted(steps), np.zeros(len(steps), np.int64), [], 0
+
+    def count(self, s: np.ndarray, weight: np.ndarray) -> None:
+        """``weight``: how many pairs of rows such a pair stands for."""
+        self.counts += np.array([weight[s >= x].sum() for x in self.steps], np.int64)
+
+    def link(self, i: np.ndarray, j: np.ndarray, s: np.ndarray) -> None:
+        self.held.append((i, j, s))
+        self.size += len(i)
+        if self.size > PAIRS_HELD:
+            self.held = [self.links()]
+            # what is left is no more than the rows; twice that is held before the next cut
+            self.size = -len(self.held[0][0])
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        i, j, s = (np.concatenate(x) for x in zip(*self.held))
+        order = np.argsort(-s, kind="stable")
+        up: dict[int, int] = {}
+        keep = []
+        for k, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist()):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            while up.setdefault(y, y) != y:
+                up[y] = y = up[up[y]]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                keep.append(k)
+        return i[keep], j[keep], s[keep]
+
+
+def _equal_rows(f: _Sides, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each set of equal vectors, number in ``rows`` of the first that stands for each of ``rows``). Vectors that are not scaled when they are read stand for themselves."""
+    if f.v.dtype.kind == "f" or not len(rows):
+        return rows, np.arange(len(rows))
+    raw = np.ascontiguousarray(f.v[rows]).view(np.uint8).reshape(len(rows), -1)
+    _, first, of = np.unique(raw.view(f"V{raw.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
+    return rows[first], of.reshape(-1)
+
+
+def _counted(f: _Sides, left: np.ndarray, right: np.ndarray, steps: list[float], turns: bool) -> _Forest:
+    """The pairs of both sides (of a side with itself where these are the same block) at the least step or above. Equal vectors are compared once."""
+    forest, least = _Forest(steps), min(steps)
+    low = least - f.slack
+    a, a_of = _equal_rows(f, left)
+    b, b_of = (a, a_of) if f.same else _equal_rows(f, right)
+    na, nb = np.bincount(a_of, minlength=len(a)), np.bincount(b_of, minlength=len(b))
+    if not len(a) or not len(b):
+        return forest
+    rows, many = (a, na) if f.same else (np.concatenate([a, b]), np.concatenate([na, nb]))
+    v = f.v[rows]
+    x = _by_pieces(v, lambda y: _frequencies(units(y).astype(np.float32))) if turns else _single(v)
+    bound = _bounds(_by_pieces(x, turn_free) if turns else x, low, 8_000 if turns else 3_000)
+    at_b = np.arange(len(a)) if f.same else np.arange(len(a), len(rows))
+    for i, j in _reaching(bound, np.arange(len(a)), at_b, f.same, low):
+        for lo in range(0, len(i), 4_096):
+            p, q = i[lo : lo + 4_096], j[lo : lo + 4_096]
+            near = (_turned_best(x[p], x[q]) if turns else np.einsum("ij,ij->i", x[p], x[q])) >= low
+            p, q = p[near], q[near]
+            s = f.products(rows[p], rows[q], turns)
+            good = (s >= least) & (f.ids[rows[p]] != f.ids[rows[q]])
+            p, q = p[good], q[good]
+            forest.count(s[good], many[p] * many[q])
+            forest.link(f.ids[rows[p]], f.ids[rows[q]], s[good])
+    if f.same:
+        # equal vectors among themselves
+        s = f.products(a, a, turns)
+        p = np.flatnonzero((na > 1) & (s >= least))
+        forest.count(s[p], na[p] * (na[p] - 1) // 2)
+        other = np.flatnonzero((left != a[a_of]) & (s[a_of] >= least))
+        forest.link(f.ids[a[a_of[other]]], f.ids[left[other]], s[a_of[other]])
+    return forest
+
+
+def _reported(f: _Sides, forest: _Forest, links: bool) -> list[tuple]:
+    out = []
+    if links:
+        i, j, s = forest.links()
+        out.append((np.minimum(i, j), np.maximum(i, j), s, np.zeros(len(i), np.int64)))
+    some = forest.counts > 0
+    own = np.full(int(some.sum()), f.ids[0])
+    return [*out, (own, own, np.array(forest.steps)[some], forest.counts[some])]
+
+
+def counted_links(df: DataFrame, steps: list[float], part: list[str] | None = None, turns: bool = False, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs of rows (``item_id``, ``v``; each id once) with a product of the least of ``steps`` or more, over all turns if asked: links (``i``, ``j``, ``sim``) that
+    join at every step what the pairs of that product or more join, and counts (``i``, ``step``, ``n``), to be summed: how many pairs reach it in the part of the row ``i``.
+
+    No list of pairs is made: a task gives no more links than it has rows. Equal vectors are compared once for all of them.
+    """
+    part = part or []
+    found = written(_joined(df.select("item_id", "v", *part), part, block, lambda f: _reported(f, _counted(f, f.left, f.right, steps, turns), True), _FOUND), "links")
+    return found.where("n = 0").select("i", "j", "sim"), found.where("n > 0").select("i", F.col("sim").alias("step"), "n")
+
+
+def best_and_counted(df: DataFrame, asks: str, least: float, part: list[str] | None = None, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``best_elsewhere``, and the counts (``i``, ``step``, ``n``) of ``counted_links`` among the rows that do not ask; both from the same blocks."""
+    part = part or []
+
+    def run(f: _Sides) -> list[tuple]:
+        q, none = f.column(asks).astype(bool), np.zeros(len(f.ids), np.int64)
+        got = []
+        for x, y in [(f.left, f.right)] if f.same else [(f.left, f.right), (f.right, f.left)]:
+            got += _nearest(f, x[q[x]], y[~q[y]], None, none, 1, False, False)
+        best = [(f.ids[i], f.ids[j], s, np.zeros(len(i), np.int64)) for i, _, j, s in got]
+        return best + _reported(f, _counted(f, f.left[~q[f.left]], f.right[~q[f.right]], [least], False), False)
+
+    found = written(_joined(df.select("item_id", "v", asks, *part), part, block, run, _FOUND), "found")
+    return _best_of_blocks(found.where("n = 0").select("i", "j", "sim")), found.where("n > 0").select("i", F.col("sim").alias("step"), "n")
+
+
 def _cuts(of: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
     """Ranges of at most ``step`` rows with one value of ``of``, which is sorted."""
     for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]))):

@@ -31,12 +31,13 @@ def _thumbs(s, d, name="binary", size=16):
 def twin_audit(s, d):
     """For each drawing type and threshold: share of drawings in a copy cluster, clusters, the largest, label-pure share, pairs."""
     nodes = written(_thumbs(s, d), "thumbs")
-    edges = written(similarity.similar_pairs(nodes, TWIN_STEPS[0], ["drawing_type"], turns=True), "edges")
+    edges, counts = similarity.counted_links(nodes, list(TWIN_STEPS), ["drawing_type"], turns=True)
+    counts = written(counts.join(nodes.select(F.col("item_id").alias("i"), "drawing_type"), "i").groupBy("drawing_type", "step").agg(F.sum("n").alias("n_pairs")), "counts")
     out = None
     for tau in TWIN_STEPS:
         e = edges.where(F.col("sim") >= tau)
         m = graph.with_singletons(nodes.select("item_id", "drawing_type", "y"), graph.components(e), "item_id")
-        n = e.join(nodes.select(F.col("item_id").alias("i"), "drawing_type"), "i").groupBy("drawing_type").agg(F.count("*").alias("n_pairs"))
+        n = counts.where(F.col("step") == tau).select("drawing_type", "n_pairs")
         g = m.groupBy("drawing_type", "component").agg(F.count("*").alias("n"), F.countDistinct("y").alias("k"))
         multi = F.col("n") > 1
         row = g.groupBy("drawing_type").agg(

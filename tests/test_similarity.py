@@ -105,3 +105,42 @@ def test_parts_of_every_size_and_without_a_name(spark):
     want = {(i, j) for i in range(90) for j in range(i + 1, 90) if s[i, j] >= 0.2 and kind[i] == kind[j]}
     got = [(r.i, r.j) for r in similarity.similar_pairs(df, 0.2, ["kind"], block=20).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_links_and_counts_stand_for_all_pairs(spark, monkeypatch):
+    """At every step the links join what the pairs join and the counts are theirs, whatever the blocks and the pairs held; a task gives fewer links than it has rows."""
+    monkeypatch.setattr(similarity, "PAIRS_HELD", 20)
+    x = np.concatenate([drawings(), np.repeat(drawings()[12:14], 40, axis=0)])
+    n = len(x)
+    u = similarity.units(x)
+    steps = [0.2, 0.8, 0.95]
+
+    def joined(pairs):
+        of = list(range(n))
+        for i, j in pairs:
+            a, b = of[i], of[j]
+            of = [min(a, b) if k in (a, b) else k for k in of]
+        return of
+
+    for turns in (False, True):
+        s = np.max([u @ u[:, o].T for o in (dihedral_orders(16, 16) if turns else [np.arange(256)])], axis=0)
+        for block in (45, None):
+            links, counts = similarity.counted_links(levels(spark, x), steps, turns=turns, block=block)
+            links = links.collect()
+            got = {r.step: r.n for r in counts.groupBy("step").agg(F.sum("n").alias("n")).collect()}
+            for step in steps:
+                want = [(i, j) for i in range(n) for j in range(i + 1, n) if s[i, j] >= step]
+                assert got.get(step, 0) == len(want) and joined((r.i, r.j) for r in links if r.sim >= step) == joined(want)
+            assert len(links) < (n if block is None else 12 * n) and all(r.i < r.j and abs(r.sim - s[r.i, r.j]) < 1e-12 for r in links)
+
+
+def test_matches_and_pairs_from_the_same_blocks(spark):
+    x = drawings()
+    u = similarity.units(x)
+    s = u @ u.T
+    df = levels(spark, x, q=lambda i: int(i % 4 == 0)).withColumn("q", F.col("q") == 1)
+    want = sum(s[i, j] >= 0.8 for i in range(90) for j in range(i + 1, 90) if i % 4 and j % 4)
+    for block in (25, None):
+        best, inside = similarity.best_and_counted(df, "q", 0.8, block=block)
+        assert sorted(map(tuple, best.collect())) == sorted(map(tuple, similarity.best_elsewhere(df, "q", block=block).collect()))
+        assert inside.agg(F.sum("n")).first()[0] == want > 0
