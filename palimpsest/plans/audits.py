@@ -123,11 +123,15 @@ def _listed(s, d):
     return m.groupBy("item_id").agg(*least)
 
 
-def _signed(s, d, digests=True):
-    """Complete drawings, and their digests (if asked) and packed signatures of 16 x 16 (the cached drawings are smaller than the 48 x 48 of full images)."""
+def _signatures(s, d, digests=True):
+    """Digests (if asked) and packed signatures of 16 x 16 (the cached drawings are smaller than the 48 x 48 of full images)."""
     cache = t(s, d, "cnn_cache_128")
-    v = images.levels(cache.withColumn("digest", duplicates.content_digest()) if digests else cache, lambda x: kernels.darkness(images.ink_to_gray(x), 16), ["digest"] if digests else [])
-    return images.complete(cache).select("item_id", "x"), written(v, "signatures")
+    return images.levels(cache.withColumn("digest", duplicates.content_digest()) if digests else cache, lambda x: kernels.darkness(images.ink_to_gray(x), 16), ["digest"] if digests else [])
+
+
+def _signed(s, d):
+    """Complete drawings, and their digests and signatures."""
+    return images.complete(t(s, d, "cnn_cache_128")).select("item_id", "x"), written(_signatures(s, d), "signatures")
 
 
 def built_manifest(s, d):
@@ -145,7 +149,8 @@ def built_links(s, d):
 
 def _matches(s, d):
     rows = written(_listed(s, d), "listed")
-    nodes = _signed(s, d, digests=False)[1].join(rows.select("item_id", "split", "drawing_type"), "item_id")
+    # joined where the signatures lie after their repeats are set aside: they go through one shuffle for both
+    nodes = _signatures(s, d, digests=False).join(rows.where("split in ('val', 'train')").select("item_id", "split", "drawing_type"), "item_id")
     return rows, written(nodes, "nodes")
 
 
