@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import graph
 from palimpsest.operators.audit import group_rules
-from palimpsest.operators.similarity import best_elsewhere, hamming_pairs, similar_pairs
+from palimpsest.operators.similarity import best_and_counted, best_elsewhere, hamming_pairs, similar_pairs
 from palimpsest.session import written
 
 #: Least correlation of two signatures, most mean difference, what counts as a different pixel and the most of them.
@@ -88,6 +88,12 @@ def split_matches(nodes: DataFrame, kind: str, held: str = "val", reference: str
     return best_elsewhere(side, "_asks", [kind], least=least)
 
 
+def matches_and_pairs(nodes: DataFrame, kind: str, least: float, held: str = "val", reference: str = "train") -> tuple[DataFrame, DataFrame]:
+    """``split_matches``, and (``i``, ``step``, ``n``): the pairs of ``least`` or more inside ``reference``, counted for the kind of the row ``i``, to be summed."""
+    side = nodes.where(F.col("split").isin(held, reference)).withColumn("_asks", F.col("split") == held)
+    return best_and_counted(side, "_asks", least, [kind])
+
+
 def cross_split_duplicates(items: DataFrame, kind: str, digest: str, bits: str, split: str = "split", most: int = 0, test: str = "test", train: str = "train") -> DataFrame:
     """(``kind``, ``train``, ``test``, ``match``): items of the two splits and one kind with equal content (``exact``), else with hashes that differ
     in ``most`` bits at most (``near``). Hashes meet only where a segment of them is equal."""

@@ -166,12 +166,12 @@ def split_matches(s, d):
 def split_match_ladder(s, d):
     """For each type: validation drawings, how many have a training match at each step, the median of the best, and near pairs inside training."""
     rows, nodes = _matches(s, d)
-    best = duplicates.split_matches(nodes, "drawing_type").join(rows.select(F.col("item_id").alias("i"), "drawing_type"), "i")
+    best, inside = duplicates.matches_and_pairs(nodes, "drawing_type", 0.99)
+    best = best.join(rows.select(F.col("item_id").alias("i"), "drawing_type"), "i")
     steps = [F.count_if(F.col("sim") >= x).alias(f"at_{str(x)[2:]}") for x in audit.LADDER]
     table = best.groupBy("drawing_type").agg(F.count("*").alias("n_val"), *steps)
     median = quantiles(best, ["drawing_type"], "sim", [0.5]).select("drawing_type", F.round(F.col("_q")[0], 6).alias("median_best"))
-    inside = similarity.similar_pairs(nodes.where("split = 'train'"), 0.99, ["drawing_type"]).join(rows.select(F.col("item_id").alias("i"), "drawing_type"), "i")
-    inside = inside.groupBy("drawing_type").agg(F.count("*").alias("n_in_train"))
+    inside = inside.join(rows.select(F.col("item_id").alias("i"), "drawing_type"), "i").groupBy("drawing_type").agg(F.sum("n").alias("n_in_train"))
     out = table.join(median, "drawing_type").join(inside, "drawing_type", "left")
     return out.withColumn("n_in_train", F.coalesce("n_in_train", F.lit(0)))
 
