@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import graph
 from palimpsest.operators.audit import group_rules
+from palimpsest.operators.images import possibly_among
 from palimpsest.operators.similarity import best_and_counted, best_elsewhere, hamming_pairs, similar_pairs
 from palimpsest.session import written
 
@@ -29,46 +30,78 @@ def exact_links(items: DataFrame, kind: str, digest: str) -> DataFrame:
     return d.join(first, [kind, digest]).where("item_id <> i").select("i", F.col("item_id").alias("j"))
 
 
+def _packed_pixels(pixels: DataFrame) -> DataFrame:
+    """``item_id`` and the values of ``x`` as bytes: their number of bytes each (one where all are within 0..255, else two), then the values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column("x").offsets.to_numpy()
+            values = batch.column("x").flatten()
+            # a null value differs from all others
+            flat = (values.fill_null(-32768) if values.null_count else values).to_numpy(zero_copy_only=False)
+            cells = []
+            for lo, hi in zip(ends[:-1] - ends[0], ends[1:] - ends[0]):
+                x = flat[lo:hi]
+                narrow = len(x) and x.min() >= 0 and x.max() < 256
+                cells.append(b"\x01" + x.astype(np.uint8).tobytes() if narrow else b"\x02" + x.astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(cells, pa.binary())], names=["item_id", "x"])
+
+    return pixels.where("x is not null").select("item_id", F.col("x").cast("array<smallint>").alias("x")).mapInArrow(run, "item_id long, x binary")
+
+
+def _pixels(cell: bytes) -> np.ndarray:
+    return np.frombuffer(cell, np.uint8 if cell[0] == 1 else np.int16, offset=1).astype(np.int32)
+
+
 def pixel_differences(pairs: DataFrame, pixels: DataFrame, step: int = PIXEL_STEP) -> DataFrame:
     """(``i``, ``j``, ``mad``, ``share``): mean absolute difference and share of pixels that differ by more than ``step``. Pairs of unequal sizes are left out."""
-    # pixels of drawings in a pair only; repeated exports have equal values
-    asked = pairs.select(F.explode(F.array("i", "j")).alias("item_id")).distinct()
-    x = written(pixels.select("item_id", "x").join(asked, "item_id", "left_semi").dropDuplicates(["item_id"]), "paired")
+    # of drawings in no pair the pixels stay where they are, however many pairs there are; repeated exports have equal values
+    some = possibly_among(pixels.select("item_id", "x"), pairs.select(F.explode(F.array("i", "j")).alias("item_id")))
+    x = _packed_pixels(some).dropDuplicates(["item_id"])
+    # both joins read the shuffle that sets repeats aside
     a, b = (x.select(F.col("item_id").alias(s), F.col("x").alias(f"_{s}")) for s in "ij")
-    both = pairs.select("i", "j").join(a, "i").join(b, "j").where("size(_i) = size(_j)").select("i", "j", "_i", "_j")
+    both = pairs.select("i", "j").join(a, "i").join(b, "j").select("i", "j", "_i", "_j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ends = batch.column("_i").offsets.to_numpy()
-            left, right = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int32) for c in ("_i", "_j"))
-            d = np.abs(left - right).astype(np.float64)
-            start, size = ends[:-1] - ends[0], np.diff(ends)
-            mad, far = np.add.reduceat(d, start) / size, np.add.reduceat((d > step).astype(np.float64), start) / size
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array(mad), pa.array(far)], names=["i", "j", "mad", "share"])
+            got = []
+            for i, j, p, q in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "_i", "_j"))):
+                left, right = _pixels(p), _pixels(q)
+                if len(left) == len(right) and len(left):
+                    d = np.abs(left - right)
+                    got.append((i, j, d.mean(), (d > step).mean()))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["i", "j", "mad", "share"])
 
     return both.mapInArrow(run, "i long, j long, mad double, share double")
 
 
-def near_links(vectors: DataFrame, pixels: DataFrame, kind: str, least: float = NEAR) -> DataFrame:
-    """(``i``, ``j``): pairs of one kind whose signatures (``item_id``, ``v``) correlate and whose pixels bear it out."""
-    seen = pixel_differences(written(similar_pairs(vectors, least, [kind]), "pairs"), pixels)
+def near_links(vectors: DataFrame, pixels: DataFrame, kind: str, least: float = NEAR, rows: DataFrame | None = None) -> DataFrame:
+    """(``i``, ``j``): pairs of one kind whose signatures (``item_id``, ``v``) correlate and whose pixels bear it out. ``rows``: the kinds of all rows, where they are at hand."""
+    seen = pixel_differences(written(similar_pairs(vectors, least, [kind], rows=rows), "pairs"), pixels)
     return seen.where((F.col("mad") <= MEAN_DIFFERENCE) & (F.col("share") <= PIXEL_SHARE)).select("i", "j")
 
 
-def grouped_manifest(rows: DataFrame, drawings: DataFrame, vectors: DataFrame, kind: str = "drawing_type", least: float = NEAR) -> DataFrame:
+def kind_digests(rows: DataFrame, drawings: DataFrame, kind: str = "drawing_type") -> DataFrame:
+    """(``item_id``, ``digest``, kind) of the ``rows`` with a drawing, once for each id, written."""
+    own = drawings.select("item_id", F.unhex(content_digest()).alias("digest")).dropDuplicates(["item_id"])
+    return written(own.join(rows.select("item_id", kind), "item_id"), "digests")
+
+
+def grouped_manifest(rows: DataFrame, drawings: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame], kind: str = "drawing_type", least: float = NEAR, digests: DataFrame | None = None) -> DataFrame:
     """``rows`` (``item_id``, ``path``, ``split``, ``diagnosis``, ``name_number``, kind) with the groups their drawings form: ``group_id`` (the least item),
-    ``group_size``, ``group_conflict``, ``role`` and ``split_clean``. ``drawings`` holds ``item_id`` and ``x``, ``vectors`` ``item_id`` and ``v`` and, where it is at hand, the ``digest`` of the drawing.
+    ``group_size``, ``group_conflict``, ``role`` and ``split_clean``. ``drawings`` holds ``item_id`` and ``x``, ``vectors`` ``item_id`` and ``v``, or makes
+    them of some of the ``drawings``; ``digests`` are those of ``kind_digests``, where they are at hand.
 
     Of exact copies only the first goes to the comparison of signatures, so copies cost a digest each. Rows without a drawing are left out.
     """
-    kinds = rows.select("item_id", kind)
-    digests = vectors.select("item_id", "digest") if "digest" in vectors.columns else drawings.select("item_id", content_digest().alias("digest"))
-    digests = written(digests.join(kinds, "item_id"), "digests")
+    digests = kind_digests(rows, drawings, kind) if digests is None else digests
     exact = written(exact_links(digests, kind, "digest"), "exact")
-    alone = vectors.select("item_id", "v").join(kinds, "item_id").join(exact.select(F.col("j").alias("item_id")), "item_id", "left_anti")
-    edges = exact.unionByName(near_links(alone, drawings, kind, least))
+    alone = written(digests.select("item_id", kind).join(exact.select(F.col("j").alias("item_id")), "item_id", "left_anti"), "alone")
+    v = vectors(possibly_among(drawings, alone)) if callable(vectors) else vectors
+    # the join has brought repeats together
+    v = v.select("item_id", "v").join(alone, "item_id").dropDuplicates(["item_id"])
+    edges = exact.unionByName(near_links(v, drawings, kind, least, alone))
     groups = graph.with_singletons(digests.select("item_id"), graph.components(edges), "item_id").withColumnRenamed("component", "group_id")
     out = group_rules(rows.join(groups, "item_id"))
     return out.select("item_id", "path", "group_id", F.col("_size").alias("group_size"), F.col("_conflict").alias("group_conflict"), F.col("_role").alias("role"), F.col("_clean").alias("split_clean"))

@@ -123,34 +123,31 @@ def _listed(s, d):
     return m.groupBy("item_id").agg(*least)
 
 
-def _signatures(s, d, digests=True):
-    """Digests (if asked) and packed signatures of 16 x 16 (the cached drawings are smaller than the 48 x 48 of full images)."""
-    cache = t(s, d, "cnn_cache_128")
-    return images.levels(cache.withColumn("digest", duplicates.content_digest()) if digests else cache, lambda x: kernels.darkness(images.ink_to_gray(x), 16), ["digest"] if digests else [])
+def _signatures(cache, once=True):
+    """Packed signatures of 16 x 16 (the cached drawings are smaller than the 48 x 48 of full images)."""
+    return images.levels(cache, lambda x: kernels.darkness(images.ink_to_gray(x), 16), once=once)
 
 
-def _signed(s, d):
-    """Complete drawings, and their digests and signatures."""
-    return images.complete(t(s, d, "cnn_cache_128")).select("item_id", "x"), written(_signatures(s, d), "signatures")
+def _built(s, d):
+    """Digests of the drawings, and the clean manifest. Signatures are made where the drawings lie and go through one shuffle."""
+    rows, drawings = written(_listed(s, d), "listed"), images.complete(t(s, d, "cnn_cache_128")).select("item_id", "height", "width", "x")
+    digests = duplicates.kind_digests(rows, drawings)
+    return digests, duplicates.grouped_manifest(rows, drawings, lambda some: _signatures(some, once=False), digests=digests)
 
 
 def built_manifest(s, d):
     """The clean manifest from scratch: exact and near links of the drawings, verified by pixels, their components, and the rules for groups."""
-    drawings, v = _signed(s, d)
-    return duplicates.grouped_manifest(written(_listed(s, d), "listed"), drawings, v)
+    return _built(s, d)[1]
 
 
 def built_links(s, d):
-    drawings, v = _signed(s, d)
-    rows = written(_listed(s, d), "listed")
-    digests = v.select("item_id", "digest").join(rows.select("item_id", "drawing_type"), "item_id")
-    return duplicates.link_counts(digests, duplicates.grouped_manifest(rows, drawings, v))
+    return duplicates.link_counts(*_built(s, d))
 
 
 def _matches(s, d):
     rows = written(_listed(s, d), "listed")
     # joined where the signatures lie after their repeats are set aside: they go through one shuffle for both
-    nodes = _signatures(s, d, digests=False).join(rows.where("split in ('val', 'train')").select("item_id", "split", "drawing_type"), "item_id")
+    nodes = _signatures(t(s, d, "cnn_cache_128")).join(rows.where("split in ('val', 'train')").select("item_id", "split", "drawing_type"), "item_id")
     return rows, written(nodes, "nodes")
 
 

@@ -176,6 +176,32 @@ def test_pixels_decide_on_near_links(spark):
     assert (n.n_files, n.n_groups, n.exact_links, n.near_links) == (6, 3, 2, 1)
 
 
+def test_pixels_of_drawings_in_no_pair_stay_where_they_are(spark):
+    """Also where the ids in pairs are too many for a broadcast; values beyond a byte, nulls and unequal sizes."""
+    x = np.random.default_rng(63).integers(0, 256, (600, 1024)).astype(int)
+    x[1] = x[0]
+    x[1, :16] += 64
+    rows = [(i, [int(v) for v in r]) for i, r in enumerate(x)]
+    rows += [rows[1], (600, rows[0][1][:-1]), (601, None), (602, [None, *rows[0][1][1:]])]
+    pix = spark.createDataFrame(rows, "item_id long, x array<smallint>").repartition(4).localCheckpoint()
+    pairs = spark.createDataFrame([(0, 1), (0, 600), (0, 601), (0, 602), (2, 3)], "i long, j long").localCheckpoint()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    sc = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sc.setJobGroup("pixels", "")
+        got = {(r.i, r.j): (r.mad, r.share) for r in duplicates.pixel_differences(pairs, pix).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0, 1] == (1.0, 16 / 1024) and set(got) == {(0, 1), (0, 602), (2, 3)} and got[0, 602][0] > 16
+    d = np.abs(x[2] - x[3])
+    assert got[2, 3] == pytest.approx((d.mean(), (d > 40).mean()))
+    stages = {k for j in sc.statusTracker().getJobIdsForGroup("pixels") for k in sc.statusTracker().getJobInfo(j).stageIds}
+    store = sc._jsc.sc().statusStore()
+    assert 0 < sum(store.lastStageAttempt(k).shuffleWriteBytes() for k in stages if sc.statusTracker().getStageInfo(k).numCompletedTasks) < x.size / 4
+
+
 def test_best_matches_go_one_way(spark):
     v = np.random.default_rng(62).normal(0, 1, (40, 8))
     v[5] = v[9]
